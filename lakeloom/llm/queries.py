@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lakeloom.llm.common import table
+from lakeloom.llm.common import held_out, table
 
 
 def vocabulary(name: str) -> str:
@@ -30,5 +29,40 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op3_byte_bpe": op3_byte_bpe}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.quality import judge
+
+    judged = judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm import language_id
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    model = language_id.fit(docs)
+    return language_id.identify(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "cosine", "rejected")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_toxicity": op2_toxicity,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_quality": op4_quality,
+    "op8_language": op8_language,
+    "op10_packing": op10_packing,
+}
 ORACLES: dict[str, str] = {}
