@@ -51,6 +51,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "cosine", "rejected")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm.packing import pack
 
@@ -63,6 +69,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality": op4_quality,
     "op8_language": op8_language,
+    "op9_neighbours": op9_neighbours,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
