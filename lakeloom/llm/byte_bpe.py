@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import array
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -90,7 +91,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encodes texts to little-endian unsigned 32-bit ids and back, with bounded caches."""
 
-    def __init__(self, path: str, pattern: str, room: int = 400_000):
+    def __init__(self, path: str, pattern: str, room: int = 150_000):
         import regex
 
         self.ranks = load_ranks(path)
@@ -157,6 +158,22 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 (lowercase hex) of the ids and of the bytes decoded from them."""
-    decoded = decode(encode(docs, path, pattern, doc_id, text).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids"), path, pattern)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, and the SHA-256 (lowercase hex) of the ids and of the bytes decoded from them.
+
+    It is encode() and decode() in one pass, so that ids need not leave the worker.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(path, pattern)
+        for b in batches:
+            rows = [(len(ids) // 4, _hex(ids), _hex(codec.decode(ids))) for ids in codec.encode([t or "" for t in b.column(1).to_pylist()])]
+            n, ids, decoded = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _hex(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()

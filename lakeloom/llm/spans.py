@@ -26,7 +26,7 @@ class SpanEncoder:
     is never evicted. At most ``2 * room`` further values are held.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], room: int = 400_000, known: dict | None = None):
+    def __init__(self, encode: Callable[[list[str]], list], room: int = 150_000, known: dict | None = None):
         self.encode, self.room, self.known = encode, room, known or {}
         self.young: dict = {}
         self.old: dict = {}
