@@ -43,6 +43,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm import language_id
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality": op4_quality,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_language": op8_language,
     "op9_neighbours": op9_neighbours,
     "op10_packing": op10_packing,
