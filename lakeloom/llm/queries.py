@@ -49,6 +49,13 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm import licenses
+
+    docs = table(spark, sf_dir, "documents")
+    return licenses.per_document(docs, licenses.fit(docs))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm import language_id
 
@@ -75,6 +82,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality": op4_quality,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_licenses": op7_licenses,
     "op8_language": op8_language,
     "op9_neighbours": op9_neighbours,
     "op10_packing": op10_packing,
