@@ -87,7 +87,7 @@ def best_fit(lengths: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return runs
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", room: int = 150_000) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", room: int = 250_000) -> DataFrame:
     """The documents' pieces, with the partition and the rank in it among pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
