@@ -25,9 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import materialise
-from lakeloom.llm.spans import SpanEncoder, library_encoder
-
-_workers: dict = {}
+from lakeloom.llm.spans import worker_encoder
 
 
 class Capacities:
@@ -91,10 +89,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str =
     """The documents' pieces, with the partition and the rank in it among pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _workers:
-            _workers.clear()
-            _workers[path] = SpanEncoder(library_encoder(path, "ids"), room)
-        encoder, seen, part = _workers[path], Counter(), TaskContext.get().partitionId()
+        encoder, seen, part = worker_encoder(path, "ids", room), Counter(), TaskContext.get().partitionId()
         end, step = end_id.to_bytes(4, "little"), 4 * capacity
         for b in batches:
             rows = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm.common import held_out, table
+from lakeloom.llm.common import held_out, shared_dir, table
 
 
 def vocabulary(name: str) -> str:
@@ -43,6 +43,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from lakeloom.llm import token_files
+
+    folder = f"{shared_dir(spark).rstrip('/')}/lakeloom/{uuid.uuid4().hex}-token-files"
+    token_files.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), folder, end_id=0)
+    return token_files.read(spark, folder)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm.jaccard_join import near_duplicates
 
@@ -81,6 +91,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality": op4_quality,
+    "op5_token_files": op5_token_files,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_licenses": op7_licenses,
     "op8_language": op8_language,

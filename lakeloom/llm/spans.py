@@ -199,3 +199,15 @@ def library_encoder(path: str, what: str) -> Callable[[list[str]], list]:
         return [value(next(more) if ids is None else ids) for ids in found]
 
     return encode
+
+
+_kept: dict = {}
+
+
+def worker_encoder(path: str, what: str, room: int, known: dict | None = None) -> SpanEncoder:
+    """This worker's encoder, whose caches outlast the task."""
+    key = (path, what, room, known and (len(known), hash(frozenset(known.items()))))
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = SpanEncoder(library_encoder(path, what), room, known)
+    return _kept[key]
