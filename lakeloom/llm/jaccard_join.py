@@ -35,6 +35,7 @@ SAMPLE = 0.34  # share of the hash range that tells how much of a set is its own
 SMALL = 64  # documents of a region that one task joins
 CHUNK = 256  # documents of a chunk of a large region
 PIVOTS = 16  # pivots that all documents of a dense region are compared with
+TRACE = False
 LEVELS = 12  # deeper, regions are joined in blocks
 
 
@@ -195,6 +196,21 @@ def _exclude(rows: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "parent long, doc long, full binary, rest binary, keys array<long>, loose boolean")
 
 
+def _company(base: DataFrame, percent: int) -> DataFrame:
+    """Without members most of whose remaining shingles no other member of the region has: they are
+    farther than the threshold from all of them. base: (parent, doc, full, rest, keys, loose)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_array(x).view(np.int64).tolist() for x in b.column(2).to_pylist()], pa.list_(pa.int64()))], ["parent", "doc", "hs"])
+
+    spread = base.select("parent", "doc", "rest").mapInArrow(run, "parent long, doc long, hs array<long>").select("parent", "doc", F.explode("hs").alias("h"))
+    alone = spread.groupBy("parent", "h").agg(F.min("doc").alias("doc"), F.max("doc").alias("other")).where("doc = other").groupBy("parent", "doc").agg(F.count("*").alias("alone"))
+    size = F.octet_length("full") / 8
+    most = size - F.ceil(percent * size / 100)
+    return base.join(alone, ["parent", "doc"], "left").where(F.coalesce("alone", F.lit(0)) <= most).drop("alone")
+
+
 def links(docs: DataFrame, survivors: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     """Links (a, b) that connect the documents whose ids are in survivors (doc) as all links do."""
 
@@ -223,11 +239,13 @@ def links(docs: DataFrame, survivors: DataFrame, doc_id: str, text: str, width:
         found.append(materialise(_join_small(rows.join(small, "region", "left_semi"), percent), "small"))
         if large.limit(1).count() == 0:
             break
+        if TRACE:
+            print(level, large.agg(F.count("*"), F.sum("size"), F.max("size")).first(), flush=True)
         rows = rows.join(large.select("region"), "region", "left_semi")
         if level == LEVELS:
             found.append(_join_dense(rows.select("region", "doc", "full"), large, percent))
             break
-        base = materialise(_exclude(rows, percent), "level")
+        base = materialise(_company(materialise(_exclude(rows, percent), "members"), percent), "level")
         dense = base.where("NOT loose").select(F.col("parent").alias("region"), "doc", "full")
         dense_sizes = materialise(dense.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         found.append(materialise(_join_small(dense.join(dense_sizes.where(F.col("size") <= SMALL), "region", "left_semi"), percent), "small"))
