@@ -119,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     have = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("y") == 1, toxic_rows / max(1, have.get(1, 1))).otherwise(clean_rows / max(1, have.get(0, 1)))
     chosen = marks.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) / 1_000_000 < share)
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t")).where(F.length("t") <= max_chars).join(chosen, "i")
+    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t")).where(F.length("t") <= max_chars)
+    rows = rows.join(F.broadcast(chosen), "i")  # about toxic_rows + clean_rows pairs of numbers, whatever the labels' size
     texts, toxic = [], []
     for r in rows.orderBy("i", "t").toLocalIterator():
         texts.append(r["t"])
