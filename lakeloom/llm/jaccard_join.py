@@ -32,10 +32,9 @@ from lakeloom.llm.components import components
 from lakeloom.llm.shingles import common, prefix_length, shared, shingles
 
 SAMPLE = 0.34  # share of the hash range that tells how much of a set is its own
-SMALL = 64  # documents of a region that one task joins
+SMALL = 200  # documents of a region that one task joins
 CHUNK = 256  # documents of a chunk of a large region
 PIVOTS = 16  # pivots that all documents of a dense region are compared with
-TRACE = False
 LEVELS = 12  # deeper, regions are joined in blocks
 
 
@@ -166,39 +165,49 @@ def _join_dense(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame
     return first.union(materialise(second, "rest"))
 
 
+def _keys(base: DataFrame, percent: int) -> DataFrame:
+    """(parent, h, doc, loose): the prefix of what remains of each member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [_array(x)[: prefix_length(n, percent)].view(np.int64).tolist() for x, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(keys, pa.list_(pa.int64()))], ["parent", "doc", "loose", "keys"])
+
+    found = base.select("parent", "doc", "loose", "rest", "n").mapInArrow(run, "parent long, doc long, loose boolean, keys array<long>")
+    return found.select("parent", F.explode("keys").alias("h"), "doc", "loose")
+
+
 def _regions(keys: DataFrame) -> DataFrame:
-    """region, owner and doc from keys (parent, h, doc, loose): a document is in the regions of the
-    pivots that its shingles name. Regions without a loose document are joined elsewhere."""
+    """(region, owner, parent, doc): a document is in the regions of the pivots that its shingles name.
+
+    Regions without a loose document are joined elsewhere."""
     named = keys.groupBy("parent", "h").agg(F.min("doc").alias("owner"), F.count("*").alias("n"), F.max("loose").alias("any")).where("n > 1 AND any").drop("n", "any")
-    found = keys.join(named, ["parent", "h"]).select(F.xxhash64("parent", "owner").alias("region"), "owner", "doc").distinct()
+    found = keys.join(named, ["parent", "h"]).select(F.xxhash64("parent", "owner").alias("region"), "owner", "parent", "doc").distinct()
     return materialise(found, "regions")
 
 
 def _exclude(rows: DataFrame, percent: int) -> DataFrame:
-    """Takes the pivot's shingles from each member's: rows (region, owner, doc, full, rest).
-
-    Adds keys (the prefix of what remains) and loose (what remains is long enough to be the prefix)."""
+    """Takes the pivot's shingles from each member's: rows (region, owner, doc, n, rest) become
+    (parent, doc, n, rest, loose); loose: what remains is long enough to be the prefix."""
     pivot = rows.where("doc = owner").groupBy("region").agg(F.first("rest").alias("taken"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rests, keys, loose = [], [], []
-            for full, rest, taken in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
+            rests, loose = [], []
+            for n, rest, taken in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
                 x = _array(rest)
                 x = x[~shared(_array(taken or b""), x)]
-                need = prefix_length(len(full) // 8, percent)
                 rests.append(x.tobytes())
-                keys.append(x[:need].view(np.int64).tolist())
-                loose.append(len(x) >= need)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(loose, pa.bool_())], ["parent", "doc", "full", "rest", "keys", "loose"])
+                loose.append(len(x) >= prefix_length(n, percent))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rests, pa.binary()), pa.array(loose, pa.bool_())], ["parent", "doc", "n", "rest", "loose"])
 
-    joined = rows.join(pivot, "region", "left").select("region", "doc", "full", "rest", "taken")
-    return joined.mapInArrow(run, "parent long, doc long, full binary, rest binary, keys array<long>, loose boolean")
+    joined = rows.join(pivot, "region", "left").select("region", "doc", "n", "rest", "taken")
+    return joined.mapInArrow(run, "parent long, doc long, n long, rest binary, loose boolean")
 
 
 def _company(base: DataFrame, percent: int) -> DataFrame:
     """Without members most of whose remaining shingles no other member of the region has: they are
-    farther than the threshold from all of them. base: (parent, doc, full, rest, keys, loose)."""
+    farther than the threshold from all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,53 +215,72 @@ def _company(base: DataFrame, percent: int) -> DataFrame:
 
     spread = base.select("parent", "doc", "rest").mapInArrow(run, "parent long, doc long, hs array<long>").select("parent", "doc", F.explode("hs").alias("h"))
     alone = spread.groupBy("parent", "h").agg(F.min("doc").alias("doc"), F.max("doc").alias("other")).where("doc = other").groupBy("parent", "doc").agg(F.count("*").alias("alone"))
-    size = F.octet_length("full") / 8
-    most = size - F.ceil(percent * size / 100)
-    return base.join(alone, ["parent", "doc"], "left").where(F.coalesce("alone", F.lit(0)) <= most).drop("alone")
+    most = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)
+    few = base.select("parent", "doc", "n").join(alone, ["parent", "doc"], "left").where(F.coalesce("alone", F.lit(0)) <= most).select("parent", "doc")
+    return base.join(materialise(few, "company"), ["parent", "doc"], "left_semi")
 
 
-def links(docs: DataFrame, survivors: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect the documents whose ids are in survivors (doc) as all links do."""
+BITS = 1 << 23  # of the map that tells early which documents need no set; its size does not grow
+
+
+def _bitmap(survivors: DataFrame) -> bytes:
+    """One bit for the hash of each survivor's id."""
+    spot = survivors.select(F.pmod(F.xxhash64("doc"), F.lit(BITS)).alias("p"))
+    words = spot.groupBy(F.floor(F.col("p") / 32).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 32).cast("int"))).alias("bits"))
+    out = np.zeros(BITS // 32, "<u4")
+    for r in words.toLocalIterator():
+        out[r["w"]] = r["bits"]
+    return out.tobytes()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _sets(docs: DataFrame, survivors: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """(doc, full, n) of the survivors."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(survivors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
         for b in batches:
+            b = b.filter(pa.array(marked[b.column(2).to_numpy()]))
             found = [shingles(t, width) for t in b.column(1).to_pylist()]
-            keys = [s[: prefix_length(len(s), percent)].view(np.int64).tolist() if len(s) else [] for s in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc", "full", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64())], ["doc", "full", "n"])
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("t")).join(survivors, "doc", "left_semi")
-    chosen = materialise(texts.mapInArrow(sets, "doc long, full binary, keys array<long>"), "sets")
-    keys = chosen.select(F.lit(0).cast("long").alias("parent"), F.explode("keys").alias("h"), "doc", F.lit(True).alias("loose"))
-    base = chosen.select("doc", "full", F.col("full").alias("rest"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("t")).where("doc IS NOT NULL")
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("doc"), F.lit(BITS)))
+    return rows.mapInArrow(run, "doc long, full binary, n long").join(survivors, "doc", "left_semi")
+
+
+def links(docs: DataFrame, survivors: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect the documents whose ids are in survivors (doc) as all links do."""
+    chosen = materialise(_sets(docs, survivors, doc_id, text, width), "sets")
+    base = chosen.select(F.lit(0).cast("long").alias("parent"), "doc", "n", F.col("full").alias("rest"), F.lit(True).alias("loose"))
     found: list[DataFrame] = []
+
+    def joined(regions: DataFrame, sizes: DataFrame) -> None:
+        small = regions.join(sizes.where(F.col("size") <= SMALL), "region", "left_semi").select("region", "doc")
+        found.append(materialise(_join_small(small.join(chosen.select("doc", "full"), "doc"), percent), "small"))
+
+    def dense(regions: DataFrame, sizes: DataFrame) -> None:
+        large = regions.join(sizes, "region", "left_semi").select("region", "doc")
+        found.append(_join_dense(large.join(chosen.select("doc", "full"), "doc"), sizes, percent))
+
     for level in range(LEVELS + 1):
-        regions = _regions(keys)
+        regions = _regions(_keys(base, percent))
         sizes = materialise(regions.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        small = sizes.where(F.col("size") <= SMALL).select("region")
+        joined(regions, sizes)
         large = sizes.where(F.col("size") > SMALL)
-        carry = base if level == 0 else base.withColumnRenamed("parent", "up")
-        if level == 0:
-            rows = regions.join(carry, "doc")
-        else:
-            kin = regions.join(base.select("parent", "doc", "full", "rest"), "doc").where(F.xxhash64("parent", "owner") == F.col("region"))
-            rows = kin.select("region", "owner", "doc", "full", "rest")
-        found.append(materialise(_join_small(rows.join(small, "region", "left_semi"), percent), "small"))
-        if large.limit(1).count() == 0:
+        if not large.limit(1).count():
             break
-        if TRACE:
-            print(level, large.agg(F.count("*"), F.sum("size"), F.max("size")).first(), flush=True)
-        rows = rows.join(large.select("region"), "region", "left_semi")
         if level == LEVELS:
-            found.append(_join_dense(rows.select("region", "doc", "full"), large, percent))
+            dense(regions, large)
             break
+        rows = regions.join(large, "region", "left_semi").join(base.select("parent", "doc", "n", "rest"), ["parent", "doc"])
         base = materialise(_company(materialise(_exclude(rows, percent), "members"), percent), "level")
-        dense = base.where("NOT loose").select(F.col("parent").alias("region"), "doc", "full")
-        dense_sizes = materialise(dense.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        found.append(materialise(_join_small(dense.join(dense_sizes.where(F.col("size") <= SMALL), "region", "left_semi"), percent), "small"))
-        dense_large = dense_sizes.where(F.col("size") > SMALL)
-        if dense_large.limit(1).count():
-            found.append(_join_dense(dense, dense_large, percent))
-        keys = base.select("parent", F.explode("keys").alias("h"), "doc", "loose")
+        near = base.where("NOT loose").select(F.col("parent").alias("region"), "doc")
+        sizes = materialise(near.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        joined(near, sizes)
+        large = sizes.where(F.col("size") > SMALL)
+        if large.limit(1).count():
+            dense(near, large)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
