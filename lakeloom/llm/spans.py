@@ -32,6 +32,7 @@ class SpanEncoder:
 
     def __init__(self, encode: Callable[[list[str]], list], room: int = 150_000, known: dict | None = None):
         self.encode, self.room, self.known = encode, room, known or {}
+        self.plainer = getattr(encode, "plainer", None)
         self.young: dict = {}
         self.old: dict = {}
 
@@ -56,7 +57,7 @@ class SpanEncoder:
         young = self.young
         first = (self.known or young).get
         split, missing, heads = [], set(), {}
-        for t in texts:
+        for t in texts if self.plainer is None else map(self.plainer, texts):
             parts = t.replace("\n", " \n").split(" ")
             head, parts[0] = parts[0], _HEAD
             values = list(map(first, parts))
@@ -141,6 +142,16 @@ class _Merger:
             self.engine = tiktoken.Encoding("spans", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
             self.cache: dict[str, list[int]] = {}
 
+    def plainer(self, text: str) -> str:
+        """A text with the same ids in which more spans are alike, if that is sure: case and line feeds
+        do not matter to a vocabulary of lower-cased words."""
+        if "<|" in text or any(x in text for x in self.special):
+            return text
+        low = text.lower()
+        if not text.isascii() and (len(low) != len(text) or "\u03a3" in text or not unicodedata.is_normalized("NFC", text)):
+            return text
+        return low.replace("\n", " ")
+
     def ids(self, span: str) -> list[int] | None:
         """The span's ids; None where only the library can tell."""
         if "<" in span and any(x in span for x in self.special):
@@ -198,6 +209,8 @@ def library_encoder(path: str, what: str) -> Callable[[list[str]], list]:
         more = iter(library(rest) if rest else [])
         return [value(next(more) if ids is None else ids) for ids in found]
 
+    if merger.fits and merger.lower:
+        encode.plainer = merger.plainer
     return encode
 
 
