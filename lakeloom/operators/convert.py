@@ -140,7 +140,10 @@ def write(target: str, model, meta: dict) -> bytes:
 
 
 def _plain(x):
-    """Lists and dicts of what Arrow has made of a model."""
+    """Lists and dicts of what Arrow and pandas have made of a model, which has no fractions: whole numbers
+    come as such beside nulls."""
+    if isinstance(x, float):
+        return None if x != x else int(x)
     if hasattr(x, "asDict"):
         x = x.asDict()
     if isinstance(x, dict):
