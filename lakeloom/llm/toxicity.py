@@ -54,6 +54,8 @@ class Model:
         return np.unique(at[self.features[at] == g])
 
     def score(self, text: str | None, sieve: np.ndarray) -> float:
+        if self.intercept == -np.inf:
+            return 0.0
         z = self.intercept + self.weights[self.places(text, sieve)].sum()
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
