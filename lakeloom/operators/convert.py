@@ -68,6 +68,28 @@ def workbook_to_slides(sheets: Column, most: int = 20) -> Column:
     return F.transform(F.filter(sheets, lambda s: F.size(s["rows"]) > 0), one).cast(f"array<{SLIDE}>")
 
 
+def workbook_markdown(sheets: Column) -> Column:
+    """Sheets as Markdown tables, each under its name if there are several."""
+    from lakeloom.functions.blocks import table_markdown
+
+    rows = lambda s: F.transform(s["rows"], lambda r: F.transform(r, lambda c: c["v"]))
+    body = lambda s: F.coalesce(table_markdown(rows(s)), F.lit("_(空表)_"))
+    head = lambda s: F.when(F.size(sheets) > 1, F.concat(F.lit("## 工作表: "), s["name"], F.lit("\n\n"))).otherwise("")
+    return F.array_join(F.transform(sheets, lambda s: F.concat(head(s), body(s))), "\n\n")
+
+
+def slides_markdown(slides: Column) -> Column:
+    """Numbered headings, bullets by level, tables, and notes as quotes."""
+    from lakeloom.functions.blocks import table_markdown
+
+    def one(s: Column, i: Column) -> Column:
+        bullets = F.array_join(F.transform(s["bullets"], lambda b: F.concat(F.repeat(F.lit("  "), b["level"]), F.lit("- "), b["text"])), "\n")
+        parts = F.array(F.concat(F.lit("## "), (i + 1).cast("string"), F.lit(". "), s["title"]), s["subtitle"], bullets, F.when(s["rows"].isNotNull(), table_markdown(s["rows"])), F.concat(F.lit("> "), F.replace(s["notes"], F.lit("\n"), F.lit("\n> "))))
+        return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), "\n\n")
+
+    return F.array_join(F.transform(slides, one), "\n\n")
+
+
 def long_cells(df: DataFrame, key: str, sheets: str = "sheets") -> DataFrame:
     """Workbooks as rows: key, sheet, row, col, v, t, f."""
     one = df.select(key, F.explode(sheets).alias("s")).select(key, F.col("s.name").alias("sheet"), F.posexplode("s.rows").alias("row", "cells"))
@@ -103,11 +125,11 @@ def first_rows(df: DataFrame, key: list[str], order: list[str], most: int) -> Da
 
 
 def render(found: DataFrame, target: str) -> DataFrame:
-    """path and content: each model as bytes of docx, odt, xlsx, ods, pptx, odp or csv.
+    """path and content: each model as bytes of docx, odt, html, pdf, xlsx, ods, pptx, odp or csv.
 
     Models of another kind are converted first.
     """
-    kind = {"docx": "blocks", "odt": "blocks", "xlsx": "sheets", "ods": "sheets", "csv": "sheets", "pptx": "slides", "odp": "slides"}[target]
+    kind = {"docx": "blocks", "odt": "blocks", "html": "blocks", "pdf": "blocks", "xlsx": "sheets", "ods": "sheets", "csv": "sheets", "pptx": "slides", "odp": "slides"}[target]
     from lakeloom.functions.blocks import to_slides
 
     forms = {
@@ -135,6 +157,10 @@ def write(target: str, model, meta: dict) -> bytes:
             rows += [[f"# {s['name']}"]] if len(model) > 1 else []
             rows += [[c["v"] for c in r] for r in s["rows"]]
         return plain.delimited(rows)
+    if target in ("html", "pdf"):
+        from lakeloom.sources import page, pdf
+
+        return page.render(model, meta).encode() if target == "html" else pdf.write(model, meta)
     writers = {"docx": wordlike.write_docx, "odt": wordlike.write_odt, "xlsx": sheetlike.write_xlsx, "ods": sheetlike.write_ods, "pptx": slidelike.write_pptx, "odp": slidelike.write_odp}
     return writers[target](model, meta)
 

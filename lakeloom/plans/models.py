@@ -138,7 +138,7 @@ def _round_trip(kind: str, sql: str | None = None):
         books = rows.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(f".{kind}")).alias("path"), F.array(F.struct(F.lit("S").alias("name"), F.transform("rs", lambda x: x["r"]).alias("rows"))).alias("sheets"))
         empty = books.select("path", F.lit(None).cast("string").alias("error"), F.create_map().cast("map<string,string>").alias("meta"), F.lit(None).cast(f"array<{bl.BLOCK}>").alias("blocks"), "sheets", F.lit(None).cast(f"array<{bl.SLIDE}>").alias("slides"))
         back = models(convert.render(empty, kind))
-        if kind in ("docx", "odt"):
+        if kind in ("docx", "odt", "html"):
             back = back.withColumn("sheets", convert.document_to_workbook(F.col("blocks")))
         elif kind in ("pptx", "odp"):
             back = back.withColumn("sheets", convert.document_to_workbook(convert.slides_to_document(F.col("slides"))))
@@ -149,10 +149,26 @@ def _round_trip(kind: str, sql: str | None = None):
     query(f"SELECT 'r' || n_regionkey || '.{kind}' AS path, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row, CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation")(run)
 
 
-for _kind in ("xlsx", "ods", "csv", "docx", "odt", "pptx", "odp"):
+for _kind in ("xlsx", "ods", "csv", "docx", "odt", "html", "pptx", "odp"):
     _round_trip(_kind)
 
 
+@query("SELECT n_regionkey, '## 1. R' || n_regionkey || chr(10) || chr(10) || string_agg('- ' || n_name, chr(10) ORDER BY n_name) AS markdown FROM nation GROUP BY n_regionkey")
+def slides_to_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    none = F.lit(None)
+    item = F.struct(F.lit(0).alias("level"), F.col("n_name").alias("text"))
+    decks = table(spark, folder, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(item)).alias("bullets"))
+    slide = F.struct(F.lit("content").alias("layout"), F.concat(F.lit("R"), F.col("n_regionkey")).alias("title"), none.cast("string").alias("subtitle"), F.col("bullets"), none.cast("array<array<string>>").alias("rows"), none.cast("string").alias("notes"), F.lit(0).alias("images"))
+    return decks.select("n_regionkey", convert.slides_markdown(F.array(slide)).alias("markdown"))
+
+
+@query("SELECT r_regionkey, '| ' || r_regionkey || ' | ' || r_name || ' |' || chr(10) || '| --- | --- |' AS markdown FROM region")
+def workbook_to_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    cell = lambda c: F.struct(F.col(c).cast("string").alias("v"), F.lit("s").alias("t"), F.lit(None).cast("string").alias("f"))
+    sheet = F.struct(F.lit("S").alias("name"), F.array(F.array(cell("r_regionkey"), cell("r_name"))).alias("rows"))
+    return table(spark, folder, "region").select("r_regionkey", convert.workbook_markdown(F.array(sheet)).alias("markdown"))
+
+
 @query("SELECT CAST(page_id AS VARCHAR) || '.html' AS path, 'html' AS format, 1 AS batches FROM pages")
 def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
     from lakeloom.sources.files import inventory

@@ -17,7 +17,7 @@ from lakeloom.functions.blocks import BLOCK, SLIDE, block, run
 CELL = "struct<v:string,t:string,f:string>"
 SHEET = f"struct<name:string,rows:array<array<{CELL}>>>"
 MODEL = f"format string, model string, meta map<string,string>, blocks array<{BLOCK}>, sheets array<{SHEET}>, slides array<{SLIDE}>, error string"
-EXTENSIONS = ("docx", "xlsx", "pptx", "odt", "ods", "odp", "csv", "tsv", "md", "markdown", "html", "htm", "txt", "json", "jsonl", "rtf")
+EXTENSIONS = ("docx", "xlsx", "pptx", "odt", "ods", "odp", "csv", "tsv", "md", "markdown", "html", "htm", "txt", "json", "jsonl", "rtf", "pdf")
 
 
 def load(data: bytes, name: str) -> dict:
@@ -42,6 +42,12 @@ def load(data: bytes, name: str) -> dict:
         elif kind == "html":
             out["model"] = "document"
             out["blocks"], out["meta"] = markup.parse(plain.decode(data))
+        elif kind == "pdf":
+            from lakeloom.sources import pdf
+
+            pages = pdf.read(data)
+            out["model"] = "document"
+            out["blocks"] = [b for p in pages for b in (block("heading", level=2, text=f"第 {p['page']} 页"), *markdown.parse(p["text"]))]
         elif kind in ("rtf", "text"):
             text = plain.rtf(data) if kind == "rtf" else plain.decode(data)
             out["model"], out["blocks"] = "document", [block("paragraph", runs=[run(x.strip())]) for x in text.splitlines() if x.strip()]

@@ -80,3 +80,20 @@ def test_plain():
     assert plain.delimited([["a\tb\nc\td"]], "\t", False) == b"a b c d\r\n"
     rtf = rb"{\rtf1\ansi\ansicpg1252{\fonttbl{\f0 Arial;}}caf\'e9\par \u20013?\b x\b0\tab {\*\gen y}z}"
     assert plain.rtf(rtf) == "café\n中x\tz"
+
+
+def test_page():
+    from lakeloom.sources import page
+
+    again, meta = markup.parse(page.render(DOC, {"title": "T & t"}))
+    assert again == DOC and meta["title"] == "T & t"
+
+
+def test_pdf():
+    from lakeloom.sources import pdf
+
+    blocks = [block("heading", level=1, text="Title (x)"), block("paragraph", runs=[run("body text " * 40)]), block("pagebreak"), block("list", ordered=True, items=[{"level": 0, "text": "one"}])]
+    pages = pdf.read(pdf.write(blocks))
+    assert len(pages) == 2 and pages[0]["text"].startswith("# Title (x)") and pages[0]["text"].count("body") == 40 and pages[1]["text"] == "1. one"
+    with pytest.raises(package.Refused):
+        pdf.read(b"%PDF-1.4 trailer << /Encrypt 1 0 R >>")
