@@ -45,3 +45,12 @@ def manifest(header: Column) -> Column:
     pairs = F.filter(F.transform(F.split(header, r"\|"), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v"), x.contains(":").alias("ok"))), lambda x: x["ok"])
     unique = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["k"]), F.create_map(x["k"], x["v"])))
     return unique
+
+
+def substitute(pages: DataFrame, cached: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pages (keys, text, garbled) with cached text (keys, cached) in place of garbled text, and the
+    keys of garbled pages that have none: while there are any, a conversion must be refused."""
+    bad = pages.where("garbled").select(*keys)
+    whole = pages.join(cached, keys, "left")
+    text = F.when(F.col("garbled"), F.coalesce("cached", "text")).otherwise(F.col("text"))
+    return whole.select(*keys, text.alias("text")), bad.join(cached, keys, "left_anti")

@@ -70,6 +70,24 @@ def manifest_fields(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "nation").select("n_nationkey", caches.manifest(head).alias("m")).select("n_nationkey", F.col("m")["engine"].alias("engine"), F.col("m")["name"].alias("name"))
 
 
+_GARBLED = "(SELECT doc_id, text, length(text) < 200 AS garbled FROM documents)"
+
+
+@query(f"SELECT doc_id, CASE WHEN garbled AND doc_id % 2 = 0 THEN 'cached' ELSE 'own' END AS origin FROM {_GARBLED}")
+def conversion_substitute(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "documents").select("doc_id", F.lit("own").alias("text"), (F.length("text") < 200).alias("garbled"))
+    cached = table(spark, folder, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit("cached").alias("cached"))
+    return caches.substitute(pages, cached, ["doc_id"])[0].select("doc_id", F.col("text").alias("origin"))
+
+
+@query(f"SELECT doc_id FROM {_GARBLED} WHERE garbled AND doc_id % 2 <> 0")
+def conversion_guard(spark: SparkSession, folder: str) -> DataFrame:
+    """Garbled documents for which there is no cached text."""
+    pages = table(spark, folder, "documents").select("doc_id", F.lit("own").alias("text"), (F.length("text") < 200).alias("garbled"))
+    cached = table(spark, folder, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit("cached").alias("cached"))
+    return caches.substitute(pages, cached, ["doc_id"])[1]
+
+
 def _boxes(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as boxes on pages: a page is an order."""
     return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 600).alias("x"), (F.col("l_suppkey") * 7 % 800).alias("y"), (0.8 + F.col("l_discount").cast("double") * 2).alias("score"), F.concat(F.lit("word"), F.col("l_partkey").cast("string")).alias("text"))

@@ -97,3 +97,14 @@ def test_pdf():
     assert len(pages) == 2 and pages[0]["text"].startswith("# Title (x)") and pages[0]["text"].count("body") == 40 and pages[1]["text"] == "1. one"
     with pytest.raises(package.Refused):
         pdf.read(b"%PDF-1.4 trailer << /Encrypt 1 0 R >>")
+
+
+def test_image_sizes():
+    import struct
+
+    from lakeloom.sources import image
+
+    assert image.size(b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + struct.pack(">II", 3, 4)) == ("png", 3, 4)
+    assert image.size(b"GIF89a" + struct.pack("<HH", 5, 6)) == ("gif", 5, 6)
+    assert image.size(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08" + struct.pack(">HH", 8, 7) + b"\0") == ("jpeg", 7, 8)
+    assert image.size(b"BM") is None and image.size(b"x") is None
