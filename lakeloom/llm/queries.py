@@ -98,4 +98,27 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_quality": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+x AS (SELECT doc_id, i, ws[i:i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+r AS (SELECT doc_id, i FROM x QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, sum(least(5, coalesce(after - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM r) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, t, ws, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN c USING (doc_id)),
+k AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_repeat_words,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    10 * n_symbols > n_words OR 10 * length(regexp_replace(t, '\P{L}+', '', 'g')) < 3 * word_chars
+      OR 10 * length(regexp_replace(t, '\P{Lu}+', '', 'g')) > 9 * word_chars OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+      OR (len(ls) >= 10 AND 2 * (len(ls) - len(list_distinct(ls))) > len(ls))
+      OR 2 * coalesce(list_sum(list_transform(range(2, len(ws) + 1), lambda i: CASE WHEN ws[i] = ws[i - 1] THEN 1 ELSE 0 END)), 0) > n_words AS rejected
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM k
+""",
+}
