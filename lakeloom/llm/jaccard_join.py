@@ -21,6 +21,7 @@ are linked with nothing. Rows that share an id count as one document; a null id
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -253,37 +254,36 @@ def links(docs: DataFrame, survivors: DataFrame, doc_id: str, text: str, width:
     """Links (a, b) that connect the documents whose ids are in survivors (doc) as all links do."""
     chosen = materialise(_sets(docs, survivors, doc_id, text, width), "sets")
     base = chosen.select(F.lit(0).cast("long").alias("parent"), "doc", "n", F.col("full").alias("rest"), F.lit(True).alias("loose"))
-    found: list[DataFrame] = []
+    small: list[DataFrame] = []  # members of regions to join in a task, of all levels
+    large_: list[tuple[DataFrame, DataFrame]] = []  # members and sizes of regions to join in blocks
 
-    def joined(regions: DataFrame, sizes: DataFrame) -> None:
-        small = regions.join(sizes.where(F.col("size") <= SMALL), "region", "left_semi").select("region", "doc")
-        found.append(materialise(_join_small(small.join(chosen.select("doc", "full"), "doc"), percent), "small"))
-
-    def dense(regions: DataFrame, sizes: DataFrame) -> None:
-        large = regions.join(sizes, "region", "left_semi").select("region", "doc")
-        found.append(_join_dense(large.join(chosen.select("doc", "full"), "doc"), sizes, percent))
+    def small_ones(regions: DataFrame, sizes: DataFrame) -> None:
+        small.append(regions.join(sizes.where(F.col("size") <= SMALL), "region", "left_semi").select("region", "doc"))
 
     for level in range(LEVELS + 1):
         regions = _regions(_keys(base, percent))
         sizes = materialise(regions.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        joined(regions, sizes)
+        small_ones(regions, sizes)
         large = sizes.where(F.col("size") > SMALL)
         if not large.limit(1).count():
             break
         if level == LEVELS:
-            dense(regions, large)
+            large_.append((regions.join(large, "region", "left_semi").select("region", "doc"), large))
             break
         rows = regions.join(large, "region", "left_semi").join(base.select("parent", "doc", "n", "rest"), ["parent", "doc"])
         base = materialise(_company(materialise(_exclude(rows, percent), "members"), percent), "level")
         near = base.where("NOT loose").select(F.col("parent").alias("region"), "doc")
         sizes = materialise(near.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        joined(near, sizes)
+        small_ones(near, sizes)
         large = sizes.where(F.col("size") > SMALL)
-        if large.limit(1).count():
-            dense(near, large)
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
+        large_.append((near.join(large, "region", "left_semi"), large))
+    full = chosen.select("doc", "full")
+    out = _join_small(reduce(DataFrame.union, small).join(full, "doc"), percent)
+    if large_:
+        members, sizes = (reduce(DataFrame.union, x) for x in zip(*large_))
+        sizes = materialise(sizes, "sizes")
+        if sizes.limit(1).count():
+            out = out.union(_join_dense(members.join(full, "doc"), sizes, percent))
     return out
 
 
