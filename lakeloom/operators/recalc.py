@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def recalculate(cells: DataFrame, book: str = "book", most: int | None = None) -> DataFrame:
@@ -15,22 +20,40 @@ def recalculate(cells: DataFrame, book: str = "book", most: int | None = None) -
     sizes = cells.groupBy(book).agg(F.count("*").alias("__n"))
     rows = cells.join(sizes, book).withColumn("__skip", F.lit(False) if most is None else F.col("__n") > most)
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        from lakeloom.functions.formula import num, recalculate as solve, show
+    columns = [book, "sheet", "row", "col", "v", "t", "f", "__skip"]
+    target = to_arrow_schema(StructType.fromDDL(f"`{book}` {cells.schema[book].dataType.simpleString()}, sheet string, row int, col int, v string, state string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Workbooks lie side by side within the partition; one may span batches."""
+        listed = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        out: list[tuple] = []
+        for name, rows in groupby(listed, key=lambda r: r[0]):
+            out += ((name, *place, v, state) for place, v, state in _solve(list(rows)))
+            if len(out) > 10_000:
+                yield _batch(out, target)
+                out = []
+        yield _batch(out, target)
+
+    grouped = rows.select(*columns).repartition(book).sortWithinPartitions(book)
+    kind = cells.schema[book].dataType.simpleString()
+    return grouped.mapInArrow(run, f"`{book}` {kind}, sheet string, row int, col int, v string, state string")
 
-        places = list(zip(b["sheet"], b["row"], b["col"]))
-        kinds = {"n": lambda v: num(v), "b": lambda v: v == "TRUE"}
-        values = {p: kinds.get(t, lambda v: v)(v) if v is not None else "" for p, v, t in zip(places, b["v"], b["t"])}
-        formulas = {p: f for p, f in zip(places, b["f"]) if f}
-        if b["__skip"].any():
-            done = {p: (values[p], "skipped") for p in formulas}
-        else:
-            done = solve(values, formulas, sorted(set(b["sheet"])))
-        name = b[book].iloc[0]
-        return pd.DataFrame([(name, *p, show(v), s) for p, (v, s) in done.items()], columns=[book, "sheet", "row", "col", "v", "state"])
 
-    kind = cells.schema[book].dataType.simpleString()
-    return rows.groupBy(book).applyInPandas(run, f"`{book}` {kind}, sheet string, row int, col int, v string, state string")
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _solve(rows: list[tuple]) -> list[tuple]:
+    """(place, value as text, state) of the formulas of one workbook."""
+    from lakeloom.functions.formula import num, recalculate as solve, show
+
+    kinds = {"n": num, "b": lambda v: v == "TRUE"}
+    values = {r[1:4]: "" if r[4] is None else kinds.get(r[5], lambda v: v)(r[4]) for r in rows}
+    formulas = {r[1:4]: r[6] for r in rows if r[6]}
+    if rows[0][7]:
+        return [(p, show(values[p]), "skipped") for p in formulas]
+    return [(p, show(v), s) for p, (v, s) in solve(values, formulas, sorted({r[1] for r in rows})).items()]
 
 
 def census(results: DataFrame, book: str = "book") -> DataFrame:
