@@ -1,11 +1,18 @@
 r"""Operator 7: licence scans by a trained paragraph classifier, in DataFrame functions alone.
 
-A paragraph is a line of a text. A logistic regression over sparse word n-grams (one and two words)
+A text's lines fall into blocks at lines without letter and digit (comment marks alone leave a line blank).
+A paragraph is a run of lines of a block: a line, and up to REACH words in the lines after it, so notices
+wrapped at any width are seen whole. A logistic regression over sparse word n-grams (one and two words)
 tells licence families and the class ``unknown`` apart; its temperature is calibrated on held-back
 examples, and a family is predicted only where its probability reaches the least that keeps unknown
-paragraphs out there. A prediction counts once a template of the family confirms it: enough of the
-template's words must occur in the paragraph. Every template has one of the ANCHORS words, so only
-paragraphs with one of them can be confirmed, and others are passed over early.
+paragraphs out there. A prediction counts once the family confirms it: enough of the words of one of its
+TEMPLATES must occur in the paragraph, a word of KEYS among them, or one of its PHRASES as it stands. Of confirmed paragraphs
+the best covered is taken first, then the shortest, and none that shares a line with one taken; where one of
+several lines touches another of its family, both are one licence. So a line has one family, and an SPDX
+expression of several gives the one that the classifier is sure of, if any.
+
+Early, only runs with an anchor are let through, which loses nothing: of a template of n words of which m
+must occur, any n - m + 1 words have one that occurs, and of a phrase any word; anchors are such words.
 
 Training takes place on the driver, over the templates and at most ``background`` sampled texts. Null
 and empty texts have no paragraphs and get no licence. Each row is scanned on its own, repeats included;
@@ -15,7 +22,6 @@ every row of the input is returned.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,8 +43,27 @@ TEMPLATES = {
     "unlicense": ["this is free and unencumbered software released into the public domain", "released under the unlicense license"],
 }
 # Sentences that speak of licences without being one.
-OTHERS = ["the driver needs a license to drive the truck", "all rights reserved copyright by the author", "he lost his fishing license last year", "the new license fee will be paid by the public", "copyright law is a branch of law", "please read the terms of use", "free software is a matter of liberty", "permission to enter was not granted", "the license was revoked under the new law", "the city library is open to the public", "software version notes and changes", "general public opinion about the work"]
-ANCHORS = "licen[sc]|copyright|redistribut|hereby granted|free software|unencumbered"
+OTHERS = ["the driver needs a license to drive the truck", "all rights reserved copyright by the author", "he lost his fishing license last year", "the new license fee will be paid by the public", "copyright law is a branch of law", "please read the terms of use", "free software is a matter of liberty", "permission to enter was not granted", "the license was revoked under the new law", "the city library is open to the public", "software version notes and changes", "spdx license identifier isc", "license identifier zlib", "license identifier epl", "released under the terms of the agreement", "the source code is in the public domain of discussion", "general public opinion about the work"]
+# Short forms that count only word by word, SPDX identifiers among them.
+PHRASES = {
+    "agpl": ["license identifier agpl", "gnu affero general public license", "gnu agpl"],
+    "apache": ["license identifier apache", "apache license"],
+    "bsd": ["license identifier bsd", "bsd license", "bsd clause license"],
+    "cc-by": ["license identifier cc by", "creative commons attribution license"],
+    "cc-by-nc": ["license identifier cc by nc", "creative commons attribution noncommercial"],
+    "cc-by-sa": ["license identifier cc by sa", "creative commons attribution sharealike"],
+    "cc0": ["license identifier cc0", "cc0 universal"],
+    "gpl": ["license identifier gpl", "gnu general public license", "gnu gpl"],
+    "lgpl": ["license identifier lgpl", "gnu lesser general public license", "gnu library general public license", "gnu lgpl"],
+    "mit": ["license identifier mit", "mit license"],
+    "mpl": ["license identifier mpl", "mozilla public license"],
+    "unlicense": ["license identifier unlicense", "unlicense license"],
+}
+# Of families whose templates are near another's, words of which a template needs one.
+KEYS = {"agpl": ["affero"], "cc-by-nc": ["nc", "noncommercial"], "cc-by-sa": ["sa", "sharealike"], "gpl": ["general"], "lgpl": ["lesser"]}
+COMMON = frozenset("a all and any are as at by can file following form forms free has in is it law may mit not of or other out permitted person possible program project provided public released related rights source subject terms that the this to under use version with without work you your".split())
+REACH = 48  # words after a paragraph's first line; the longest template has 29
+NAMES = "licen[sc]|copyright|redistribut|hereby granted|free software|unencumbered"  # texts with these are no background
 UNKNOWN = "unknown"
 WORD = r"[^a-z0-9]+"
 
@@ -60,7 +85,7 @@ class Classifier:
         self.classes = [UNKNOWN, *sorted(TEMPLATES)]
         draw = random.Random(seed)
         fit, rest = self._examples(draw, background, 40), self._examples(draw, background, 12)
-        own = sorted({g for x in TEMPLATES.values() for t in x for g in _grams(t.split())})
+        own = sorted({g for x in (*TEMPLATES.values(), *PHRASES.values()) for t in x for g in _grams(t.split())})
         self.place = {g: i for i, g in enumerate(own)}
         self.weights = self._descend(*self._matrix(fit))
         x, y = self._matrix(rest)
@@ -74,7 +99,7 @@ class Classifier:
         noise = [w for x in background for w in x] or ["the"]
         out = []
         for k, family in enumerate(self.classes[1:], 1):
-            for t in TEMPLATES[family]:
+            for t in TEMPLATES[family] + PHRASES[family]:
                 for _ in range(each):
                     words = [w for w in t.split() if draw.random() > 0.05]
                     before, after = ([draw.choice(noise) for _ in range(draw.randint(0, 3))] for _ in range(2))
@@ -116,48 +141,90 @@ class Classifier:
         return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
 
-def paragraphs(docs: DataFrame, text: str) -> DataFrame:
-    """Columns of docs, __pos and __line for each line that has an anchor word."""
-    lines = F.when(F.col(text).cast("string").rlike(f"(?i){ANCHORS}"), F.filter(F.transform(F.split(F.col(text).cast("string"), "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda x: x["line"].rlike(f"(?i){ANCHORS}")))
-    return docs.withColumn("__p", F.explode(lines)).select(*docs.columns, F.col("__p.pos").alias("__pos"), F.col("__p.line").alias("__line"))
+def anchors(share: float = 0.6) -> list[str]:
+    """Words of which every confirmed paragraph has at least one."""
+    rare = lambda words: sorted(words, key=lambda w: (w in COMMON, -len(w), w))
+    out = {rare(set(p.split()))[0] for x in PHRASES.values() for p in x}
+    for t in (t for x in TEMPLATES.values() for t in x):
+        words = rare(set(t.split()))
+        least = next(m for m in range(len(words) + 1) if m / len(words) >= share)
+        out.update(words[: len(words) - least + 1])
+    return sorted(out)
+
+
+def anchored(text: Column, share: float = 0.6) -> Column:
+    return F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(anchors(share))})(?![a-z0-9])")
+
+
+def verdict(words: Column, model: Classifier) -> Column:
+    """Family, probability and coverage of a paragraph's words; null where it is not confirmed."""
+    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))).otherwise(F.array().cast("array<string>"))
+    grams = F.array_intersect(F.concat(words, pairs), F.lit(sorted(model.place)))
+    line = F.concat(F.lit(" "), F.concat_ws(" ", words), F.lit(" "))
+
+    def coverage(family: str) -> Column:
+        sets = [sorted(set(t.split())) for t in TEMPLATES[family]]
+        whole = [F.when(line.contains(f" {x} "), model.share).otherwise(0.0) for x in PHRASES[family]]
+        most = F.greatest(*(F.size(F.array_intersect(words, F.lit(s))) / len(s) for s in sets), F.lit(0.0))
+        named = F.arrays_overlap(words, F.lit(KEYS[family])) if family in KEYS else F.lit(True)
+        return F.greatest(F.when(named, most).otherwise(0.0), *whole)
+
+    def judged(p: Column) -> Column:
+        k = F.array_position(p, F.array_max(p)).cast("int")
+        cases = F.lit(0.0)
+        for i, family in enumerate(model.classes[1:], 2):
+            cases = F.when(k == i, coverage(family)).otherwise(cases)
+        return F.struct(F.element_at(F.lit(model.classes), k).alias("family"), F.array_max(p).alias("probability"), cases.alias("coverage"))
+
+    likely = F.greatest(*(coverage(f) for f in model.classes[1:])) >= model.share
+    found = F.when(likely, F.transform(F.array(model.probabilities(grams)), judged))
+    return F.get(F.filter(found, lambda v: (v["probability"] >= model.least) & (v["coverage"] >= model.share)), F.lit(0))
 
 
 def fit(docs: DataFrame, text: str = "text", background: int = 400) -> Classifier:
-    """Learns from the templates and lines of about ``background`` random texts without anchor words."""
+    """Learns from the templates and lines of about ``background`` random texts that name no licence."""
     n = docs.count()
     part = docs.select(F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
     part = part.sample(fraction=min(1.0, background / n), seed=13) if n else part
-    rows = part.select(words_of(F.element_at(F.split("t", "\n"), 1)).alias("w"), "t").where(f"NOT t RLIKE '(?i){ANCHORS}'").select("w").limit(2 * background).collect()
+    rows = part.select(words_of(F.element_at(F.split("t", "\n"), 1)).alias("w"), "t").where(~F.col("t").rlike(f"(?i){NAMES}")).select("w").limit(2 * background).collect()
     return Classifier([r["w"] for r in rows if r["w"]])
 
 
 def scan(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each confirmed licence paragraph: doc_id, line (from 0), family, probability, coverage."""
-    rows = paragraphs(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text")
-    rows = rows.select("doc_id", F.col("__pos").alias("line"), words_of(F.col("__line")).alias("w"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("grams", F.array_intersect(F.concat("w", pairs), F.lit(sorted(model.place))))
-    rows = rows.withColumn("p", model.probabilities(F.col("grams")))
-    rows = rows.withColumn("probability", F.array_max("p"))
-    rows = rows.withColumn("family", F.element_at(F.lit(model.classes), F.array_position("p", F.col("probability")).cast("int")))
-    cases = None
-    for family, found in _templates():
-        most = F.greatest(*found, F.lit(0.0))
-        cases = F.when(F.col("family") == family, most) if cases is None else cases.when(F.col("family") == family, most)
-    rows = rows.withColumn("coverage", cases)
-    return rows.where((F.col("probability") >= model.least) & (F.col("coverage") >= model.share)).select("doc_id", "line", "family", "probability", "coverage")
-
-
-def _templates() -> Iterator[tuple[str, list[Column]]]:
-    for family, texts in TEMPLATES.items():
-        sets = [sorted(set(t.split())) for t in texts]
-        yield family, [F.size(F.array_intersect("w", F.lit(s))) / len(s) for s in sets]
+    """Each licence: doc_id, first line (from 0), family, probability, coverage."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where(anchored(F.col("text"), model.share))
+    bare = lambda x: F.regexp_replace(x, r"(?i)^[^\p{L}\p{N}]*(?:dnl|rem)(?![\p{L}\p{N}])", "")
+    lines = rows.select("doc_id", F.transform(F.split("text", "\r\n|\r|\n"), bare).alias("lines"))
+    lines = lines.select("doc_id", F.transform("lines", words_of).alias("w"), F.transform("lines", lambda x: ~x.rlike(r"[\p{L}\p{N}]")).alias("blank"))
+    known = F.lit(anchors(model.share))
+    lines = lines.withColumn("anchor", F.transform("w", lambda w: F.arrays_overlap(w, known)))
+    run = lambda c, i, j: F.slice(c, i + 1, j - i + 1)
+    words = lambda i, j: F.flatten(run("w", i, j))
+    size = F.size("w")
+
+    def runs(i: Column) -> Column:
+        """Verdicts of the runs of lines that begin with line i."""
+        reach = lambda j: (j <= i + 1) | (F.size(words(i + 1, F.greatest(i + 1, j - 1))) < REACH)
+        fits = lambda j: ~F.exists(run("blank", i, j), lambda x: x) & F.exists(run("anchor", i, j), lambda x: x) & reach(j)
+        ends = F.filter(F.sequence(i, F.least(i + REACH, size - 1)), fits)
+        return F.filter(F.transform(ends, lambda j: F.struct(i.alias("line"), j.alias("last"), F.get(F.transform(F.array(words(i, j)), lambda w: verdict(w, model)), F.lit(0)).alias("v"))), lambda x: x["v"].isNotNull())
+
+    starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.exists(run("anchor", i, F.least(i + REACH, size - 1)), lambda x: x))
+    found = lines.select("doc_id", F.flatten(F.transform(starts, runs)).alias("found"))
+    meets = lambda x, y: (y["line"] <= x["last"]) & (x["line"] <= y["last"])
+    order = lambda x: F.struct((-x["v"]["coverage"]).alias("c"), (x["last"] - x["line"]).alias("n"), x["line"].alias("line"), x["last"].alias("last"), x["v"].alias("v"))
+    ranked = found.select("doc_id", F.array_sort(F.transform("found", order)).alias("found"))
+    taken = F.aggregate("found", F.slice("found", 1, 0), lambda a, x: F.when(F.exists(a, lambda y: meets(x, y)), a).otherwise(F.concat(a, F.array(x))))
+    chosen = ranked.select("doc_id", taken.alias("chosen"))
+    goes_on = lambda y, x: (y["v"]["family"] == x["v"]["family"]) & (y["last"] + 1 == x["line"]) & (y["n"] + x["n"] > 0)
+    once = chosen.select("doc_id", F.explode(F.filter("chosen", lambda x: ~F.exists("chosen", lambda y: goes_on(y, x)))).alias("x"))
+    return once.select("doc_id", F.col("x.line").alias("line"), "x.v.*")
 
 
 def per_document(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_licenses (confirmed paragraphs) and families (sorted, distinct) of each row.
+    """doc_id, n_licenses and families (sorted, distinct) of each row.
 
-    Rows that share an id share their result, which counts the paragraphs of all of them.
+    Rows that share an id share their result, which counts the licences of all of them.
     """
     found = scan(docs, model, doc_id, text).groupBy("doc_id").agg(F.count("*").alias("n_licenses"), F.array_sort(F.collect_set("family")).alias("families"))
     rows = docs.select(F.col(doc_id).alias("doc_id")).join(found, "doc_id", "left")

@@ -149,6 +149,55 @@ def test_licenses(docs, texts):
     assert {i for i, f in got.items() if f} == {14} and got[14] == ["mit"] and len(got) == len(texts)
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    from lakeloom.llm import licenses
+
+    heads = {
+        "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License.",
+        "apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "gpl": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.',
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+    }
+    spdx = dict(zip(heads, "AGPL-3.0-only Apache-2.0 BSD-3-Clause CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 GPL-2.0-or-later LGPL-2.1-only MIT MPL-2.0 Unlicense".split()))
+    rows, want = [], {}
+    for family, head in heads.items():
+        for width in (20, 40, 70):
+            for mark in ("", "# ", " * ", "dnl "):
+                text = f"{prose(7, 30)}\n{mark}\n" + "\n".join(mark + x for x in textwrap.wrap(head, width)) + f"\n{mark}\n{prose(8, 30)}"
+                rows.append((len(rows), text))
+                want[len(rows) - 1] = [family]
+        rows.append((len(rows), f"// SPDX-License-Identifier: {spdx[family]}\n{prose(3, 20)}"))
+        want[len(rows) - 1] = [family]
+    plain = ["SPDX-License-Identifier: ISC", "He was released\nunder the law of the city\nand the source of the terms is public", "Redistribution and use in source\n\n\nwas binary", "the driver needs\na license to drive"]
+    both = textwrap.fill(heads["bsd"], 50) + "\nReleased under the MIT License.\nReleased under the MIT License."
+    rows += [(1000 + i, t) for i, t in enumerate([*plain, both])]
+    want |= {1000 + i: [] for i in range(len(plain))} | {1000 + len(plain): ["bsd", "mit"]}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.per_document(df, licenses.fit(df)).collect()}
+    assert {i: list(r.families) for i, r in got.items()} == want
+    assert got[1000 + len(plain)].n_licenses == 3 and all(got[i].n_licenses == 1 for i in want if i < 1000)
+
+
+def test_license_anchors_lose_nothing():
+    from lakeloom.llm import licenses
+
+    known = set(licenses.anchors())
+    for t in (t for x in licenses.TEMPLATES.values() for t in x):
+        rest = set(t.split()) - known
+        assert len(rest) / len(set(t.split())) < 0.6
+    assert all(set(p.split()) & known for x in licenses.PHRASES.values() for p in x)
+
+
 def test_language(spark, docs):
     from lakeloom.llm import language_id
 
