@@ -3,7 +3,9 @@
 A text is a normalised TF-IDF vector of its hashed character n-grams (orders 1 to 3). Each language has
 several centroids, found by spherical k-means over its training texts. The prediction is the language of
 the centroid with the largest cosine. A text whose distance from that centroid exceeds what its
-language's training texts show is rejected.
+language's training texts of like length show is rejected: each half of them is held against centroids of
+the other half, and what lies clearly below nearly all of these cosines is out. Lengths with few training
+texts take the most lenient of the language's floors, which falls for texts shorter than those known.
 
 The centroids are fitted on at most ``per_language`` texts of a language, of at most ``max_chars``
 characters each; every text is scored whole. Null texts and texts without a letter get ``und``, score 0
@@ -26,6 +28,8 @@ from lakeloom.llm.common import held_out
 
 DIMS = 4096
 ORDERS = range(1, 4)
+BANDS = 32
+SLACK = 0.8  # a text may fall this much short of what left-out texts show
 
 
 @dataclass
@@ -34,25 +38,26 @@ class Centroids:
     owner: np.ndarray  # of each centroid, the place of its language
     vectors: np.ndarray  # centroids by dimensions, normalised
     idf: np.ndarray
-    floor: np.ndarray  # for each language the least cosine that is not rejected
+    floor: np.ndarray  # languages by bands of length: the least cosine that is not rejected
     sharpness: float = 24.0
 
-    def scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text: the language's place (-1: und), the score and the cosine."""
-        best, score, cosine = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
+    def scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each text: the language's place (-1: und), the score, the cosine and its floor."""
+        best, score, cosine, least = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
         for at in range(0, len(texts), 256):
             block = [counts(t) for t in texts[at : at + 256]]
             rows = [i for i, c in enumerate(block) if c is not None]
             if not rows or not self.languages:
                 continue
-            cos = weighted(np.stack([block[i] for i in rows]), self.idf) @ self.vectors.T
+            found = np.stack([block[i] for i in rows])
+            cos = weighted(found, self.idf) @ self.vectors.T
             by = np.stack([cos[:, self.owner == k].max(axis=1) for k in range(len(self.languages))], axis=1).astype(float)
             pick = by.argmax(axis=1)
             top = by[np.arange(len(rows)), pick]
             share = 1 / np.exp(self.sharpness * (by - top[:, None])).sum(axis=1)
             where = np.array(rows) + at
-            best[where], score[where], cosine[where] = pick, share, top
-        return best, score, cosine
+            best[where], score[where], cosine[where], least[where] = pick, share, top, self.floor[pick, bands(found)]
+        return best, score, cosine, least
 
 
 def counts(text: str | None) -> np.ndarray | None:
@@ -64,6 +69,27 @@ def counts(text: str | None) -> np.ndarray | None:
     return np.bincount(buckets.astype(np.int64), minlength=DIMS).astype(np.float32)
 
 
+def bands(rows: np.ndarray) -> np.ndarray:
+    """The band of length of each text's counts: powers of two of its n-grams."""
+    return np.minimum(np.log2(np.maximum(rows.sum(axis=1), 1)).astype(int), BANDS - 1)
+
+
+def floors(rows: np.ndarray, band: np.ndarray, clusters: int) -> np.ndarray:
+    """For each band the least cosine that a text of the language is expected to have."""
+    half = np.arange(len(rows)) % 2 == 0
+    cosine = np.zeros(len(rows))
+    for own in (half, ~half) if len(rows) > 1 else ():
+        cosine[own] = (rows[own] @ clustered(rows[~own], clusters).T).max(axis=1)
+    lowest = lambda c: min(np.quantile(c, 0.001), c.mean() - 4 * c.std())
+    many = {b: lowest(cosine[band == b]) for b in np.unique(band) if (band == b).sum() >= 30}
+    out = np.full(BANDS, min(many.values()) if many else lowest(cosine))
+    for b, c in many.items():
+        out[b] = c
+    # Below the shortest length that is known, cosines fall with the length.
+    first = min(many) if many else int(band.min())
+    return SLACK * out * 2.0 ** (np.minimum(np.arange(BANDS) - first, 0) / 4)
+
+
 def weighted(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
     out = np.log1p(rows) * idf
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
@@ -90,7 +116,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~F.coalesce(held_out("i"), F.lit(True)) & (F.length("t") <= max_chars))
     share = {r["l"]: min(1.0, per_language / r["n"]) for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not share:
-        return Centroids([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
+        return Centroids([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros((0, BANDS)))
     spread = F.pmod(F.xxhash64("i"), F.lit(1_000_000)) / 1_000_000
     wanted = F.element_at(F.create_map(*(F.lit(x) for kv in sorted(share.items()) for x in kv)), F.col("l"))
     learned: dict[str, list[np.ndarray]] = {}
@@ -103,11 +129,12 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     vectors, owner, floor = [], [], []
     for k, x in enumerate(names):
-        own = weighted(np.stack(learned.pop(x)), idf)
+        raw = np.stack(learned.pop(x))
+        own = weighted(raw, idf)
         found = clustered(own, clusters)
         vectors.append(found)
         owner += [k] * len(found)
-        floor.append(0.5 * np.quantile((own @ found.T).max(axis=1), 0.001))
+        floor.append(floors(own, bands(raw), clusters))
     return Centroids(names, np.array(owner), np.concatenate(vectors), idf, np.array(floor))
 
 
@@ -123,9 +150,9 @@ def identify(docs: DataFrame, model: Centroids, keep: list[str], doc_id: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            best, score, cosine = m.scored(b.column(len(kept)).to_pylist())
+            best, score, cosine, least = m.scored(b.column(len(kept)).to_pylist())
             names = pa.array([m.languages[k] if k >= 0 else "und" for k in best], pa.string())
-            rejected = pa.array([k < 0 or c < m.floor[k] for k, c in zip(best, cosine)], pa.bool_())
+            rejected = pa.array((best < 0) | (cosine < least), pa.bool_())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), names, pa.array(score), pa.array(cosine), rejected], [*kept, *new])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)

@@ -212,6 +212,20 @@ def test_language(spark, docs):
     assert none.count() == 0
 
 
+def test_language_rejects_gibberish(spark):
+    from lakeloom.llm import language_id
+
+    r = np.random.default_rng(6)
+    said = {"en": "the and that of with there which have from they been other would could about their when more these through", "fr": "les des une dans pour avec nous vous leur cette mais comme être tout aussi entre après même ainsi plus"}
+    rows = [(i, " ".join(r.choice(said[k].split(), 20 + i % 300)), k) for i in range(1200) for k in [["en", "fr"][i % 2]]]
+    odd = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz     "), n)) for n in (1500, 9000)]
+    odd += [" ".join(r.choice("tämä talo kuin mutta hän oli myös sitten koska vielä jälkeen kaikki".split(), n)) for n in (60, 300)]
+    df = spark.createDataFrame(rows + [(9000 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in language_id.identify(df, language_id.fit(df), ["doc_id"]).collect()}
+    assert all(got[9000 + i].rejected for i in range(len(odd)))
+    assert all(got[i].lang_pred == k and not got[i].rejected for i, _, k in rows)
+
+
 def test_toxicity(spark):
     from lakeloom.llm import toxicity
 
