@@ -1,30 +1,38 @@
 """Operator 6: exact n-gram Jaccard join in the metric space of Jaccard distance.
 
 Documents with the same set are one class, which its smallest id stands for. A class whose shingles are
-mostly its own is farther than the threshold from everything and needs no region. Of the others, each
-shingle among a set's least ones (its prefix) names a pivot: the smallest document with that shingle in
-its prefix. Documents that name a pivot form its Voronoi region; a document that names several pivots
-lies at a boundary and is replicated to each. Two sets that link share a prefix shingle, so they meet.
-
-A small region is joined in one task: pivot by pivot, with the triangle inequality on the distances from
-the first pivot and documents already connected left out. A large region is joined recursively: its
-pivot's shingles move to the end of the order, so what its documents share with the pivot no longer
-brings them together; their new prefixes name pivots of subregions. Documents that consist mostly of
-their pivots' shingles are joined among themselves: a few pivots are compared with all, then documents
-outside the main component with all, in blocks.
-
-Only links that connect something are emitted. Texts without words, and null texts, have no shingles and
-are linked with nothing. Rows that share an id count as one document; a null id is its own component
-(null). Empty tables give empty results; other columns do not matter. Sets are compared by 64-bit hashes.
+mostly its own is farther than the threshold t from everything and needs no region.
+
+Of any pivots, nearly all documents are at distance 1, which no Voronoi split can tell apart. So the space
+is first cut where distance 1 begins: each shingle among the first of a set (its prefix; frequent shingles
+come last) names a pivot, the smallest document with that shingle in its prefix, and a document belongs to
+the cells of the pivots that it names. Two sets that link share a prefix shingle, so they share a cell.
+
+Each cell is joined as a metric space. Pivots drawn from it split it into Voronoi regions: a document goes
+to its nearest pivot's by Jaccard distance, and it is replicated to each other pivot whose distance is
+within 2t of that, for a partner nearest to that pivot can be no farther. Documents at 1 - t or more from
+all pivots make a region of their own, as a partner of one that is nearer shares a shingle with its pivot.
+Regions are split again by pivots of their own, recursively: cells of up to SMALL documents in one task,
+larger ones by chunks over the cluster until they are small. What the windows do not separate is compared
+by the triangle inequality on its distances from the pivots, in blocks where it is large. A pair in several
+regions is compared in the first of them alone: members carry the earlier regions that they are in.
+
+Only links that connect something are emitted; the number of links of each class is counted where its
+pairs are compared. Texts without words, and null texts, have no shingles and are linked with nothing.
+Rows that share an id count as one document, which has the links of all its texts; a null id is its own
+component (null). Empty tables give empty results; other columns do not matter. Sets are compared by 64-bit
+hashes.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +41,13 @@ from lakeloom.llm.components import components
 from lakeloom.llm.shingles import common, prefix_length, shared, shingles
 
 SAMPLE = 0.34  # share of the hash range that tells how much of a set is its own
-SMALL = 200  # documents of a region that one task joins
-CHUNK = 256  # documents of a chunk of a large region
-PIVOTS = 16  # pivots that all documents of a dense region are compared with
-LEVELS = 12  # deeper, regions are joined in blocks
+ORDER_ROWS, ORDER_SIZE = 4096, 1 << 16  # sampled sets, and frequent shingles that the prefixes take last
+SMALL = 512  # documents of a region that one task joins
+CHUNK = 512  # documents of a chunk of a large region
+PIVOTS = 16  # pivots of a large region
+LEAF, SPLIT = 48, 8  # documents that a task compares without more pivots, and pivots of a split within it
+LEVELS = 4  # splits of a large cell over the cluster
+DENSE = 3  # a split that makes so many times the rows separates nothing
 
 
 def _array(data: bytes) -> np.ndarray:
@@ -45,8 +56,6 @@ def _array(data: bytes) -> np.ndarray:
 
 def features(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """doc, n, set (fingerprint), cls (its first 64 bits) and low (hashes below SAMPLE of the range)."""
-    import xxhash
-
     top = np.uint64(int(SAMPLE * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,46 +93,121 @@ def _linked(inter: np.ndarray, n: int, sizes: np.ndarray, percent: int) -> np.nd
     return 100 * inter >= percent * (n + sizes - inter)
 
 
-def join_region(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect the region's documents as all its links do."""
-    n, sizes = len(ids), np.array([len(s) for s in sets])
-    label, links, far = np.arange(n), [], None
-    room = 1 - percent / 100 + 1e-9
-    for p in range(n - 1):
-        fit = (label != label[p]) & (np.arange(n) > p) & (100 * np.minimum(sizes, sizes[p]) >= percent * np.maximum(sizes, sizes[p]))
-        if far is None:
-            inter = common(sets[p], sets)
-            far = 1 - inter / np.maximum(1, sizes + sizes[p] - inter)
-        else:
-            fit &= np.abs(far - far[p]) <= room
-        near = np.flatnonzero(fit)
-        if not len(near):
-            continue
-        inter = common(sets[p], [sets[i] for i in near])
-        for i in near[_linked(inter, sizes[p], sizes[near], percent)]:
-            if label[i] != label[p]:
-                links.append((ids[p], ids[i]))
-                label[label == label[i]] = label[p]
-    return links
+def distances(pivot: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Jaccard distances of sets from a pivot."""
+    inter = common(pivot, sets)
+    return 1 - inter / np.maximum(1, np.array([len(s) for s in sets]) + len(pivot) - inter)
+
+
+def nearby(far: np.ndarray, room: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """From distances (pivots by documents): the members of each pivot's region, and the documents that
+    are too far from all pivots. Members are those nearest to the pivot and those in its window."""
+    least, own = far.min(axis=0), far.argmin(axis=0)
+    out = least >= 1 - room - 1e-9
+    regions = []
+    for k in range(len(far)):
+        core = (own == k) & ~out
+        regions.append(core | ((far[k] <= least + 2 * room + 1e-9) & (far[k] < 1)) if core.any() else core)
+    return regions, out
+
+
+class Region:
+    """Joins the sets of one region in memory. ``before`` are the earlier regions that each set is in."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray], before: list[list[int]], percent: int, every: bool):
+        self.ids, self.sets, self.percent, self.every = ids, sets, percent, every
+        self.sizes, self.label = np.array([len(s) for s in sets], np.int64), np.arange(len(ids))
+        self.counts, self.links = np.zeros(len(ids), np.int64), []
+        self.room = 1 - percent / 100
+        keys, place = np.unique([k for b in before for k in b], return_inverse=True) if any(before) else (np.zeros(0), np.zeros(0, int))
+        self.before = np.zeros((len(ids), len(keys)), np.float32)
+        self.before[np.repeat(np.arange(len(ids)), [len(b) for b in before]), place] = 1
+
+    def join(self) -> None:
+        self._split(np.arange(len(self.ids)), self.before, 6)
+
+    def _split(self, own: np.ndarray, before: np.ndarray, depth: int) -> None:
+        if len(own) <= LEAF or not depth:
+            return self._compare(own, before, None)
+        sets = [self.sets[i] for i in own]
+        far = np.stack([distances(self.sets[p], sets) for p in own[:: max(1, len(own) // SPLIT)][:SPLIT]])
+        regions, out = nearby(far, self.room)
+        regions = [r for r in [*regions, out] if r.any()]
+        if sum(int(r.sum()) for r in regions) > 2 * len(own) or any(r.all() for r in regions):
+            return self._compare(own, before, far)
+        for k, r in enumerate(regions):
+            self._split(own[r], np.column_stack([before[r], *(e[r] for e in regions[:k])]), depth - 1)
+
+    def _compare(self, own: np.ndarray, before: np.ndarray, far: np.ndarray | None, first: int | None = None) -> None:
+        """Pairs of ``own``; of the first ``first`` with the others, where that is given."""
+        sizes, later = self.sizes[own], np.arange(len(own))
+        for k in range(len(own) - 1 if first is None else first):
+            p = own[k]
+            fit = (later > k if first is None else later >= first) & (100 * np.minimum(sizes, sizes[k]) >= self.percent * np.maximum(sizes, sizes[k]))
+            if not self.every:
+                fit &= self.label[own] != self.label[p]
+            if far is not None:
+                fit &= (np.abs(far - far[:, k : k + 1]) <= self.room + 1e-9).all(axis=0)
+            near = np.flatnonzero(fit)
+            if len(near) and before.shape[1]:
+                near = near[before[near] @ before[k] == 0]
+            if not len(near):
+                continue
+            found = own[near][_linked(common(self.sets[p], [self.sets[i] for i in own[near]]), int(sizes[k]), sizes[near], self.percent)]
+            self.counts[found] += 1
+            self.counts[p] += len(found)
+            for i in found:
+                if self.label[i] != self.label[p]:
+                    self.links.append((self.ids[p], self.ids[i]))
+                    self.label[self.label == self.label[i]] = self.label[p]
+
+    def rows(self) -> pa.RecordBatch:
+        """Links (a, b) and, where all are wanted, numbers of links (a, n)."""
+        own = [(i, None, int(c)) for i, c in zip(self.ids, self.counts) if c and self.every]
+        return _rows([(a, b, None) for a, b in self.links] + own)
+
+
+FOUND = "a long, b long, n long"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(3)], ["a", "b", "n"])
 
 
 def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+    return _rows([(a, b, None) for a, b in links])
 
 
-def _join_small(members: DataFrame, percent: int) -> DataFrame:
-    """Links within small regions: members (region, doc, full)."""
+def _join_small(members: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Links within small regions: members (region, doc, before, full)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links: list[tuple[int, int]] = []
         for _, rows in _groups(batches, 1):
-            links += join_region([r[0] for r in rows], [_array(r[1]) for r in rows], percent)
-            if len(links) > 10_000:
-                yield _pairs(links)
-                links = []
-        yield _pairs(links)
+            region = Region([r[0] for r in rows], [_array(r[2]) for r in rows], [r[1] for r in rows], percent, every)
+            region.join()
+            if region.links or region.counts.any():
+                yield region.rows()
+
+    return _by_group(members.select("region", "doc", "before", "full"), ["region"], ["doc"], run, FOUND)
 
-    return _by_group(members.select("region", "doc", "full"), ["region"], ["doc"], run, "a long, b long")
+
+def _join_blocks(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """All links within large regions, by pairs of chunks: members (region, doc, before, full)."""
+    chunks = F.ceil(F.col("size") / CHUNK)
+    dealt = members.join(sizes, "region").withColumn("chunk", F.pmod(F.xxhash64("doc", F.lit(1)), chunks))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("other")
+    met = dealt.select("region", "chunk", "doc", "before", "full", other)
+    met = met.select("region", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc", "before", "full")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), rows in _groups(batches, 3):
+            region = Region([r[1] for r in rows], [_array(r[3]) for r in rows], [r[2] for r in rows], percent, True)
+            first = None if i == j else sum(r[0] == i for r in rows)
+            region._compare(np.arange(len(rows)), region.before, None, first)
+            if region.links:
+                yield region.rows()
+
+    return _by_group(met, ["region", "i", "j"], ["chunk", "doc"], run, FOUND)
 
 
 def _join_dense(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -152,7 +236,7 @@ def _join_dense(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame
     pivots = members.where(spread < F.lit(PIVOTS) / F.col("size"))
     zero = F.lit(0).cast("long")
     stars = members.select("region", "chunk", zero.alias("block"), F.lit(0).alias("role"), "doc", "full").union(pivots.select("region", chunks.alias("chunk"), zero, F.lit(1), "doc", "full"))
-    first = materialise(_by_group(stars, ["region", "chunk", "block"], ["role", "doc"], lambda b: meet(b, False), "a long, b long"), "stars")
+    first = materialise(_by_group(stars, ["region", "chunk", "block"], ["role", "doc"], lambda b: meet(b, False), FOUND), "stars")
     label = components(first)
     tagged = members.select("region", "doc", "chunk", "size").join(label.withColumnRenamed("node", "doc"), "doc", "left")
     main = tagged.where("component IS NOT NULL").groupBy("region", "component").count().groupBy("region").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
@@ -162,65 +246,10 @@ def _join_dense(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame
     blocks = outside.groupBy("region").agg(F.ceil(F.count("*") / CHUNK).alias("blocks"))
     rest = outside.join(blocks, "region").select("region", chunks.alias("chunk"), F.pmod(F.xxhash64("doc", F.lit(3)), "blocks").alias("block"), F.lit(1).alias("role"), "doc", "full")
     every = tagged.join(blocks, "region").select("region", "chunk", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), F.when(F.col("inside"), 2).otherwise(0).alias("role"), "doc", "full")
-    second = _by_group(every.union(rest), ["region", "chunk", "block"], ["role", "doc"], lambda b: meet(b, True), "a long, b long")
+    second = _by_group(every.union(rest), ["region", "chunk", "block"], ["role", "doc"], lambda b: meet(b, True), FOUND)
     return first.union(materialise(second, "rest"))
 
 
-def _keys(base: DataFrame, percent: int) -> DataFrame:
-    """(parent, h, doc, loose): the prefix of what remains of each member."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [_array(x)[: prefix_length(n, percent)].view(np.int64).tolist() for x, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(keys, pa.list_(pa.int64()))], ["parent", "doc", "loose", "keys"])
-
-    found = base.select("parent", "doc", "loose", "rest", "n").mapInArrow(run, "parent long, doc long, loose boolean, keys array<long>")
-    return found.select("parent", F.explode("keys").alias("h"), "doc", "loose")
-
-
-def _regions(keys: DataFrame) -> DataFrame:
-    """(region, owner, parent, doc): a document is in the regions of the pivots that its shingles name.
-
-    Regions without a loose document are joined elsewhere."""
-    named = keys.groupBy("parent", "h").agg(F.min("doc").alias("owner"), F.count("*").alias("n"), F.max("loose").alias("any")).where("n > 1 AND any").drop("n", "any")
-    found = keys.join(named, ["parent", "h"]).select(F.xxhash64("parent", "owner").alias("region"), "owner", "parent", "doc").distinct()
-    return materialise(found, "regions")
-
-
-def _exclude(rows: DataFrame, percent: int) -> DataFrame:
-    """Takes the pivot's shingles from each member's: rows (region, owner, doc, n, rest) become
-    (parent, doc, n, rest, loose); loose: what remains is long enough to be the prefix."""
-    pivot = rows.where("doc = owner").groupBy("region").agg(F.first("rest").alias("taken"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rests, loose = [], []
-            for n, rest, taken in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
-                x = _array(rest)
-                x = x[~shared(_array(taken or b""), x)]
-                rests.append(x.tobytes())
-                loose.append(len(x) >= prefix_length(n, percent))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rests, pa.binary()), pa.array(loose, pa.bool_())], ["parent", "doc", "n", "rest", "loose"])
-
-    joined = rows.join(pivot, "region", "left").select("region", "doc", "n", "rest", "taken")
-    return joined.mapInArrow(run, "parent long, doc long, n long, rest binary, loose boolean")
-
-
-def _company(base: DataFrame, percent: int) -> DataFrame:
-    """Without members most of whose remaining shingles no other member of the region has: they are
-    farther than the threshold from all of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_array(x).view(np.int64).tolist() for x in b.column(2).to_pylist()], pa.list_(pa.int64()))], ["parent", "doc", "hs"])
-
-    spread = base.select("parent", "doc", "rest").mapInArrow(run, "parent long, doc long, hs array<long>").select("parent", "doc", F.explode("hs").alias("h"))
-    alone = spread.groupBy("parent", "h").agg(F.min("doc").alias("doc"), F.max("doc").alias("other")).where("doc = other").groupBy("parent", "doc").agg(F.count("*").alias("alone"))
-    most = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)
-    few = base.select("parent", "doc", "n").join(alone, ["parent", "doc"], "left").where(F.coalesce("alone", F.lit(0)) <= most).select("parent", "doc")
-    return base.join(materialise(few, "company"), ["parent", "doc"], "left_semi")
-
-
 BITS = 1 << 23  # of the map that tells early which documents need no set; its size does not grow
 
 
@@ -250,52 +279,128 @@ def _sets(docs: DataFrame, survivors: DataFrame, doc_id: str, text: str, width:
     return rows.mapInArrow(run, "doc long, full binary, n long").join(survivors, "doc", "left_semi")
 
 
-def links(docs: DataFrame, survivors: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect the documents whose ids are in survivors (doc) as all links do."""
-    chosen = materialise(_sets(docs, survivors, doc_id, text, width), "sets")
-    base = chosen.select(F.lit(0).cast("long").alias("parent"), "doc", "n", F.col("full").alias("rest"), F.lit(True).alias("loose"))
-    small: list[DataFrame] = []  # members of regions to join in a task, of all levels
-    large_: list[tuple[DataFrame, DataFrame]] = []  # members and sizes of regions to join in blocks
+def frequent(sets: DataFrame, n: int) -> np.ndarray:
+    """The most frequent shingles of a bounded sample of sets, most frequent last. They decide which of a
+    set's shingles are its prefix, so how large cells get; results do not depend on them."""
 
-    def small_ones(regions: DataFrame, sizes: DataFrame) -> None:
-        small.append(regions.join(sizes.where(F.col("size") <= SMALL), "region", "left_semi").select("region", "doc"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_array(x).view(np.int64).tolist() for x in b.column(0).to_pylist()], pa.list_(pa.int64()))], ["hs"])
+
+    part = sets.where(F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(1 << 30)) / (1 << 30) < F.lit(ORDER_ROWS / max(1, n)))
+    counts = part.select("full").mapInArrow(run, "hs array<long>").select(F.explode("hs").alias("h")).groupBy("h").count()
+    rows = counts.where("count >= 3").orderBy(F.desc("count"), "h").limit(ORDER_SIZE).collect()
+    return np.array([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def prefix(own: np.ndarray, late: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """A set's first elements in the order of hashes, frequent ones last: ``late`` is sorted, ``place``
+    tells where each of it comes."""
+    spot = np.minimum(np.searchsorted(late, own), max(len(late) - 1, 0))
+    last = late[spot] == own if len(late) else np.zeros(len(own), bool)
+    k = prefix_length(len(own), percent)
+    first = own[~last][:k]
+    if len(first) == k:
+        return first
+    rest = own[last]
+    return np.concatenate([first, rest[np.argsort(place[spot[last]])][: k - len(first)]])
+
+
+def cells(sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """(region, doc, before): the cells of the pivots that each document's prefix names, and those of them
+    that come before each."""
+    order = frequent(sets, n)
+    spot = np.argsort(order)
+    shared_order = sets.sparkSession.sparkContext.broadcast((order[spot], spot))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late, place = shared_order.value
+        for b in batches:
+            keys = [prefix(_array(x), late, place, percent).view(np.int64).tolist() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["doc", "keys"])
+
+    keys = sets.select("doc", "full").mapInArrow(run, "doc long, keys array<long>").select("doc", F.explode("keys").alias("h"))
+    keys = materialise(keys, "keys")
+    named = keys.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("last > owner").drop("last")
+    own = keys.join(named, "h").groupBy("doc").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
+    every = own.select("doc", "owners", F.posexplode("owners").alias("k", "region"))
+    return materialise(every.select("region", "doc", F.slice("owners", 1, F.col("k")).alias("before")), "cells")
+
+
+def _split(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, level: int) -> DataFrame:
+    """(parent, region, doc, before): the Voronoi regions that pivots of each large region make of it."""
+    room = 1 - percent / 100
+    deal = members.join(sizes, "region").withColumn("chunks", F.ceil(F.col("size") / (8 * CHUNK)))
+    drawn = F.pmod(F.xxhash64("doc", F.lit(10 + level)), F.lit(1 << 30)) / (1 << 30) < F.lit(PIVOTS) / F.col("size")
+    rows = deal.join(sets.select("doc", "full"), "doc")
+    pivots = rows.where(drawn).select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "doc", F.array().cast("array<long>").alias("before"), "full")
+    rows = rows.select("region", F.pmod(F.xxhash64("doc", F.lit(1)), "chunks").alias("chunk"), F.lit(1).alias("role"), "doc", "before", "full")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (region, _), own in _groups(batches, 2):
+            pivot = [(r[1], _array(r[3])) for r in own if r[0] == 0]
+            own = [r for r in own if r[0] == 1]
+            key = [struct.unpack("<q", xxhash.xxh64_digest(struct.pack("<qq", region, p)))[0] for p, _ in pivot] + [struct.unpack("<q", xxhash.xxh64_digest(struct.pack("<q", region)))[0]]
+            sets = [_array(r[3]) for r in own]
+            inside, out = nearby(np.stack([distances(p, sets) for _, p in pivot]), room) if pivot and own else ([], np.ones(len(own), bool))
+            place = sorted(range(len(key)), key=lambda k: key[k])
+            made: tuple[list, list, list] = ([], [], [])
+            for i, r in enumerate(own):
+                mine = [key[k] for k in place if (out[i] if k == len(key) - 1 else inside[k][i])]
+                for k, child in enumerate(mine):
+                    for column, value in zip(made, (child, r[1], r[2] + mine[:k])):
+                        column.append(value)
+            if made[0]:
+                yield pa.RecordBatch.from_arrays([pa.array([region] * len(made[0]), pa.int64()), pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.list_(pa.int64()))], ["parent", "region", "doc", "before"])
+
+    return _by_group(pivots.union(rows), ["region", "chunk"], ["role", "doc"], run, "parent long, region long, doc long, before array<long>")
+
+
+def links(docs: DataFrame, survivors: DataFrame, doc_id: str, text: str, width: int, percent: int, every: bool) -> DataFrame:
+    """Links (a, b) that connect the documents whose ids are in survivors (doc) as all links do, and with
+    ``every`` rows (a, n) that sum up to the number of links of a."""
+    sets = materialise(_sets(docs, survivors, doc_id, text, width), "sets")
+    members, small, dense = cells(sets, sets.count(), percent), [], []
     for level in range(LEVELS + 1):
-        regions = _regions(_keys(base, percent))
-        sizes = materialise(regions.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        small_ones(regions, sizes)
+        sizes = materialise(members.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        small.append(members.join(sizes.where(F.col("size") <= SMALL), "region", "left_semi"))
         large = sizes.where(F.col("size") > SMALL)
         if not large.limit(1).count():
             break
+        members = members.join(large, "region", "left_semi")
         if level == LEVELS:
-            large_.append((regions.join(large, "region", "left_semi").select("region", "doc"), large))
+            dense.append((members, large))
             break
-        rows = regions.join(large, "region", "left_semi").join(base.select("parent", "doc", "n", "rest"), ["parent", "doc"])
-        base = materialise(_company(materialise(_exclude(rows, percent), "members"), percent), "level")
-        near = base.where("NOT loose").select(F.col("parent").alias("region"), "doc")
-        sizes = materialise(near.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        small_ones(near, sizes)
-        large = sizes.where(F.col("size") > SMALL)
-        large_.append((near.join(large, "region", "left_semi"), large))
-    full = chosen.select("doc", "full")
-    out = _join_small(reduce(DataFrame.union, small).join(full, "doc"), percent)
-    if large_:
-        members, sizes = (reduce(DataFrame.union, x) for x in zip(*large_))
+        parts = materialise(_split(members, large, sets, percent, level), "regions")
+        grown = parts.groupBy("parent").agg(F.count("*").alias("made")).withColumnRenamed("parent", "region")
+        hard = materialise(large.join(grown, "region").where(F.col("made") > DENSE * F.col("size")).select("region", "size"), "hard")
+        dense.append((members.join(hard, "region", "left_semi"), hard))
+        members = parts.join(hard.select(F.col("region").alias("parent")), "parent", "left_anti").select("region", "doc", "before")
+    full = sets.select("doc", "full")
+    out = _join_small(reduce(DataFrame.union, small).join(full, "doc"), percent, every)
+    if dense:
+        members, sizes = (reduce(DataFrame.union, x) for x in zip(*dense))
         sizes = materialise(sizes, "sizes")
         if sizes.limit(1).count():
-            out = out.union(_join_dense(members.join(full, "doc"), sizes, percent))
-    return out
+            rows = members.join(full, "doc")
+            out = out.union(_join_blocks(rows, sizes, percent) if every else _join_dense(rows.drop("before"), sizes, percent))
+    return materialise(out, "links")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with the same set) and component_id of each row."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest id with the same set) and component_id of each row; with
+    ``count_links`` also n_links, how many other classes the row's class links with."""
     own = materialise(features(docs, doc_id, text, width), "features")
     classes = materialise(own.where("n > 0 AND doc IS NOT NULL").groupBy("set").agg(F.min("doc").alias("rep"), F.first("cls").alias("cls"), F.first("n").alias("n")), "classes")
     spread = own.where("doc IS NOT NULL").select(F.explode("low").alias("h"), "cls").groupBy("h").agg(F.min("cls").alias("cls"), F.max("cls").alias("other"))
     alone = spread.where("cls = other").groupBy("cls").agg(F.count("*").alias("alone"))
     most = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)
     survivors = classes.join(alone, "cls", "left").where(F.coalesce("alone", F.lit(0)) <= most).select(F.col("rep").alias("doc"))
-    label = components(links(docs, materialise(survivors, "survivors"), doc_id, text, width, percent))
+    found = links(docs, materialise(survivors, "survivors"), doc_id, text, width, percent, count_links)
+    label = components(found.where("b IS NOT NULL"))
     reps = classes.select("set", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set", "rep", F.coalesce("component", "rep").alias("component"))
+    if count_links:
+        reps = reps.join(found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links")), "rep", "left")
     rows = own.select("doc", "n", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("set")).alias("set"))
-    return rows.join(reps, "set", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("rep", "doc").alias("class_id"), F.coalesce("component", "doc").alias("component_id"))
+    out = [F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("rep", "doc").alias("class_id"), F.coalesce("component", "doc").alias("component_id")]
+    return rows.join(reps, "set", "left").select(*out, *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []))

@@ -56,7 +56,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm.jaccard_join import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=80, count_links=True)
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
