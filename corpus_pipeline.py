@@ -3,6 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of
 ``documents`` for the rows that they keep; each works on all that its predecessor kept. Null or empty
 texts are rejected by the first stage, repeated rows stay until the third keeps one document of a group.
+Rows without id stay in the third, as they are in no group; of rows that share an id it keeps one.
 An empty table passes through every stage.
 """
 
@@ -36,10 +37,21 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked documents."""
+    """Keeps the document with the smallest id of each group of linked documents.
+
+    A row without id is in no group and stays. Of rows that share an id, which count as one document, the
+    one with the least text stays (of equal texts, the least of the other columns as JSON).
+    """
     groups = jaccard_join.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").select(*docs.columns)
+    gone = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = materialise(again, "again")
+    if not again.limit(1).count():
+        return left
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text"), F.to_json(row))).alias("row"))
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(one.select("row.*"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
