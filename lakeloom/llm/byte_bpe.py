@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.llm.common import tenant
 from lakeloom.llm.spans import SpanEncoder
 
 _NONE = 1 << 62
@@ -124,6 +125,7 @@ class Codec:
 
 
 def _codec(path: str, pattern: str) -> Codec:
+    tenant("byte_bpe", _workers.clear)
     if (path, pattern) not in _workers:
         _workers.clear()
         _workers[path, pattern] = Codec(path, pattern)

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, read by Spark alone (the path may be remote)."""
     importable(spark)
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "2000")  # texts are long: what a worker holds at once
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,18 +37,38 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
 
 
+_tenant: dict[str, Callable[[], object]] = {}
+
+
+def tenant(name: str, forget: Callable[[], object] = lambda: None) -> None:
+    """In a worker: what another operator keeps from task to task goes, as workers outlast operators."""
+    if name not in _tenant:
+        for f in _tenant.values():
+            f()
+        _tenant.clear()
+        _tenant[name] = forget
+        gc.collect()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in tests
-    on one machine, a temporary folder of this machine takes its place.
+    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset and Spark runs on
+    this machine alone, as in tests, a temporary folder takes its place, one for each application.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        found = spark.sparkContext.getCheckpointDir()
-        named = found or tempfile.mkdtemp(prefix="lakeloom-")
-        spark.conf.set("lakeloom.shared.dir", named)
-    return named
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if (own := _local.get(spark.sparkContext.applicationId)) is None:
+        own = _local[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="lakeloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
+
+
+_local: dict[str, str] = {}
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
@@ -55,8 +84,13 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
 
 
 def held_out(doc_id: str = "doc_id"):
-    """True for rows that no model may learn from: crc32(doc_id as text) mod 5 is 0."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """True where crc32(doc_id as text) mod 5 is 0; false for a null id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def learnable(doc_id: str = "doc_id"):
+    """True for rows that models may learn from: they have an id and are not held out."""
+    return F.col(doc_id).isNotNull() & ~held_out(doc_id)
 
 
 def single_threaded() -> None:

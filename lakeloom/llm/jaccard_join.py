@@ -36,9 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import materialise
+from lakeloom.llm.common import materialise, tenant
 from lakeloom.llm.components import components
-from lakeloom.llm.shingles import common, prefix_length, shared, shingles
+from lakeloom.llm.shingles import common, forget, prefix_length, shared, shingles
 
 SAMPLE = 0.34  # share of the hash range that tells how much of a set is its own
 ORDER_ROWS, ORDER_SIZE = 4096, 1 << 16  # sampled sets, and frequent shingles that the prefixes take last
@@ -47,6 +47,7 @@ CHUNK = 512  # documents of a chunk of a large region
 PIVOTS = 16  # pivots of a large region
 LEAF, SPLIT = 48, 8  # documents that a task compares without more pivots, and pivots of a split within it
 LEVELS = 4  # splits of a large cell over the cluster
+BROADCAST_ROWS = 500_000  # of numbers, that a join may broadcast
 DENSE = 3  # a split that makes so many times the rows separates nothing
 
 
@@ -59,6 +60,7 @@ def features(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     top = np.uint64(int(SAMPLE * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant("shingles", forget)
         for b in batches:
             sets = [shingles(t, width) for t in b.column(1).to_pylist()]
             prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
@@ -322,17 +324,28 @@ def cells(sets: DataFrame, n: int, percent: int) -> DataFrame:
     keys = sets.select("doc", "full").mapInArrow(run, "doc long, keys array<long>").select("doc", F.explode("keys").alias("h"))
     keys = materialise(keys, "keys")
     named = keys.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("last > owner").drop("last")
-    own = keys.join(named, "h").groupBy("doc").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
+    own = keys.join(_known(materialise(named, "named")), "h").groupBy("doc").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
     every = own.select("doc", "owners", F.posexplode("owners").alias("k", "region"))
-    return materialise(every.select("region", "doc", F.slice("owners", 1, F.col("k")).alias("before")), "cells")
+    every = materialise(every.select("region", "doc", F.slice("owners", 1, F.col("k")).alias("before")), "cells")
+    # a cell whose documents are all in one earlier cell has no pair that is not met there
+    within = every.select("region", F.explode("before").alias("earlier")).groupBy("region", "earlier").count()
+    sizes = every.groupBy("region").agg(F.count("*").alias("count"))
+    again = within.join(sizes, ["region", "count"], "left_semi").select("region").distinct()
+    return materialise(every.join(again, "region", "left_anti"), "regions")
+
+
+def _known(ids: DataFrame, width: int = 1) -> DataFrame:
+    """Rows of a written table of ids, broadcast where they are counted to be few."""
+    return F.broadcast(ids) if ids.count() * width <= BROADCAST_ROWS else ids
 
 
 def _split(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, level: int) -> DataFrame:
     """(parent, region, doc, before): the Voronoi regions that pivots of each large region make of it."""
     room = 1 - percent / 100
     deal = members.join(sizes, "region").withColumn("chunks", F.ceil(F.col("size") / (8 * CHUNK)))
+    deal = _known(materialise(deal, "deal"))
     drawn = F.pmod(F.xxhash64("doc", F.lit(10 + level)), F.lit(1 << 30)) / (1 << 30) < F.lit(PIVOTS) / F.col("size")
-    rows = deal.join(sets.select("doc", "full"), "doc")
+    rows = sets.select("doc", "full").join(deal, "doc")
     pivots = rows.where(drawn).select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "doc", F.array().cast("array<long>").alias("before"), "full")
     rows = rows.select("region", F.pmod(F.xxhash64("doc", F.lit(1)), "chunks").alias("chunk"), F.lit(1).alias("role"), "doc", "before", "full")
 
@@ -377,12 +390,12 @@ def links(docs: DataFrame, survivors: DataFrame, doc_id: str, text: str, width:
         dense.append((members.join(hard, "region", "left_semi"), hard))
         members = parts.join(hard.select(F.col("region").alias("parent")), "parent", "left_anti").select("region", "doc", "before")
     full = sets.select("doc", "full")
-    out = _join_small(reduce(DataFrame.union, small).join(full, "doc"), percent, every)
+    out = _join_small(full.join(_known(materialise(reduce(DataFrame.union, small), "small"), 4), "doc"), percent, every)
     if dense:
         members, sizes = (reduce(DataFrame.union, x) for x in zip(*dense))
         sizes = materialise(sizes, "sizes")
         if sizes.limit(1).count():
-            rows = members.join(full, "doc")
+            rows = full.join(_known(materialise(members, "dense")), "doc")
             out = out.union(_join_blocks(rows, sizes, percent) if every else _join_dense(rows.drop("before"), sizes, percent))
     return materialise(out, "links")
 

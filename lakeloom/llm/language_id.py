@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm import ngrams
-from lakeloom.llm.common import held_out
+from lakeloom.llm.common import learnable, tenant
 
 DIMS = 4096
 ORDERS = range(1, 4)
@@ -113,10 +113,11 @@ def clustered(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", clusters: int = 4, per_language: int = 1000, max_chars: int = 20_000) -> Centroids:
     """Learns from rows with text and language that are not held out."""
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
-    rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~F.coalesce(held_out("i"), F.lit(True)) & (F.length("t") <= max_chars))
+    rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & learnable("i") & (F.length("t") <= max_chars))
+    nothing = Centroids([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros((0, BANDS)))
     share = {r["l"]: min(1.0, per_language / r["n"]) for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not share:
-        return Centroids([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros((0, BANDS)))
+        return nothing
     spread = F.pmod(F.xxhash64("i"), F.lit(1_000_000)) / 1_000_000
     wanted = F.element_at(F.create_map(*(F.lit(x) for kv in sorted(share.items()) for x in kv)), F.col("l"))
     learned: dict[str, list[np.ndarray]] = {}
@@ -124,6 +125,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         if (c := counts(r["t"])) is not None:
             learned.setdefault(r["l"], []).append(c)
     names = sorted(learned)
+    if not names:
+        return nothing
     df = sum((np.stack(learned[x]) > 0).sum(axis=0) for x in names)
     n = sum(map(len, learned.values()))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
@@ -148,6 +151,7 @@ def identify(docs: DataFrame, model: Centroids, keep: list[str], doc_id: str = "
     kept = [c for c in keep if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant("language_id")
         m = shared.value
         for b in batches:
             best, score, cosine, least = m.scored(b.column(len(kept)).to_pylist())

@@ -28,6 +28,10 @@ class WordHashes(dict):
 _words = WordHashes()
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:

@@ -15,6 +15,8 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
 
+from lakeloom.llm.common import single_threaded, tenant
+
 _HEAD = "\0 "  # holds the first span's place; no span has a space in it
 _SAFE = re.compile(r" (?=\S)")
 
@@ -189,8 +191,6 @@ def library_encoder(path: str, what: str) -> Callable[[list[str]], list]:
     """Encodes spans as the tokenizers library: ids as little-endian bytes, or their number."""
     from tokenizers import Tokenizer
 
-    from lakeloom.llm.common import single_threaded
-
     single_threaded()
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()
@@ -219,6 +219,7 @@ _kept: dict = {}
 
 def worker_encoder(path: str, what: str, room: int, known: dict | None = None) -> SpanEncoder:
     """This worker's encoder, whose caches outlast the task."""
+    tenant("spans", _kept.clear)
     key = (path, what, room, known and (len(known), hash(frozenset(known.items()))))
     if key not in _kept:
         _kept.clear()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm import ngrams
-from lakeloom.llm.common import held_out
+from lakeloom.llm.common import held_out, learnable, tenant
 
 ORDERS = range(3, 7)
 _SIEVE = 1 << 20
@@ -117,7 +117,7 @@ def ratio(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int, alpha: float =
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = 3000, clean_rows: int = 5000, max_chars: int = 12_000) -> Model:
     """Learns from labelled rows that are not held out."""
     marks = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("i IS NOT NULL AND y IN (0, 1)")
-    marks = marks.where(~held_out("i")).groupBy("i").agg(F.max("y").alias("y"))
+    marks = marks.where(learnable("i")).groupBy("i").agg(F.max("y").alias("y"))
     have = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("y") == 1, toxic_rows / max(1, have.get(1, 1))).otherwise(clean_rows / max(1, have.get(0, 1)))
     chosen = marks.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) / 1_000_000 < share)
@@ -135,6 +135,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant("toxicity")
         m = shared.value
         sieve = m.sieve()
         for b in batches:
