@@ -1,192 +1,43 @@
-"""Operator 5: token ids in files of independently coded blocks.
+"""Operator 5: token ids in blocks that are coded independently of each other.
 
-A file is a sequence of blocks. Each block starts with fresh models, carries a header (magic, ids,
-documents, bytes of payload, first document's ordinal) and the CRC-32 of its content, and can be decoded
-alone. Ids are coded by an adaptive binary range coder: flags say whether the id is what the order-2
-context last predicted, else what the order-1 context did, else the id follows bit by bit. Every binary
-decision mixes the adaptive probabilities of contexts of order 0, 1 and 2 in the logistic domain, weighted
-by what each has been worth in the block. All blocks of a batch are coded in step, one id of each at a
-time, as numpy lanes; a lane is a block.
+A block starts with fresh models and can be decoded alone. Its ids are coded by a range coder under an
+adaptive mixture of predictions of order 0, 1 and 2; ``token_blocks.java`` has the models. The frame before
+the payload names the bits of an id, the ids, the documents that end in the block, the bytes of payload,
+the first document's ordinal and the CRC-32 of the ids, little-endian.
 
-Null text counts as empty: the end id alone. Documents keep their order by id; repeated ids keep one row
-each. Empty tables give no blocks.
+The coder is a chain of dependent steps, which no vector of lanes shortens, so it runs in the JVM, in the
+tasks that write and read the blocks. Ids of 2^31 and more are refused, and so are damaged blocks.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
-import numpy as np
+from lakeloom.llm import jvm
 
-MAGIC = b"LTB1"
-HEAD = struct.Struct("<4sIIIQI")  # magic, ids, documents, payload bytes, first ordinal, crc
-ORDER2, ORDER1 = 1 << 11, 1 << 10  # entries of a block's prediction tables
-_ONE = 1 << 12  # probability scale
-_STRETCH = np.log((np.arange(_ONE) + 0.5) / (_ONE - np.arange(_ONE) - 0.5)).astype(np.float32)
+MOST = 32_767  # ids of a block
+FUNCTIONS = {
+    "lakeloom_encode_block": ("lakeloom.llm.EncodeBlock", "binary"),
+    "lakeloom_decode_block": ("lakeloom.llm.DecodeBlock", "binary"),
+    "lakeloom_join_checksums": ("lakeloom.llm.JoinChecksums", "bigint"),
+}
 
 
-class _Models:
-    """The state of all lanes."""
+def install(spark: SparkSession) -> None:
+    jvm.install(spark, "token_blocks.java", FUNCTIONS)
 
-    def __init__(self, lanes: int):
-        self.n = lanes
-        self.row = np.arange(lanes)
-        self.guess2 = np.zeros((lanes, ORDER2), np.int32)
-        self.guess1 = np.zeros((lanes, ORDER1), np.int32)
-        # probabilities of a 1: of flags by kind and context, of bits by order
-        self.flag0 = np.full((lanes, 2), _ONE // 2, np.int32)
-        self.flag1 = np.full((lanes, 2, ORDER1), _ONE // 2, np.int32)
-        self.flag2 = np.full((lanes, 2, ORDER2), _ONE // 2, np.int32)
-        self.bit0 = np.full((lanes, 16, 256), _ONE // 2, np.int32)
-        self.bit1 = np.full((lanes, 16, 64), _ONE // 2, np.int32)
-        self.bit2 = np.full((lanes, 16, 64), _ONE // 2, np.int32)
-        self.weight = np.full((lanes, 18, 3), 0.4, np.float32)
 
+def encode(ids: Column, documents: Column, first: Column) -> Column:
+    """A framed block of ids, given as little-endian unsigned 32-bit integers."""
+    return F.call_function("lakeloom_encode_block", ids, documents.cast("int"), first.cast("long"))
 
-class _Coder:
-    """A carry-less binary range coder for each lane: 32-bit bounds, bytes out as they settle."""
 
-    def __init__(self, lanes: int, data: list[bytes] | None = None, size: int = 0):
-        self.low, self.high = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFF, np.uint64)
-        self.at = np.zeros(lanes, np.int64)
-        self.row = np.arange(lanes)
-        if data is None:
-            self.buffer = np.zeros((lanes, size), np.uint8)
-        else:
-            width = max(map(len, data), default=0) + 8
-            self.buffer = np.zeros((lanes, width), np.uint8)
-            for i, d in enumerate(data):
-                self.buffer[i, : len(d)] = np.frombuffer(d, np.uint8)
-            self.value = np.zeros(lanes, np.uint64)
-            for _ in range(4):
-                self.value = self.value << np.uint64(8) | self.buffer[self.row, self.at]
-                self.at += 1
+def decode(block: Column) -> Column:
+    """The ids of a framed block, as they were given; fails on a damaged one."""
+    return F.call_function("lakeloom_decode_block", block)
 
-    def code(self, p: np.ndarray, bit: np.ndarray | None, on: np.ndarray) -> np.ndarray:
-        """Codes (or, where bit is None, decodes) one decision of the lanes ``on``; p: of a 1, of _ONE."""
-        low, high = self.low[on], self.high[on]
-        mid = low + ((high - low) >> np.uint64(12)) * p.astype(np.uint64)
-        if bit is None:
-            bit = self.value[on] <= mid
-        high = np.where(bit, mid, high)
-        low = np.where(bit, low, mid + np.uint64(1))
-        while True:
-            settled = np.flatnonzero((low ^ high) < 1 << 24)
-            if not len(settled):
-                break
-            lanes = on[settled]
-            if hasattr(self, "value"):
-                self.value[lanes] = (self.value[lanes] << np.uint64(8) & np.uint64(0xFFFFFFFF)) | self.buffer[lanes, np.minimum(self.at[lanes], self.buffer.shape[1] - 1)]
-            else:
-                self.buffer[lanes, self.at[lanes]] = high[settled] >> np.uint64(24)
-            self.at[lanes] += 1
-            low[settled] = low[settled] << np.uint64(8) & np.uint64(0xFFFFFFFF)
-            high[settled] = high[settled] << np.uint64(8) & np.uint64(0xFFFFFFFF) | np.uint64(255)
-        self.low[on], self.high[on] = low, high
-        return bit
 
-    def finish(self) -> list[bytes]:
-        for k in range(4):
-            self.buffer[self.row, self.at + k] = (self.low >> np.uint64(24 - 8 * k)) & np.uint64(255)
-        # the least value within the bounds, to the last byte
-        return [self.buffer[i, : n + 4].tobytes() for i, n in enumerate(self.at)]
-
-
-def _decide(m: _Models, coder: _Coder, slot: int, spots: list[tuple[np.ndarray, tuple]], bit: np.ndarray | None, on: np.ndarray) -> np.ndarray:
-    """One mixed decision; spots: the probability tables and where in each."""
-    ps = [table[where] for table, where in spots]
-    xs = np.stack([_STRETCH[p] for p in ps], axis=1)
-    w = m.weight[on, slot]
-    p = 1 / (1 + np.exp(-(xs * w).sum(axis=1)))
-    bit = coder.code(np.clip((p * _ONE).astype(np.int64), 1, _ONE - 1), bit, on)
-    m.weight[on, slot] = w + 0.02 * xs * (bit - p)[:, None]
-    for (table, where), q in zip(spots, ps):
-        table[where] = q + (np.where(bit, _ONE - 1, 0) - q >> 4)
-    return bit
-
-
-def _run(lengths: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarray:
-    """Codes ids (lanes by steps), or decodes them where ids is None. Lanes are longest first."""
-    n, steps = len(lengths), int(lengths.max(initial=0))
-    m, out = _Models(n), np.zeros((n, steps), np.int32) if ids is None else ids
-    one, two = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for t in range(steps):
-        on = m.row[: int(np.searchsorted(-lengths, -t, "left"))]
-        a, b = one[on], two[on]
-        c1 = a * 40503 >> 4 & ORDER1 - 1
-        c2 = (a * 40503 ^ b * 60493) >> 3 & ORDER2 - 1
-        guess2, guess1 = m.guess2[on, c2], m.guess1[on, c1]
-        real = None if ids is None else ids[on, t]
-        got = np.zeros(len(on), np.int64)
-        open_ = np.arange(len(on))
-        for kind, guess in ((0, guess2), (1, guess1)):
-            if kind:
-                open_ = open_[guess1[open_] != guess2[open_]]
-            if not len(open_):
-                continue
-            lanes = on[open_]
-            spots = [(m.flag0, (lanes, kind)), (m.flag1, (lanes, kind, c1[open_])), (m.flag2, (lanes, kind, c2[open_]))]
-            hit = _decide(m, coder, 16 + kind, spots, None if real is None else real[open_] == guess[open_], lanes)
-            got[open_[hit]] = guess[open_[hit]]
-            missed = np.ones(len(on), bool) if kind == 0 else rest
-            missed[open_[hit]] = False
-            rest = missed
-            open_ = np.flatnonzero(rest)
-        open_ = np.flatnonzero(rest) if len(on) else open_
-        lanes, prefix = on[open_], np.zeros(len(open_), np.int64)
-        x1, x2 = a[open_] & 7, b[open_] & 7
-        for k in range(16):
-            s = prefix & 255
-            spots = [(m.bit0, (lanes, k, s)), (m.bit1, (lanes, k, s & 7 | x1 << 3)), (m.bit2, (lanes, k, s & 7 | x2 << 3))]
-            if not len(lanes):
-                break
-            bit = _decide(m, coder, k, spots, None if real is None else (real[open_] >> 15 - k & 1).astype(bool), lanes)
-            prefix = prefix << 1 | bit
-        got[open_] = prefix
-        m.guess2[on, c2], m.guess1[on, c1] = got, got
-        out[on, t] = got
-        two[on], one[on] = a, got
-    return out
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Payloads of blocks of ids below 65,536."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    lengths = np.array([len(blocks[i]) for i in order], np.int64)
-    ids = np.zeros((len(order), int(lengths.max(initial=0))), np.int32)
-    for row, i in enumerate(order):
-        ids[row, : len(blocks[i])] = blocks[i]
-    coder = _Coder(len(order), size=3 * ids.shape[1] + 64)
-    _run(lengths, coder, ids)
-    out: list[bytes] = [b""] * len(blocks)
-    for i, payload in zip(order, coder.finish()):
-        out[i] = payload
-    return out
-
-
-def decode_blocks(payloads: list[bytes], counts: list[int]) -> list[np.ndarray]:
-    order = sorted(range(len(payloads)), key=lambda i: -counts[i])
-    lengths = np.array([counts[i] for i in order], np.int64)
-    ids = _run(lengths, _Coder(len(order), [payloads[i] for i in order]), None)
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(payloads)
-    for row, i in enumerate(order):
-        out[i] = ids[row, : counts[i]]
-    return out
-
-
-def frame(payload: bytes, ids: np.ndarray, documents: int, first: int) -> bytes:
-    return HEAD.pack(MAGIC, len(ids), documents, len(payload), first, zlib.crc32(ids.astype("<u4").tobytes())) + payload
-
-
-def unframe(data: bytes) -> list[tuple[int, int, int, int, bytes]]:
-    """(ids, documents, first ordinal, crc, payload) of each block of a file."""
-    out, at = [], 0
-    while at < len(data):
-        magic, n, docs, size, first, crc = HEAD.unpack_from(data, at)
-        at += HEAD.size
-        if magic != MAGIC or at + size > len(data):
-            raise ValueError("not a whole block")
-        out.append((n, docs, first, crc, data[at : at + size]))
-        at += size
-    return out
+def joined(checksums: Column, lengths: Column) -> Column:
+    """CRC-32 of data from those of its pieces, in order, and their lengths in bytes."""
+    return F.call_function("lakeloom_join_checksums", checksums, lengths)

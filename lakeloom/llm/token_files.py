@@ -1,124 +1,85 @@
 """Operator 5, the tables around its blocks: documents to token files and back.
 
 ``write`` encodes documents with the tokenizers library, closes each with an end id, deals them by ranges
-of ids to files, in ascending order of ids, and writes each file as blocks. ``read`` decodes the blocks,
-checks them and gives each document's place. A document may span blocks. A file is decoded by one task;
-its size follows from the number of shuffle partitions.
+of ids to files, in ascending order of ids, and writes each file as blocks of ``block_ids`` ids, of which
+only a file's last has fewer. ``read`` decodes the blocks, each on its own in whatever task, checks them and
+gives each document's place. A document may span blocks; the checksum of its ids then follows from those of
+its pieces. What a task holds is a batch of texts and a block.
+
+Null text counts as empty: the end id alone. Documents keep their order by id, null ids first, and rows
+that share an id the order of their texts; each row is a document. Empty tables give no blocks and no rows.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm import token_blocks as blocks
-from lakeloom.llm.spans import SpanEncoder, library_encoder
-
-_ENTRY = struct.Struct("<qI?")  # document id, its ids in this block, whether it ends here
-_NO_ID = -(1 << 63)
-
-
-def _pack(entries: list[tuple[int, int, bool]]) -> bytes:
-    return b"".join(_ENTRY.pack(*e) for e in entries)
+from lakeloom.llm.spans import worker_encoder
 
+PIECE = pa.struct([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+_RAW = "part int, block int, n int, documents array<struct<doc_id: bigint, ordinal: bigint, at: int, n: int>>, raw binary"
+FILES = _RAW.replace("raw binary", "data binary")
 
-def _unpack(entries: bytes) -> Iterator[tuple[int, int, bool]]:
-    return _ENTRY.iter_unpack(entries)
 
-
-def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", block_ids: int = 2048, lanes: int = 512) -> None:
-    """Writes rows (part, block, documents, data): data is a framed block, documents its entries."""
+def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", block_ids: int = 16_384, room: int = 300_000) -> None:
+    """Writes rows (part, block, n, documents, data): data is a framed block of n ids, documents the
+    pieces in it: the document's id, its ordinal in the file, its place in the block and its ids there."""
+    if not 0 < block_ids <= blocks.MOST:
+        raise ValueError(f"a block has 1 to {blocks.MOST} ids")
+    blocks.install(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, end = SpanEncoder(library_encoder(path, "ids"), 150_000), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
-        block, ordinal, entries, ids, room = 0, 0, [], [], block_ids
-        ready: list[tuple[list, np.ndarray]] = []
+        encoder, part, end = worker_encoder(path, "ids", room), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
+        whole, block, ordinal, data, pieces = 4 * block_ids, 0, 0, bytearray(), []
 
-        def flush() -> pa.RecordBatch:
-            nonlocal block, ordinal, ready
-            rows = []
-            for (own, x), payload in zip(ready, blocks.encode_blocks([x for _, x in ready])):
-                rows.append((part, block, _pack(own), blocks.frame(payload, x, len(own), ordinal)))
-                block, ordinal = block + 1, ordinal + sum(e[2] for e in own)
-            ready = []
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["part", "block", "documents", "data"])
+        def row(size: int) -> pa.RecordBatch:
+            columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([size // 4], pa.int32()), pa.array([pieces], pa.list_(PIECE)), pa.array([bytes(data[:size])], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "block", "n", "documents", "raw"])
 
         for b in batches:
             for i, spans in zip(b.column(0).to_pylist(), encoder.all([t or "" for t in b.column(1).to_pylist()])):
-                x = np.frombuffer(b"".join(spans) + end, "<u4").astype(np.int32)
-                while len(x):
-                    piece, x = x[:room], x[room:]
-                    entries.append((_NO_ID if i is None else i, len(piece), not len(x)))
-                    ids.append(piece)
-                    room -= len(piece)
-                    if not room:
-                        ready.append((entries, np.concatenate(ids)))
-                        entries, ids, room = [], [], block_ids
-                        if len(ready) == lanes:
-                            yield flush()
-        if entries:
-            ready.append((entries, np.concatenate(ids)))
-        if ready:
-            yield flush()
+                ids = b"".join(spans) + end
+                at = 0
+                while at < len(ids):
+                    size = min(whole - len(data), len(ids) - at)
+                    pieces.append({"doc_id": i, "ordinal": ordinal, "at": len(data) // 4, "n": size // 4})
+                    data += ids[at : at + size]
+                    at += size
+                    if len(data) == whole:
+                        yield row(whole)
+                        block, data, pieces = block + 1, bytearray(), []
+                ordinal += 1
+        if data:
+            yield row(len(data))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
-    ordered = rows.repartitionByRange("i").sortWithinPartitions("i", "t")
-    ordered.mapInArrow(run, "part int, block int, documents binary, data binary").write.parquet(folder)
+    ordered = rows.repartitionByRange("i").sortWithinPartitions("i", "t").mapInArrow(run, _RAW)
+    first = F.get(F.col("documents"), F.lit(0))["ordinal"]
+    data = blocks.encode(F.col("raw"), F.size("documents"), first).alias("data")
+    ordered.select("part", "block", "n", "documents", data).write.parquet(folder)
 
 
-def read(spark: SparkSession, folder: str, lanes: int = 512) -> DataFrame:
+def read(spark: SparkSession, folder: str, block_ids: int = 16_384) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document."""
-    files = spark.read.schema("part int, block int, documents binary, data binary").parquet(folder)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
-        open_: dict[int, tuple[int, int]] = {}  # of a part's unfinished document: ids and checksum so far
-        seen: dict[int, int] = {}
-
-        def flush() -> pa.RecordBatch:
-            framed = [blocks.unframe(w[3])[0] for w in waiting]
-            out = []
-            for (part, _, entries, _), (n, _, _, crc, _), x in zip(waiting, framed, blocks.decode_blocks([f[4] for f in framed], [f[0] for f in framed])):
-                data, at = x.astype("<u4").tobytes(), 0
-                if zlib.crc32(data) != crc or len(data) != 4 * n:
-                    raise ValueError(f"block of part {part} is damaged")
-                for doc, k, ends in _unpack(entries):
-                    length, sum_ = open_.pop(part, (0, 0))
-                    length, sum_, at = length + k, zlib.crc32(data[4 * at : 4 * (at + k)], sum_), at + k
-                    if ends:
-                        before = seen.get(part, 0)
-                        out.append((None if doc == _NO_ID else doc, part, before, length, sum_))
-                        seen[part] = before + length
-                    else:
-                        open_[part] = (length, sum_)
-            waiting.clear()
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, kinds)], ["doc_id", "part", "before", "n_tokens", "ids_crc32"])
-
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                waiting.append(row)
-                if len(waiting) == lanes:
-                    yield flush()
-        if waiting:
-            yield flush()
-
-    found = files.repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
-    # a document's ids end in its last block: sizes of files come from the entries alone
-    sizes = files.groupBy("part").agg(F.sum(_ids_of("data")).alias("n"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    return found.join(first, "part").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def _ids_of(data: str):
-    """The number of ids in a framed block's header: little-endian, after the magic."""
-    b = [F.conv(F.hex(F.substring(data, 5 + k, 1)), 16, 10).cast("long") for k in range(4)]
-    return b[0] + b[1] * 256 + b[2] * 65536 + b[3] * 16777216
+    blocks.install(spark)
+    files = spark.read.schema(FILES).parquet(folder)
+    piece = lambda raw, d: F.struct(d["doc_id"].alias("doc_id"), d["ordinal"].alias("ordinal"), d["at"].alias("at"), d["n"].alias("n"), F.crc32(F.substring(raw, 4 * d["at"] + 1, 4 * d["n"])).alias("crc"))
+    # the decoded ids are bound to a variable: each block is decoded once, whatever the pieces in it
+    decoded = F.get(F.transform(F.array(blocks.decode(F.col("data"))), lambda raw: F.transform("documents", lambda d: piece(raw, d))), F.lit(0))
+    pieces = files.select("part", "block", F.inline(decoded))
+    place = F.struct("block", "n", "crc")
+    found = pieces.groupBy("part", "ordinal").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.min(F.struct("block", "at")).alias("first"), F.sort_array(F.collect_list(place)).alias("pieces"))
+    sizes = files.groupBy("part").agg(F.sum("n").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    lengths = F.transform("pieces", lambda p: 4 * p["n"].cast("long"))
+    start = F.col("before") + F.col("first.block").cast("long") * block_ids + F.col("first.at")
+    total = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["n"])
+    crc = F.when(F.size("pieces") == 1, F.get("pieces", F.lit(0))["crc"]).otherwise(blocks.joined(F.col("pieces.crc"), lengths))
+    return found.join(F.broadcast(starts), "part").select("doc_id", start.alias("start"), total.alias("n_tokens"), crc.alias("ids_crc32"))
