@@ -14,9 +14,10 @@ expression of several gives the one that the classifier is sure of, if any.
 Early, only runs with an anchor are let through, which loses nothing: of a template of n words of which m
 must occur, any n - m + 1 words have one that occurs, and of a phrase any word; anchors are such words.
 
-Training takes place on the driver, over the templates and at most ``background`` sampled texts. Null
-and empty texts have no paragraphs and get no licence. Each row is scanned on its own, repeats included;
-every row of the input is returned.
+Training takes place on the driver, over the templates and sentences below. Null and empty texts have no
+paragraphs and get no licence. Each row is scanned by its text alone, whatever its id, null and repeated
+ones included; every row of the input is returned, and other columns do not matter. Of equally covered
+paragraphs the shortest is taken, then the first. A line of any length is one line, never cut.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.llm.quality import once
+
 # Short notices of public licences, by family.
 TEMPLATES = {
     "agpl": ["licensed under the gnu affero general public license version", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"],
@@ -63,7 +66,6 @@ PHRASES = {
 KEYS = {"agpl": ["affero"], "cc-by-nc": ["nc", "noncommercial"], "cc-by-sa": ["sa", "sharealike"], "gpl": ["general"], "lgpl": ["lesser"]}
 COMMON = frozenset("a all and any are as at by can file following form forms free has in is it law may mit not of or other out permitted person possible program project provided public released related rights source subject terms that the this to under use version with without work you your".split())
 REACH = 48  # words after a paragraph's first line; the longest template has 29
-NAMES = "licen[sc]|copyright|redistribut|hereby granted|free software|unencumbered"  # texts with these are no background
 UNKNOWN = "unknown"
 WORD = r"[^a-z0-9]+"
 
@@ -80,11 +82,11 @@ def _grams(words: list[str]) -> set[str]:
 class Classifier:
     """Softmax regression with weights by n-gram; class 0 is unknown."""
 
-    def __init__(self, background: list[list[str]], seed: int = 9, share: float = 0.6):
+    def __init__(self, seed: int = 9, share: float = 0.6):
         self.share = share
         self.classes = [UNKNOWN, *sorted(TEMPLATES)]
         draw = random.Random(seed)
-        fit, rest = self._examples(draw, background, 40), self._examples(draw, background, 12)
+        fit, rest = self._examples(draw, 40), self._examples(draw, 12)
         own = sorted({g for x in (*TEMPLATES.values(), *PHRASES.values()) for t in x for g in _grams(t.split())})
         self.place = {g: i for i, g in enumerate(own)}
         self.weights = self._descend(*self._matrix(fit))
@@ -92,11 +94,15 @@ class Classifier:
         z = x @ self.weights
         self.sharpness = min((0.25, 0.5, 1.0, 2.0, 4.0), key=lambda s: -np.log(self._softmax(s * z)[np.arange(len(y)), y] + 1e-12).mean())
         p = self._softmax(self.sharpness * z)
-        outside = p[y == 0, 1:].max(axis=1) if (y == 0).any() else np.zeros(1)
+        outside = p[y == 0, 1:].max(axis=1)
         self.least = float(min(0.9, max(0.5, np.quantile(outside, 0.99))))
 
-    def _examples(self, draw: random.Random, background: list[list[str]], each: int) -> list[tuple[list[str], int]]:
-        noise = [w for x in background for w in x] or ["the"]
+    def _examples(self, draw: random.Random, each: int) -> list[tuple[list[str], int]]:
+        """Paraphrases: words left out, others before and after. Of the class unknown: sentences that speak
+        of licences, and paragraphs of words drawn from all of these, which is what a text looks like in
+        which such words come by chance."""
+        noise = sorted(COMMON | {w for t in OTHERS for w in t.split()})
+        every = sorted({w for x in (*TEMPLATES.values(), *PHRASES.values()) for t in x for w in t.split()})
         out = []
         for k, family in enumerate(self.classes[1:], 1):
             for t in TEMPLATES[family] + PHRASES[family]:
@@ -106,7 +112,8 @@ class Classifier:
                     out.append((before + words + after, k))
         for t in OTHERS:
             out += [([w for w in t.split() if draw.random() > 0.1], 0) for _ in range(each)]
-        return out + [(draw.choice(background), 0) for _ in range(each * 10) if background]
+        chance = lambda: [draw.choice(every if draw.random() < 0.15 else noise) for _ in range(draw.randint(4, 40))]
+        return out + [(chance(), 0) for _ in range(each * 10)]
 
     def _matrix(self, rows: list[tuple[list[str], int]]) -> tuple[np.ndarray, np.ndarray]:
         x = np.zeros((len(rows), len(self.place) + 1))
@@ -181,51 +188,54 @@ def verdict(words: Column, model: Classifier) -> Column:
     return F.get(F.filter(found, lambda v: (v["probability"] >= model.least) & (v["coverage"] >= model.share)), F.lit(0))
 
 
-def fit(docs: DataFrame, text: str = "text", background: int = 400) -> Classifier:
-    """Learns from the templates and lines of about ``background`` random texts that name no licence."""
-    n = docs.count()
-    part = docs.select(F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
-    part = part.sample(fraction=min(1.0, background / n), seed=13) if n else part
-    rows = part.select(words_of(F.element_at(F.split("t", "\n"), 1)).alias("w"), "t").where(~F.col("t").rlike(f"(?i){NAMES}")).select("w").limit(2 * background).collect()
-    return Classifier([r["w"] for r in rows if r["w"]])
+def fit(seed: int = 9) -> Classifier:
+    """Learns from the templates, their short forms and the sentences that are none. It is the same model
+    wherever it is fitted: no text of a corpus, which nobody has labelled, takes part."""
+    return Classifier(seed)
 
 
-def scan(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each licence: doc_id, first line (from 0), family, probability, coverage."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where(anchored(F.col("text"), model.share))
+def licenses_of(text: Column, model: Classifier) -> Column:
+    """Array of the licences of a text: first and last line (from 0), family, probability, coverage."""
     bare = lambda x: F.regexp_replace(x, r"(?i)^[^\p{L}\p{N}]*(?:dnl|rem)(?![\p{L}\p{N}])", "")
-    lines = rows.select("doc_id", F.transform(F.split("text", "\r\n|\r|\n"), bare).alias("lines"))
-    lines = lines.select("doc_id", F.transform("lines", words_of).alias("w"), F.transform("lines", lambda x: ~x.rlike(r"[\p{L}\p{N}]")).alias("blank"))
     known = F.lit(anchors(model.share))
-    lines = lines.withColumn("anchor", F.transform("w", lambda w: F.arrays_overlap(w, known)))
     run = lambda c, i, j: F.slice(c, i + 1, j - i + 1)
-    words = lambda i, j: F.flatten(run("w", i, j))
-    size = F.size("w")
-
-    def runs(i: Column) -> Column:
-        """Verdicts of the runs of lines that begin with line i."""
-        reach = lambda j: (j <= i + 1) | (F.size(words(i + 1, F.greatest(i + 1, j - 1))) < REACH)
-        fits = lambda j: ~F.exists(run("blank", i, j), lambda x: x) & F.exists(run("anchor", i, j), lambda x: x) & reach(j)
-        ends = F.filter(F.sequence(i, F.least(i + REACH, size - 1)), fits)
-        return F.filter(F.transform(ends, lambda j: F.struct(i.alias("line"), j.alias("last"), F.get(F.transform(F.array(words(i, j)), lambda w: verdict(w, model)), F.lit(0)).alias("v"))), lambda x: x["v"].isNotNull())
-
-    starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.exists(run("anchor", i, F.least(i + REACH, size - 1)), lambda x: x))
-    found = lines.select("doc_id", F.flatten(F.transform(starts, runs)).alias("found"))
     meets = lambda x, y: (y["line"] <= x["last"]) & (x["line"] <= y["last"])
     order = lambda x: F.struct((-x["v"]["coverage"]).alias("c"), (x["last"] - x["line"]).alias("n"), x["line"].alias("line"), x["last"].alias("last"), x["v"].alias("v"))
-    ranked = found.select("doc_id", F.array_sort(F.transform("found", order)).alias("found"))
-    taken = F.aggregate("found", F.slice("found", 1, 0), lambda a, x: F.when(F.exists(a, lambda y: meets(x, y)), a).otherwise(F.concat(a, F.array(x))))
-    chosen = ranked.select("doc_id", taken.alias("chosen"))
     goes_on = lambda y, x: (y["v"]["family"] == x["v"]["family"]) & (y["last"] + 1 == x["line"]) & (y["n"] + x["n"] > 0)
-    once = chosen.select("doc_id", F.explode(F.filter("chosen", lambda x: ~F.exists("chosen", lambda y: goes_on(y, x)))).alias("x"))
-    return once.select("doc_id", F.col("x.line").alias("line"), "x.v.*")
 
+    def found(w: Column, blank: Column, anchor: Column) -> Column:
+        words = lambda i, j: F.flatten(run(w, i, j))
 
-def per_document(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_licenses and families (sorted, distinct) of each row.
+        def runs(i: Column) -> Column:
+            """Verdicts of the runs of lines that begin with line i."""
+            reach = lambda j: (j <= i + 1) | (F.size(words(i + 1, F.greatest(i + 1, j - 1))) < REACH)
+            fits = lambda j: ~F.exists(run(blank, i, j), lambda x: x) & F.exists(run(anchor, i, j), lambda x: x) & reach(j)
+            ends = F.filter(F.sequence(i, F.least(i + REACH, F.size(w) - 1)), fits)
+            return F.filter(F.transform(ends, lambda j: F.struct(i.alias("line"), j.alias("last"), once(words(i, j), lambda x: verdict(x, model)).alias("v"))), lambda x: x["v"].isNotNull())
+
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.exists(run(anchor, i, F.least(i + REACH, F.size(w) - 1)), lambda x: x))
+        return F.array_sort(F.transform(F.flatten(F.transform(starts, runs)), order))
+
+    taken = lambda ranked: F.aggregate(ranked, F.slice(ranked, 1, 0), lambda a, x: F.when(F.exists(a, lambda y: meets(x, y)), a).otherwise(F.concat(a, F.array(x))))
+    firsts = lambda chosen: F.filter(chosen, lambda x: ~F.exists(chosen, lambda y: goes_on(y, x)))
+    told = lambda x: F.struct(x["line"].alias("line"), x["last"].alias("last"), x["v"]["family"].alias("family"), x["v"]["probability"].alias("probability"), x["v"]["coverage"].alias("coverage"))
+
+    def scanned(lines: Column) -> Column:
+        w, blank = F.transform(lines, words_of), F.transform(lines, lambda x: ~x.rlike(r"[\p{L}\p{N}]"))
+        anchor = lambda w: F.transform(w, lambda x: F.arrays_overlap(x, known))
+        ranked = once(w, lambda w: once(blank, lambda blank: once(anchor(w), lambda anchor: found(w, blank, anchor))))
+        return F.array_sort(F.transform(once(once(ranked, taken), firsts), told))
 
-    Rows that share an id share their result, which counts the licences of all of them.
-    """
-    found = scan(docs, model, doc_id, text).groupBy("doc_id").agg(F.count("*").alias("n_licenses"), F.array_sort(F.collect_set("family")).alias("families"))
-    rows = docs.select(F.col(doc_id).alias("doc_id")).join(found, "doc_id", "left")
-    return rows.select("doc_id", F.coalesce("n_licenses", F.lit(0)).cast("long").alias("n_licenses"), F.coalesce("families", F.array().cast("array<string>")).alias("families"))
+    return F.when(anchored(text, model.share), once(F.transform(F.split(text, "\r\n|\r|\n"), bare), scanned))
+
+
+def scan(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each licence: doc_id, first and last line (from 0), family, probability, coverage."""
+    found = docs.select(F.col(doc_id).alias("doc_id"), licenses_of(F.col(text).cast("string"), model).alias("found"))
+    return found.select("doc_id", F.inline("found"))
+
+
+def per_document(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_licenses and families (sorted, distinct) of each row, by that row's text alone."""
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(licenses_of(F.col(text).cast("string"), model).getField("family"), F.array().cast("array<string>")).alias("found"))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_sort(F.array_distinct("found")).alias("families"))

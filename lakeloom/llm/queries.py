@@ -63,7 +63,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm import licenses
 
     docs = table(spark, sf_dir, "documents")
-    return licenses.per_document(docs, licenses.fit(docs))
+    return licenses.per_document(docs, licenses.fit())
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

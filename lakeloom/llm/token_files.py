@@ -23,24 +23,24 @@ from lakeloom.llm import token_blocks as blocks
 from lakeloom.llm.spans import worker_encoder
 
 PIECE = pa.struct([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
-_RAW = "part int, block int, n int, documents array<struct<doc_id: bigint, ordinal: bigint, at: int, n: int>>, raw binary"
+_RAW = "part int, block int, start long, n int, documents array<struct<doc_id: bigint, ordinal: bigint, at: int, n: int>>, raw binary"
 FILES = _RAW.replace("raw binary", "data binary")
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", block_ids: int = 16_384, room: int = 300_000) -> None:
-    """Writes rows (part, block, n, documents, data): data is a framed block of n ids, documents the
-    pieces in it: the document's id, its ordinal in the file, its place in the block and its ids there."""
+    """Writes rows (part, block, start, n, documents, data): data is a framed block of the n ids that follow
+    the file's first ``start``, documents the pieces in it: the document's id, its ordinal in the file, its place in the block and its ids there."""
     if not 0 < block_ids <= blocks.MOST:
         raise ValueError(f"a block has 1 to {blocks.MOST} ids")
     blocks.install(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, end = worker_encoder(path, "ids", room), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
-        whole, block, ordinal, data, pieces = 4 * block_ids, 0, 0, bytearray(), []
+        whole, block, start, ordinal, data, pieces = 4 * block_ids, 0, 0, 0, bytearray(), []
 
         def row(size: int) -> pa.RecordBatch:
-            columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([size // 4], pa.int32()), pa.array([pieces], pa.list_(PIECE)), pa.array([bytes(data[:size])], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["part", "block", "n", "documents", "raw"])
+            columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([size // 4], pa.int32()), pa.array([pieces], pa.list_(PIECE)), pa.array([bytes(data[:size])], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "block", "start", "n", "documents", "raw"])
 
         for b in batches:
             for i, spans in zip(b.column(0).to_pylist(), encoder.all([t or "" for t in b.column(1).to_pylist()])):
@@ -53,7 +53,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, doc_id: str
                     at += size
                     if len(data) == whole:
                         yield row(whole)
-                        block, data, pieces = block + 1, bytearray(), []
+                        block, start, data, pieces = block + 1, start + block_ids, bytearray(), []
                 ordinal += 1
         if data:
             yield row(len(data))
@@ -62,24 +62,23 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, doc_id: str
     ordered = rows.repartitionByRange("i").sortWithinPartitions("i", "t").mapInArrow(run, _RAW)
     first = F.get(F.col("documents"), F.lit(0))["ordinal"]
     data = blocks.encode(F.col("raw"), F.size("documents"), first).alias("data")
-    ordered.select("part", "block", "n", "documents", data).write.parquet(folder)
+    ordered.select("part", "block", "start", "n", "documents", data).write.parquet(folder)
 
 
-def read(spark: SparkSession, folder: str, block_ids: int = 16_384) -> DataFrame:
+def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document."""
     blocks.install(spark)
     files = spark.read.schema(FILES).parquet(folder)
     piece = lambda raw, d: F.struct(d["doc_id"].alias("doc_id"), d["ordinal"].alias("ordinal"), d["at"].alias("at"), d["n"].alias("n"), F.crc32(F.substring(raw, 4 * d["at"] + 1, 4 * d["n"])).alias("crc"))
     # the decoded ids are bound to a variable: each block is decoded once, whatever the pieces in it
     decoded = F.get(F.transform(F.array(blocks.decode(F.col("data"))), lambda raw: F.transform("documents", lambda d: piece(raw, d))), F.lit(0))
-    pieces = files.select("part", "block", F.inline(decoded))
+    pieces = files.select("part", "block", F.col("start").alias("first"), F.inline(decoded))
     place = F.struct("block", "n", "crc")
-    found = pieces.groupBy("part", "ordinal").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.min(F.struct("block", "at")).alias("first"), F.sort_array(F.collect_list(place)).alias("pieces"))
+    found = pieces.groupBy("part", "ordinal").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.min(F.col("first") + F.col("at")).alias("first"), F.sort_array(F.collect_list(place)).alias("pieces"))
     sizes = files.groupBy("part").agg(F.sum("n").alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     starts = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     lengths = F.transform("pieces", lambda p: 4 * p["n"].cast("long"))
-    start = F.col("before") + F.col("first.block").cast("long") * block_ids + F.col("first.at")
     total = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["n"])
     crc = F.when(F.size("pieces") == 1, F.get("pieces", F.lit(0))["crc"]).otherwise(blocks.joined(F.col("pieces.crc"), lengths))
-    return found.join(F.broadcast(starts), "part").select("doc_id", start.alias("start"), total.alias("n_tokens"), crc.alias("ids_crc32"))
+    return found.join(F.broadcast(starts), "part").select("doc_id", (F.col("before") + F.col("first")).alias("start"), total.alias("n_tokens"), crc.alias("ids_crc32"))

@@ -144,7 +144,7 @@ def test_jaccard_join_empty(docs):
 def test_licenses(docs, texts):
     from lakeloom.llm import licenses
 
-    model = licenses.fit(docs)
+    model = licenses.fit()
     got = {r.doc_id: list(r.families) for r in licenses.per_document(docs, model).collect()}
     assert {i for i, f in got.items() if f} == {14} and got[14] == ["mit"] and len(got) == len(texts)
 
@@ -183,7 +183,7 @@ def test_wrapped_licenses(spark):
     rows += [(1000 + i, t) for i, t in enumerate([*plain, both])]
     want |= {1000 + i: [] for i in range(len(plain))} | {1000 + len(plain): ["bsd", "mit"]}
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in licenses.per_document(df, licenses.fit(df)).collect()}
+    got = {r.doc_id: r for r in licenses.per_document(df, licenses.fit()).collect()}
     assert {i: list(r.families) for i, r in got.items()} == want
     assert got[1000 + len(plain)].n_licenses == 3 and all(got[i].n_licenses == 1 for i in want if i < 1000)
 
@@ -250,7 +250,7 @@ def test_neighbours(spark):
     bad = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] + [1.0] * 15), (5003, [None] + [1.0] * 15), (5004, [1.0])]
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + bad, "vec_id long, embedding array<double>")
     got: dict = {}
-    for x in nearest(df, leaf_rows=64, chunk_rows=50, block_rows=20, floor_rows=200, calibration=30).collect():
+    for x in nearest(df, leaf_rows=64, chunk_rows=50, floor_rows=200, calibration=30).collect():
         got.setdefault(x.query_id, {})[x.rank] = (x.vec_id, x.score)
     hits = 0
     for q in range(0, 1500, 20):
@@ -310,23 +310,34 @@ def test_token_files(spark, docs, texts, tmp_path):
     from lakeloom.llm import token_files
 
     ids, at = library("byte_bpe_50k.json"), 0
-    token_files.write(docs, P.path("byte_bpe_50k.json"), str(tmp_path / "f"), block_ids=256, lanes=16)
-    got = {r.doc_id: r for r in token_files.read(spark, str(tmp_path / "f"), lanes=8).collect()}
+    token_files.write(docs, P.path("byte_bpe_50k.json"), str(tmp_path / "f"), block_ids=256)
+    got = {r.doc_id: r for r in token_files.read(spark, str(tmp_path / "f")).collect()}
     for i, t in enumerate(texts):
         whole = ids(t) + [0]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(whole), crc(whole))
         at += len(whole)
-
-
-def test_damaged_blocks_are_refused():
-    from lakeloom.llm import token_blocks
-
-    ids = np.arange(100, dtype=np.int32) * 7
-    framed = token_blocks.frame(token_blocks.encode_blocks([ids])[0], ids, 1, 0)
-    n, _, _, _, payload = token_blocks.unframe(framed)[0]
-    assert (token_blocks.decode_blocks([payload], [n])[0] == ids).all()
-    with pytest.raises(ValueError):
-        token_blocks.unframe(framed[:-3])
+    token_files.write(docs.limit(0), P.path("byte_bpe_50k.json"), str(tmp_path / "none"))
+    assert token_files.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_blocks_round_trip_and_refuse_damage(spark):
+    from pyspark.sql import functions as F
+
+    from lakeloom.llm import token_blocks as B
+
+    B.install(spark)
+    r = np.random.default_rng(3)
+    raw = [(r.zipf(1.3, n) % top).astype("<u4").tobytes() for n in (0, 1, 9, 3000, B.MOST) for top in (2, 900, 70_000, 2**31 - 1)]
+    df = spark.createDataFrame([(bytearray(x),) for x in raw], "raw binary")
+    coded = df.select("raw", B.encode(F.col("raw"), F.lit(1), F.lit(0)).alias("data"))
+    rows = coded.select("raw", "data", B.decode(F.col("data")).alias("back")).collect()
+    assert all(x.raw == x.back for x in rows) and sum(len(x.data) for x in rows) < sum(map(len, raw))
+    block = bytearray(max((x.data for x in rows), key=len))
+    for damaged in (block[:-3], block[: len(block) // 2] + bytearray([block[len(block) // 2] ^ 1]) + block[len(block) // 2 + 1 :], b"LTB1"):
+        with pytest.raises(Exception, match="damaged|not a block"):
+            spark.createDataFrame([(bytearray(damaged),)], "data binary").select(B.decode(F.col("data"))).collect()
+    with pytest.raises(Exception, match="no place"):
+        spark.createDataFrame([(bytearray(b"\xff" * 4),)], "raw binary").select(B.encode(F.col("raw"), F.lit(1), F.lit(0))).collect()
 
 
 def test_pipeline(spark, docs, texts, tmp_path):
