@@ -5,9 +5,14 @@ Lengths are in code points. Runs of three or more full stops are leaders, not co
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Code point classes, valid in Java's regular expressions and in RE2.
@@ -45,26 +50,75 @@ class Gate:
     odd: float = 0.12
 
 
-def visible(text: Column) -> Column:
-    return F.length(F.regexp_replace(F.regexp_replace(text, r"\.{3,}", ""), "[ \t\n\r]+", ""))
-
-
-def members(text: Column, name: str) -> Column:
-    """How many code points of the text are in a class."""
-    return F.length(F.regexp_replace(text, f"[^{CLASSES[name]}]+", ""))
-
-
-def run_length(text: Column, characters: str, least: int) -> Column:
-    """Length of all runs of at least ``least`` characters, together."""
-    return F.aggregate(F.regexp_extract_all(text, F.lit(f"[{characters}]{{{least},}}"), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
-
+NAMES = ("visible", *CLASSES, "letter_runs", "no_vowel")
+_SPACE, _STOP, _VOWEL, _OTHER = "space", "stop", "vowel", "other"
+_MARKS = (*CLASSES, _SPACE, _STOP, _VOWEL, _OTHER)  # a code point has one of them
+
+
+@cache
+def _marks() -> np.ndarray:
+    """The mark of each code point up to U+FFFF; one more entry stands for all beyond."""
+    of = {name: k for k, name in enumerate(_MARKS)}
+    out = np.full(0x10001, of[_OTHER], np.uint8)
+    for name, spec in CLASSES.items():
+        spec = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: rf"\U{int(m[1], 16):08X}", spec)
+        found = re.compile(f"[{spec}]")
+        out[[c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and found.match(chr(c))]] = of[name]
+    for name, characters in ((_SPACE, " \t\n\r"), (_STOP, "."), (_VOWEL, "AEIOUaeiou")):
+        out[[ord(c) for c in characters]] = of[name]
+    return out
+
+
+def _runs(inside: np.ndarray, least: int, ends: np.ndarray) -> np.ndarray:
+    """For each text the length of its runs of at least ``least`` marked code points, together."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
+    first, size = edges[::2], edges[1::2] - edges[::2]
+    long = size >= least
+    return np.bincount(np.searchsorted(ends, first[long], "right"), size[long], len(ends)).astype(np.int64)
+
+
+def count(texts: list[str]) -> dict[str, np.ndarray]:
+    """The counters of texts, from one pass over their code points."""
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+    marks = _marks()[np.minimum(points, 0x10000)]
+    n, of = len(texts), {name: k for k, name in enumerate(_MARKS)}
+    sizes = np.fromiter(map(len, texts), np.int64, n)
+    ends = np.cumsum(sizes + 1)  # a line feed follows each text but the last
+    table = np.bincount(np.repeat(np.arange(n) * len(_MARKS), sizes + 1)[: len(marks)] + marks, minlength=n * len(_MARKS)).reshape(n, -1)
+    out = {name: table[:, of[name]].copy() for name in CLASSES}
+    spaces = table[:, of[_SPACE]] - (np.arange(n) < n - 1)
+    consonant, stop = marks == of["ascii_letter"], marks == of[_STOP]
+    out["visible"] = sizes - spaces - (_runs(stop, 3, ends) if stop.any() else 0)
+    out["letter_runs"] = _runs(consonant | (marks == of[_VOWEL]), 6, ends)
+    out["no_vowel"] = _runs(consonant, 8, ends)
+    out["ascii_letter"] += table[:, of[_VOWEL]]
+    return out
+
+
+def counted(df: DataFrame, text: str, *keep: str, piece: int = 4_000_000) -> DataFrame:
+    """Columns ``keep`` and the counters of each row's text; a null text counts as empty.
+
+    The counters are a dozen tests of every character. As expressions each is a pass that builds a new
+    string; here an Arrow batch's code points are looked up once, in a table, and counted by class.
+    """
 
-def counters(text: Column) -> list[Column]:
-    text = F.coalesce(text, F.lit(""))
-    named = [visible(text).cast("long").alias("visible")]
-    named += [members(text, c).cast("long").alias(c) for c in CLASSES]
-    named += [run_length(text, "A-Za-z", 6).cast("long").alias("letter_runs"), run_length(text, CONSONANT, 8).cast("long").alias("no_vowel")]
-    return named
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, at = b.column(len(keep)).to_pylist(), 0
+            while at < len(texts):
+                end = size = 0
+                own = []
+                for end in range(at, len(texts)):
+                    own.append(texts[end] or "")
+                    size += len(own[-1])
+                    if size >= piece:
+                        break
+                found = count(own)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, len(own)) for i in range(len(keep))), *(pa.array(found[k], pa.int64()) for k in NAMES)], [*keep, *NAMES])
+                at = end + 1
+
+    schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep) + ", ".join(f"{k} long" for k in NAMES)
+    return df.select(*keep, F.col(text).cast("string")).mapInArrow(run, schema)
 
 
 def share(part: str | Column, whole: str | Column = "visible") -> Column:
@@ -104,17 +158,28 @@ def stripped_lines(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), bare)
 
 
-def repeated_lines(text: Column) -> tuple[Column, Column]:
-    """Meaningful lines, and those of them that occur more than once (every occurrence counts).
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that it reads more than once, bound to a variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def repeated_lines(text: Column) -> Column:
+    """Struct of the number of meaningful lines, and of those that occur more than once (every
+    occurrence counts).
 
     The lines are sorted, so that equal ones stand side by side; no line leaves its row.
     """
     lines = F.array_sort(F.filter(stripped_lines(text), lambda x: (F.length(x) >= 4) & x.rlike(WORDLIKE)))
-    beside = lambda x, i: F.coalesce(F.get(lines, i - 1) == x, F.lit(False)) | F.coalesce(F.get(lines, i + 1) == x, F.lit(False))
-    return F.size(lines), F.size(F.filter(lines, beside))
+
+    def counts(lines: Column) -> Column:
+        beside = lambda x, i: F.coalesce(F.get(lines, i - 1) == x, F.lit(False)) | F.coalesce(F.get(lines, i + 1) == x, F.lit(False))
+        return F.struct(F.size(lines).alias("lines"), F.size(F.filter(lines, beside)).alias("repeated"))
+
+    return _once(lines, counts)
 
 
-def short_lines(text: Column) -> tuple[Column, Column]:
-    """Lines with content, and those of at most two characters that are not numbers."""
+def short_lines(text: Column) -> Column:
+    """Struct of the number of lines with content, and of those of at most two characters that are not
+    numbers."""
     lines = F.filter(stripped_lines(text), lambda x: x != "")
-    return F.size(lines), F.size(F.filter(lines, lambda x: (F.length(x) <= 2) & ~x.rlike("^[0-9]+$")))
+    return _once(lines, lambda x: F.struct(F.size(x).alias("lines"), F.size(F.filter(x, lambda y: (F.length(y) <= 2) & ~y.rlike("^[0-9]+$"))).alias("short")))

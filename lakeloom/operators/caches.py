@@ -35,9 +35,10 @@ def merge(cached: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def first_of(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first row of each key. It is found by aggregation, so that no task holds a key's rows."""
-    first = df.groupBy(key.alias("__key")).agg(F.min(order).alias(order), F.count("*").alias("copies"))
-    return df.join(first, order)
+    """The first row of each key, and how many there are. It is found by aggregation, in one shuffle of
+    the rows that each task keeps, so that no task holds a key's rows; pass the columns that matter."""
+    row = F.min_by(F.struct(*df.columns), F.col(order)).alias("__row")
+    return df.groupBy(key.alias("__key")).agg(row, F.count("*").alias("copies")).select("__row.*", "copies")
 
 
 def manifest(header: Column) -> Column:

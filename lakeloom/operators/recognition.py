@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 @dataclass(frozen=True)
@@ -63,7 +67,49 @@ def provenance(ocr: Column, blank: Column, has_text: Column, layer: Column) -> C
     return F.coalesce(ocr, F.when(blank, "(blank)"), F.when(~has_text, "(no text)"), layer)
 
 
-def clean_transcript(text: Column) -> Column:
-    """A transcript without code fences and lead-in lines."""
-    keep = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^\s*```") & ~x.rlike(r"(?i)^\s*(here is|here's|sure|the (image|picture) (shows|contains))\b.*[:.]?\s*$"))
-    return F.trim(F.array_join(keep, "\n"))
+# How a model announces a transcript, doubts it, or describes the picture instead.
+MARKS = ("transcription", "transcript", "full text", "fulltext", "ocr output", "text below", "原文", "正文", "转录", "转录结果", "抄写", "抄写结果", "抄写内容")
+OPENERS = ("here's", "here’s", "here is", "the following", "below is")
+CHINESE_OPENERS = ("以下", "下列", "下面")
+DOUBTS = ("uncertain", "uncertainty", "不确定", "不确定部分", "不确定区域", "无法确认")
+PICTURES = ("图片", "图像", "扫描件", "照片", "截图", "页面", "页", "文档", "图")
+SHOWS = ("为", "是", "显示", "展示", "呈现", "描绘", "中", "看起来", "表明")
+
+
+@cache
+def _transcript_patterns() -> tuple[re.Pattern, ...]:
+    either = lambda words: "(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + ")"
+    head, colon = r"[\s>#*-]*", r"\s*[:：]"
+    pictures = either(PICTURES)
+    announces = "|".join([f"{head}{either(MARKS)}{colon}\\s*$", f"{head}{either(OPENERS)}[^\n]{{0,40}}[:：]\\s*$", f"{head}{either(CHINESE_OPENERS)}[是为]?(?:这张|这份|该|此)?{either(PICTURES[:-1] + ('图中',))}的?[^\n]{{0,24}}[:：]\\s*$"])
+    describes = f"(?:[该此这本上])?\\s?{pictures}(?:的内容|内容|的局部|局部)?{either(SHOWS)}"
+    return re.compile(announces, re.I), re.compile(head + either(DOUBTS) + colon, re.I), re.compile(describes), re.compile(f"{pictures}|表格")
+
+
+def cleaned(text: str | None) -> str:
+    """A transcript without what its maker says about it: code fences; the announcement near its start and
+    what precedes it, if all of that is talk; announcements and doubts wherever parts were put together;
+    descriptions that an announcement follows, or that open the text. Anything else stays."""
+    announces, doubts, describes, pictures = _transcript_patterns()
+    lines = [x for x in (text or "").replace("\r\n", "\n").split("\n") if not re.fullmatch(r"[ \t]*```[A-Za-z0-9]*[ \t]*", x)]
+    captions = lambda x: bool(describes.match(x.strip())) or x.rstrip().endswith(("。", "：", ":")) and bool(pictures.search(x))
+    mark = next((i for i, x in enumerate(lines[:6]) if announces.match(x)), None)
+    if mark is not None and all(doubts.match(x) or captions(x) for x in lines[:mark] if x.strip()):
+        lines = lines[mark + 1 :]
+    kept, after = [], ""  # from the end: the next line with content is known
+    for x in reversed(lines):
+        talk = announces.match(x) or doubts.match(x) or x.strip() and announces.match(after) and captions(x)
+        if not talk:
+            kept.append(x)
+        if x.strip():
+            after = x
+    kept.reverse()
+    while len(kept) > 1 and describes.match(kept[0].strip()):
+        del kept[0]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip()
+
+
+@F.pandas_udf(StringType())
+def clean_transcript(text: pd.Series) -> pd.Series:
+    """``cleaned`` of each text, in Arrow batches: what a line means depends on those around it."""
+    return text.map(cleaned)

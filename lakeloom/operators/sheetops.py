@@ -69,19 +69,37 @@ def vlookup(df: DataFrame, key: str, lookup: DataFrame, lookup_key: str, value:
     return df.join(first, df[key] == first["__k"], "left").drop("__k")
 
 
-def vlookup_ascending(df: DataFrame, key: str, order: list[str], lookup: DataFrame, lookup_key: str, value: str, into: str) -> DataFrame:
-    """Approximate lookup over ascending distinct keys: the value at the largest key not above ``key``.
+def vlookup_approximate(df: DataFrame, key: str, lookup: DataFrame, lookup_key: str, value: str, row: str, into: str, buckets: int = 256) -> DataFrame:
+    """Approximate lookup: the value in the first row whose key equals ``key``; else in the last row, by
+    ``row``, whose key is smaller; null (#N/A) without one. Keys need not be sorted.
 
-    An as-of join without comparing pairs: both sides are sorted together by range, each range takes the
-    last value it has seen, and a range that starts without one takes the last value of those before it.
+    It is an as-of join on distinct keys of both sides, so a hot key is one row. Keys are dealt to buckets
+    by bounds that are counted once and written into the plan, and each bucket is scanned in key order;
+    what the buckets before it hold comes from one row a bucket. The found values join the rows by key.
     """
-    marks = lookup.select(F.col(lookup_key).cast("double").alias("__x"), F.lit(0).alias("__side"), F.col(value).alias("__v"), F.lit(None).cast("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in df.schema) + ">").alias("__row"))
-    rows = df.select(F.col(key).cast("double").alias("__x"), F.lit(1).alias("__side"), F.lit(None).cast(lookup.schema[value].dataType).alias("__v"), F.struct(*df.columns).alias("__row"))
-    both = marks.union(rows).repartitionByRange("__x").withColumn("__p", F.spark_partition_id())
-    within = Window.partitionBy("__p").orderBy("__x", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("__here", F.last("__v", True).over(within))
-    ends = both.where("__side = 0").groupBy("__p").agg(F.max_by("__v", "__x").alias("__end"))
-    parts = both.select("__p").distinct().join(ends, "__p", "left")
-    earlier = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("__p", F.last("__end", True).over(earlier).alias("__before"))
-    return seen.where("__side = 1").join(parts, "__p").select("__row.*", F.coalesce("__here", "__before").alias(into))
+    keys = lookup.select(F.col(lookup_key).cast("double").alias("__x"), F.struct(F.col(row).alias("r"), F.col(value).alias("v")).alias("__c")).where("__x IS NOT NULL AND NOT isnan(__x)")
+    marks = keys.groupBy("__x").agg(F.min("__c").alias("__first"), F.max("__c").alias("__last"))
+    wanted = df.select(F.col(key).cast("double").alias("__x")).where("__x IS NOT NULL AND NOT isnan(__x)").distinct()
+    none = F.lit(None).cast(marks.schema["__first"].dataType)
+    both = marks.withColumn("__side", F.lit(0)).unionByName(wanted.select("__x", none.alias("__first"), none.alias("__last"), F.lit(1).alias("__side")))
+    bounds = sorted({x for x in both.approxQuantile("__x", [i / buckets for i in range(1, buckets)], 0.25 / buckets)})
+    both = both.withColumn("__b", _bucket(F.col("__x"), bounds, 0))
+    within = Window.partitionBy("__b").orderBy("__x", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    here = F.last(F.when(F.col("__side") == 0, F.struct("__x", "__first")), True).over(within)
+    seen = both.withColumn("__at", here).withColumn("__best", F.max("__last").over(within))
+    ends = both.where("__side = 0").groupBy("__b").agg(F.max("__last").alias("__end"))
+    parts = df.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("__b")).join(ends, "__b", "left")
+    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    parts = parts.select("__b", F.max("__end").over(earlier).alias("__before"))
+    found = seen.where("__side = 1").join(F.broadcast(parts), "__b")
+    exact = F.when(F.col("__at.__x") == F.col("__x"), F.col("__at.__first.v"))
+    found = found.select("__x", F.when(exact.isNotNull(), exact).otherwise(F.greatest("__best", "__before")["v"]).alias(into))
+    return df.join(found, df[key].cast("double") == found["__x"], "left").drop("__x")
+
+
+def _bucket(x: Column, bounds: list[float], first: int) -> Column:
+    """The number of bounds that are at most x, plus ``first``, by halving."""
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    return F.when(x < bounds[half], _bucket(x, bounds[:half], first)).otherwise(_bucket(x, bounds[half + 1 :], first + half + 1))

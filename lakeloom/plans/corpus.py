@@ -73,33 +73,41 @@ def manifest_fields(spark: SparkSession, folder: str) -> DataFrame:
 _GARBLED = "(SELECT doc_id, text, length(text) < 200 AS garbled FROM documents)"
 
 
-@query(f"SELECT doc_id, CASE WHEN garbled AND doc_id % 2 = 0 THEN 'cached' ELSE 'own' END AS origin FROM {_GARBLED}")
+def _pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, folder, "documents")
+    pages = docs.select("doc_id", "text", (F.length("text") < 200).alias("garbled"))
+    return pages, docs.where("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("cached "), F.upper("text")).alias("cached"))
+
+
+@query(f"SELECT doc_id, sha256(CASE WHEN garbled AND doc_id % 2 = 0 THEN 'cached ' || upper(text) ELSE text END) AS digest FROM {_GARBLED}")
 def conversion_substitute(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "documents").select("doc_id", F.lit("own").alias("text"), (F.length("text") < 200).alias("garbled"))
-    cached = table(spark, folder, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit("cached").alias("cached"))
-    return caches.substitute(pages, cached, ["doc_id"])[0].select("doc_id", F.col("text").alias("origin"))
+    pages, cached = _pages(spark, folder)
+    return caches.substitute(pages, cached, ["doc_id"])[0].select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
 @query(f"SELECT doc_id FROM {_GARBLED} WHERE garbled AND doc_id % 2 <> 0")
 def conversion_guard(spark: SparkSession, folder: str) -> DataFrame:
     """Garbled documents for which there is no cached text."""
-    pages = table(spark, folder, "documents").select("doc_id", F.lit("own").alias("text"), (F.length("text") < 200).alias("garbled"))
-    cached = table(spark, folder, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit("cached").alias("cached"))
+    pages, cached = _pages(spark, folder)
     return caches.substitute(pages, cached, ["doc_id"])[1]
 
 
 def _boxes(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items as boxes on pages: a page is an order."""
-    return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 600).alias("x"), (F.col("l_suppkey") * 7 % 800).alias("y"), (0.8 + F.col("l_discount").cast("double") * 2).alias("score"), F.concat(F.lit("word"), F.col("l_partkey").cast("string")).alias("text"))
+    """Line items as boxes on pages: a page is an order. Pages of many and of short boxes, which orders
+    do not make, come from the nations."""
+    items = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 600).alias("x"), (F.col("l_suppkey") * 7 % 800).alias("y"), (0.8 + F.col("l_discount").cast("double") * 2).alias("score"), F.concat(F.lit("word"), F.col("l_partkey").cast("string")).alias("text"))
+    key = F.col("n_nationkey")
+    many = table(spark, folder, "nation").select(key, F.explode(F.sequence(F.lit(1), F.when(key % 2 == 0, 50).otherwise(35))).alias("pos"))
+    return items.union(many.select((-10 * key - 5).cast("long"), "pos", (F.col("pos") * 11 % 600).cast("long"), (F.col("pos") * 16).cast("long"), F.lit(0.93), F.concat(F.when(key % 3 == 0, "w").otherwise("longword"), F.col("pos").cast("string"))))
 
 
-_BOXES = "WITH b AS (SELECT l_orderkey AS page, l_linenumber AS pos, l_partkey % 600 AS x, l_suppkey * 7 % 800 AS y, 0.8 + CAST(l_discount AS DOUBLE) * 2 AS score, 'word' || l_partkey AS text FROM lineitem)"
+_BOXES = "WITH b AS (SELECT l_orderkey AS page, l_linenumber AS pos, l_partkey % 600 AS x, l_suppkey * 7 % 800 AS y, 0.8 + CAST(l_discount AS DOUBLE) * 2 AS score, 'word' || l_partkey AS text FROM lineitem UNION ALL SELECT CAST(-10 * n_nationkey - 5 AS BIGINT), CAST(k AS INTEGER), k * 11 % 600, k * 16, 0.93, CASE WHEN n_nationkey % 3 = 0 THEN 'w' ELSE 'longword' END || k FROM nation, (SELECT unnest(range(1, 51)) AS k) WHERE n_nationkey % 2 = 0 OR k <= 35)"
 
 
-@query(f"{_BOXES}, p AS (SELECT page, count(*) AS boxes, floor(avg(score) * 1000 + 0.5) / 1000 AS score, floor(avg(CASE WHEN length(text) <= 6 THEN 1.0 ELSE 0 END) * 100 + 0.5) / 100 AS short_share FROM b GROUP BY page) SELECT page, CASE WHEN page % 10 = 0 THEN 'blank' WHEN page % 10 = 1 THEN 'code' WHEN score < 0.88 THEN 'score' WHEN boxes >= 45 AND score < 0.95 THEN 'dense' WHEN short_share > 0.6 AND boxes >= 30 AND score < 0.95 THEN 'short' ELSE 'ok' END AS verdict FROM p")
+@query(f"{_BOXES}, p AS (SELECT page, count(*) AS boxes, floor(avg(score) * 1000 + 0.5) / 1000 AS score, floor(avg(CASE WHEN length(text) <= 6 THEN 1.0 ELSE 0 END) * 100 + 0.5) / 100 AS short_share FROM b GROUP BY page) SELECT page, CASE WHEN page % 10 = 0 THEN 'blank' WHEN page % 10 = 1 THEN 'code' WHEN page % 10 = 2 THEN 'none' WHEN score < 0.88 THEN 'score' WHEN boxes >= 45 AND score < 0.95 THEN 'dense' WHEN short_share > 0.6 AND boxes >= 30 AND score < 0.95 THEN 'short' ELSE 'ok' END AS verdict FROM p")
 def ocr_gate(spark: SparkSession, folder: str) -> DataFrame:
     pages = recognition.page_stats(_boxes(spark, folder), ["page"])
-    code = F.when(F.col("page") % 10 == 0, 101).when(F.col("page") % 10 == 1, 203).otherwise(100)
+    code = F.when(F.col("page") % 10 == 0, 101).when(F.col("page") % 10 == 1, 203).when(F.col("page") % 10 != 2, 100)
     return pages.select("page", recognition.gate(code, F.col("boxes"), F.col("score"), F.col("short_share")).alias("verdict"))
 
 
@@ -131,10 +139,12 @@ def ocr_provenance(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", recognition.provenance(F.when(F.col("q") == 1, "ocr"), F.col("n") < 60, F.col("n") >= 120, F.lit("layer")).alias("shown"))
 
 
-@query("SELECT conv_id, turn, text AS cleaned FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations)")
+@query("SELECT conv_id, turn, text || chr(10) || 'Sure enough, revenue rose.' || chr(10) || 'here is more' || chr(10) || chr(10) || 'tail' AS cleaned FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations)")
 def ocr_transcript(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of talk go; ordinary lines that begin alike stay."""
     line = F.trim(F.regexp_replace("text", r"\s+", " "))
-    return table(spark, folder, "conversations").select("conv_id", "turn", recognition.clean_transcript(F.concat(F.lit("Here is the text:\n```\n"), line, F.lit("\n```"))).alias("cleaned"))
+    said = F.concat(F.lit("该图片为扫描件。\nHere is the text:\n```text\n"), line, F.lit("\nSure enough, revenue rose.\n```\nUncertain: the last line\nhere is more\n图片显示表格。\n\nTranscription:\n\n\n\ntail"))
+    return table(spark, folder, "conversations").select("conv_id", "turn", recognition.clean_transcript(said).alias("cleaned"))
 
 
 @query("SELECT doc_id, sha256(replace(text, 'the', 'a$1')) AS digest, (length(text) - length(replace(text, 'the', ''))) // 3 AS hits, sha256(regexp_replace(text, '[0-9]+', '#', 'g')) AS masked FROM documents")

@@ -79,11 +79,19 @@ def xl_vlookup_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("WITH b AS (SELECT n_nationkey * 15000.0 + 1000 AS floor, n_name FROM nation) SELECT o_orderkey, coalesce(n_name, '#N/A') AS band FROM orders ASOF LEFT JOIN b ON o_totalprice >= floor")
 def xl_vlookup_approx(spark: SparkSession, folder: str) -> DataFrame:
-    bands = table(spark, folder, "nation").select((F.col("n_nationkey") * 15000.0 + 1000).alias("floor"), "n_name")
-    found = ops.vlookup_ascending(table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ["o_orderkey"], bands, "floor", "n_name", "band")
+    bands = table(spark, folder, "nation").select((F.col("n_nationkey") * 15000.0 + 1000).alias("floor"), "n_name", "n_nationkey")
+    found = ops.vlookup_approximate(table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", bands, "floor", "n_name", "n_nationkey", "band")
     return found.select("o_orderkey", F.coalesce("band", F.lit(cells.NA)).alias("band"))
 
 
+@query("WITH k AS (SELECT s_suppkey, round(s_acctbal, -2) AS x FROM supplier), t AS (SELECT DISTINCT round(c_acctbal, -2) AS x FROM customer), f AS (SELECT t.x, coalesce(min(CASE WHEN k.x = t.x THEN s_suppkey END), max(CASE WHEN k.x < t.x THEN s_suppkey END)) AS found FROM t JOIN k ON k.x <= t.x GROUP BY t.x) SELECT c_custkey, coalesce(found, -1) AS found FROM customer LEFT JOIN f ON f.x = round(c_acctbal, -2)")
+def xl_vlookup_unsorted(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys in no order, some of them repeated: the first equal row, else the last smaller one."""
+    keys = table(spark, folder, "supplier").select("s_suppkey", F.round("s_acctbal", -2).alias("x"))
+    rows = table(spark, folder, "customer").select("c_custkey", F.round("c_acctbal", -2).alias("x"))
+    return ops.vlookup_approximate(rows, "x", keys, "x", "s_suppkey", "s_suppkey", "found").select("c_custkey", F.coalesce("found", F.lit(-1)).alias("found"))
+
+
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 'bulk' ELSE 'FALSE' END AS kind FROM lineitem")
 def xl_if(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", cells.compare(">", n("l_quantity"), cells.number(F.lit(25.0))).alias("c"))

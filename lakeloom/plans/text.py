@@ -9,11 +9,25 @@ from lakeloom.functions import textstats as stats
 from lakeloom.operators import ranges
 from lakeloom.sources.tables import table
 
-INLINE_CAP = 120_000
+INLINE_CAP = 2000  # characters of a read; small, so that texts of the tables need several
+GARBLED = ("\ue0a1", "\ufffd", "\x01", "\u00c3\u00c2", "\u2502", "bcdfghjklm ", "\u6570\u636e", "0123456789", "a\n")
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, and one text a nation that some test takes for garbled: the tables have none. Two kinds
+    share a source whose other texts are Chinese."""
+    key = F.col("n_nationkey")
+    kind = F.element_at(F.lit(list(GARBLED)), (key % len(GARBLED) + 1).cast("int"))
+    odd = table(spark, folder, "nation").select((-1 - key).cast("long").alias("doc_id"), F.repeat(kind, F.lit(60)).alias("text"), F.when((key % len(GARBLED)).isin(6, 7), "chinese").otherwise("garbled").alias("source"))
+    return table(spark, folder, "documents").select("doc_id", "text", "source").union(odd)
+
+
+_KINDS = ", ".join("concat(" + ", ".join(f"chr({ord(c)})" for c in g) + ")" for g in GARBLED)
+DOCUMENTS = f"(SELECT doc_id, text, source FROM documents UNION ALL SELECT -1 - n_nationkey, repeat(list_extract([{_KINDS}], n_nationkey % {len(GARBLED)} + 1), 60), CASE WHEN n_nationkey % {len(GARBLED)} IN (6, 7) THEN 'chinese' ELSE 'garbled' END FROM nation)"
 
 
 def _counted(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", *keep, *stats.counters(F.col("text")))
+    return stats.counted(_documents(spark, folder), "text", "doc_id", *keep)
 
 
 def _sql_counters() -> str:
@@ -24,7 +38,7 @@ def _sql_counters() -> str:
     return ", ".join(cells)
 
 
-COUNTED = f"WITH d AS (SELECT *, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, source, lang, t, {_sql_counters()} FROM d)"
+COUNTED = f"WITH d AS (SELECT *, coalesce(text, '') AS t FROM {DOCUMENTS}), c AS (SELECT doc_id, source, t, {_sql_counters()} FROM d)"
 ABSOLUTE = {
     "replacement": "visible >= 40 AND replacement >= 0.02 * visible",
     "private_use": "visible >= 40 AND private_use >= 0.02 * visible",
@@ -57,14 +71,12 @@ def quality_relative(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quality_repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines, repeated = stats.repeated_lines(F.col("text"))
-    rows = table(spark, folder, "documents").select("doc_id", lines.alias("lines"), repeated.alias("repeated"))
+    rows = _documents(spark, folder).select("doc_id", stats.repeated_lines(F.col("text")).alias("x")).select("doc_id", "x.*")
     return rows.select("doc_id", "lines", "repeated", ((F.col("lines") >= 10) & (2 * F.col("repeated") >= F.col("lines"))).alias("garbled"))
 
 
 def quality_short_lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines, short = stats.short_lines(F.col("text"))
-    rows = table(spark, folder, "documents").select("doc_id", lines.alias("lines"), short.alias("short"))
+    rows = _documents(spark, folder).select("doc_id", stats.short_lines(F.col("text")).alias("x")).select("doc_id", "x.*")
     return rows.select("doc_id", "lines", "short", ((F.col("lines") >= 12) & (4 * F.col("short") >= 3 * F.col("lines"))).alias("garbled"))
 
 
@@ -91,7 +103,8 @@ def inventory_by_source(spark: SparkSession, folder: str) -> DataFrame:
     garbled = F.lit(False)
     for t in stats.absolute().values():
         garbled = garbled | t
-    rows = table(spark, folder, "documents").select("source", F.length(F.coalesce("text", F.lit(""))).alias("chars"), *stats.counters(F.col("text")))
+    docs = _documents(spark, folder).select("source", "text", F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+    rows = stats.counted(docs, "text", "source", "chars")
     rows = rows.withColumn("batches", F.greatest(F.ceil(F.col("chars") / INLINE_CAP), F.lit(1)).cast("long"))
     return rows.groupBy("source").agg(
         F.count("*").alias("documents"), F.sum("chars").cast("long").alias("characters"), F.count_if(garbled).alias("garbled"),
@@ -157,11 +170,11 @@ def blanks(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (quality_counters, quality_gate, quality_relative, quality_repeated_lines, quality_short_lines, quality_profile, quality_report, inventory_by_source, page_windows, boundary_cut, boundary_preview, page_ranges, expand_ranges, select_pages, json_page_cap, batch_plan, doc_sessionize, blanks)}
 _LINES = r"list_transform(string_split_regex(coalesce(text, ''), '\r?\n'), lambda x: regexp_replace(x, '^" + stats.EDGE + "|" + stats.EDGE + "$', '', 'g'))"
 ORACLES = {
-    "quality_counters": f"{COUNTED} SELECT * EXCLUDE (source, lang, t) FROM c",
+    "quality_counters": f"{COUNTED} SELECT * EXCLUDE (source, t) FROM c",
     "quality_gate": f"{COUNTED}, r AS (SELECT doc_id, array_to_string(list_sort(list_filter([{', '.join(f'''CASE WHEN {v} THEN '{k}' END''' for k, v in ABSOLUTE.items())}], lambda x: x IS NOT NULL)), ',') AS reasons FROM c) SELECT doc_id, reasons <> '' AS garbled, reasons FROM r",
-    "quality_relative": f"{COUNTED}, b AS (SELECT source, sum(cjk) / nullif(sum(visible), 0) AS bc, sum(odd_latin + odd_script + odd_box) / nullif(sum(visible), 0) AS bo FROM c GROUP BY source) SELECT doc_id, visible >= 200 AND coalesce(bc, 0) > 0.3 AND cjk / visible < bc / 3 AND ascii_letter / visible < 0.5 AS low_cjk, visible >= 200 AND coalesce(bo, 0) < 0.03 AND (odd_latin + odd_script + odd_box) / visible >= 0.12 AS odd FROM c JOIN b USING (source)",
-    "quality_repeated_lines": f"WITH l AS (SELECT doc_id, unnest({_LINES}) AS line FROM documents), m AS (SELECT doc_id, line, count(*) AS n FROM l WHERE length(line) >= 4 AND regexp_matches(line, '{stats.WORDLIKE}') GROUP BY ALL), s AS (SELECT doc_id, sum(n) AS lines, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS repeated FROM m GROUP BY doc_id) SELECT doc_id, CAST(coalesce(lines, 0) AS INTEGER) AS lines, CAST(coalesce(repeated, 0) AS INTEGER) AS repeated, coalesce(lines, 0) >= 10 AND 2 * repeated >= lines AS garbled FROM documents LEFT JOIN s USING (doc_id)",
-    "quality_short_lines": f"WITH l AS (SELECT doc_id, list_filter({_LINES}, lambda x: x <> '') AS ls FROM documents), s AS (SELECT doc_id, CAST(len(ls) AS INTEGER) AS lines, CAST(len(list_filter(ls, lambda x: length(x) <= 2 AND NOT regexp_matches(x, '^[0-9]+$'))) AS INTEGER) AS short FROM l) SELECT *, lines >= 12 AND 4 * short >= 3 * lines AS garbled FROM s",
+    "quality_relative": f"{COUNTED}, b AS (SELECT source, sum(cjk) / nullif(sum(visible), 0) AS bc, sum(odd_latin + odd_script + odd_box) / nullif(sum(visible), 0) AS bo FROM c GROUP BY source) SELECT doc_id, visible >= 200 AND coalesce(bc, 0) > 0.3 AND cjk / nullif(visible, 0) < bc / 3 AND ascii_letter / nullif(visible, 0) < 0.5 AS low_cjk, visible >= 200 AND coalesce(bo, 0) < 0.03 AND (odd_latin + odd_script + odd_box) / nullif(visible, 0) >= 0.12 AS odd FROM c JOIN b USING (source)",
+    "quality_repeated_lines": f"WITH l AS (SELECT doc_id, unnest({_LINES}) AS line FROM {DOCUMENTS}), m AS (SELECT doc_id, line, count(*) AS n FROM l WHERE length(line) >= 4 AND regexp_matches(line, '{stats.WORDLIKE}') GROUP BY ALL), s AS (SELECT doc_id, sum(n) AS lines, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS repeated FROM m GROUP BY doc_id) SELECT doc_id, CAST(coalesce(lines, 0) AS INTEGER) AS lines, CAST(coalesce(repeated, 0) AS INTEGER) AS repeated, coalesce(lines, 0) >= 10 AND 2 * repeated >= lines AS garbled FROM {DOCUMENTS} LEFT JOIN s USING (doc_id)",
+    "quality_short_lines": f"WITH l AS (SELECT doc_id, list_filter({_LINES}, lambda x: x <> '') AS ls FROM {DOCUMENTS}), s AS (SELECT doc_id, CAST(len(ls) AS INTEGER) AS lines, CAST(len(list_filter(ls, lambda x: length(x) <= 2 AND NOT regexp_matches(x, '^[0-9]+$'))) AS INTEGER) AS short FROM l) SELECT *, lines >= 12 AND 4 * short >= 3 * lines AS garbled FROM s",
     "quality_profile": f"{COUNTED}, g AS (SELECT source, doc_id, {ANY} AS g FROM c WHERE visible > 0), n AS (SELECT source, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS first_garbled FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM g WHERE g) WHERE k <= 3 GROUP BY source) SELECT source, count(*) AS tested, count(*) FILTER (WHERE g) AS garbled, coalesce(any_value(first_garbled), '') AS first_garbled FROM g LEFT JOIN n USING (source) GROUP BY source",
     "quality_report": f"{COUNTED} SELECT doc_id, " + ", ".join(f"floor(CASE WHEN {v} > 0 THEN {k} / {v} ELSE 0 END * 10000 + 0.5) / 10000 AS {k}_ratio" for k, v in {"cjk": "visible", "ascii_letter": "visible", "odd_latin": "visible", "no_vowel": "letter_runs"}.items()) + " FROM c",
     "inventory_by_source": f"{COUNTED} SELECT source, count(*) AS documents, CAST(sum(length(t)) AS BIGINT) AS characters, count(*) FILTER (WHERE {ANY}) AS garbled, floor(max(CASE WHEN letter_runs > 0 THEN no_vowel / letter_runs ELSE 0 END) * 10000 + 0.5) / 10000 AS worst_no_vowel, CAST(sum(greatest(ceil(length(t) / {INLINE_CAP}), 1)) AS BIGINT) AS batches FROM c GROUP BY source",

@@ -70,6 +70,64 @@ def test_range_windows_cover_texts(spark):
     assert [(r.k, r.content, r.next_start) for r in rows] == [(1, "abc", 3), (1, "def", 6), (1, "g", None), (2, "", None), (3, "abc", None)]
 
 
+def test_approximate_lookup_at_size(spark):
+    """Many partitions, small ones put together, a hot key, and lookup keys in no order."""
+    import numpy as np
+
+    from lakeloom.operators import sheetops
+
+    r = np.random.default_rng(5)
+    keys, wanted = r.integers(0, 90_000, 30_000), np.where(r.random(400_000) < 0.3, 7, r.integers(-50, 100_000, 400_000))
+    wanted[0] = -60
+    facts = spark.createDataFrame(list(zip(range(len(wanted)), map(float, wanted))), "i long, x double").repartition(64).union(spark.createDataFrame([(-1, None), (-2, float("nan"))], "i long, x double"))
+    lookup = spark.createDataFrame(list(zip(range(len(keys)), map(float, keys))), "row long, k double")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        got = {x.i: x.found for x in sheetops.vlookup_approximate(facts, "x", lookup, "k", "row", "row", "found").select("i", "found").collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    order = np.lexsort((np.arange(len(keys)), keys))
+    best, first = np.maximum.accumulate(order), {}
+    for i, k in enumerate(keys.tolist()):
+        first.setdefault(k, i)
+    at = np.searchsorted(keys[order], wanted, "left") - 1
+    want = {i: first.get(x, int(best[at[i]]) if at[i] >= 0 else None) for i, x in enumerate(wanted.tolist())}
+    assert got == want | {-1: None, -2: None}
+
+
+def test_text_counters(spark):
+    """The one pass against the regular expressions that define the classes."""
+    import re
+
+    from lakeloom.functions import textstats as stats
+
+    r = __import__("random").Random(3)
+    letters = "aAbBzéÃ \n\t\r.…数\uff01\ue0a1\ufffd\x01\x7f\x85Ωж│■😀0_-\ufffe"
+    texts = ["", ".", "..", "...", "bcdfghjk", "abcdef", "\n", "😀" * 3] + ["".join(r.choices(letters, weights=None, k=r.randrange(200))) + r.choice(["", "bcdfghjklm" * 3, "....", "letters"]) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    got = {x.i: x for x in stats.counted(df, "t", "i", piece=500).collect()}
+    spec = {k: re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: rf"\U{int(m[1], 16):08X}", v) for k, v in stats.CLASSES.items()}
+    total = lambda pattern, t: sum(map(len, re.findall(pattern, t)))
+    for i, t in enumerate([*texts, ""]):
+        assert got[i].visible == len(re.sub(r"[ \t\n\r]+", "", re.sub(r"\.{3,}", "", t))), t
+        assert all(got[i][k] == len(re.findall(f"[{v}]", t)) for k, v in spec.items()), t
+        assert got[i].letter_runs == total("[A-Za-z]{6,}", t) and got[i].no_vowel == total(f"[{stats.CONSONANT}]{{8,}}", t)
+
+
+def test_transcripts():
+    from lakeloom.operators.recognition import cleaned
+
+    same = ["Sure enough, revenue rose in 2024", "here is a line", "Here's the plan for today", "以下为具体安排：\n第一条", "a\n\nb", "图片", ""]
+    assert [cleaned(x) for x in same] == same
+    assert cleaned("Transcription:\r\nbody\r\nUncertain: end cut") == "body"
+    assert cleaned("body first\nTranscription:\nmore") == "body first\nmore"
+    assert cleaned("该图片为扫描件\n正文一\n图中是表格。\n\n原文：\n正文二") == "正文一\n\n正文二"
+    assert cleaned("```text\nx\n```") == "x" and cleaned(None) == ""
+
+
 def test_sheet_guards(spark):
     one = spark.createDataFrame([(0, "A")], "pos long, sheet string")
     with pytest.raises(ValueError):
