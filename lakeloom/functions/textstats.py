@@ -69,33 +69,54 @@ def _marks() -> np.ndarray:
     return out
 
 
-def _runs(inside: np.ndarray, least: int, ends: np.ndarray) -> np.ndarray:
-    """For each text the length of its runs of at least ``least`` marked code points, together."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
-    first, size = edges[::2], edges[1::2] - edges[::2]
-    long = size >= least
-    return np.bincount(np.searchsorted(ends, first[long], "right"), size[long], len(ends)).astype(np.int64)
+def _in_runs(inside: np.ndarray, least: int) -> np.ndarray:
+    """Marks the code points of runs of at least ``least``: what is left of the marks when each must be
+    followed by ``least - 1`` more, spread back over as many. The steps double."""
+    out = inside
+    for back in (False, True):
+        wide = 1
+        while wide < least:
+            step = min(wide, least - wide)
+            moved = np.zeros_like(out)
+            if back:
+                moved[step:] = out[:-step]
+                out = out | moved
+            else:
+                moved[:-step] = out[step:]
+                out = out & moved
+            wide += step
+    return out
+
+
+def _sums(inside: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each text how many of its code points are marked."""
+    return np.add.reduceat(inside.view(np.uint8), starts, dtype=np.int64)
 
 
 def count(texts: list[str]) -> dict[str, np.ndarray]:
-    """The counters of texts, from one pass over their code points."""
-    points = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
-    marks = _marks()[np.minimum(points, 0x10000)]
-    n, of = len(texts), {name: k for k, name in enumerate(_MARKS)}
-    sizes = np.fromiter(map(len, texts), np.int64, n)
-    ends = np.cumsum(sizes + 1)  # a line feed follows each text but the last
-    table = np.bincount(np.repeat(np.arange(n) * len(_MARKS), sizes + 1)[: len(marks)] + marks, minlength=n * len(_MARKS)).reshape(n, -1)
-    out = {name: table[:, of[name]].copy() for name in CLASSES}
-    spaces = table[:, of[_SPACE]] - (np.arange(n) < n - 1)
-    consonant, stop = marks == of["ascii_letter"], marks == of[_STOP]
-    out["visible"] = sizes - spaces - (_runs(stop, 3, ends) if stop.any() else 0)
-    out["letter_runs"] = _runs(consonant | (marks == of[_VOWEL]), 6, ends)
-    out["no_vowel"] = _runs(consonant, 8, ends)
-    out["ascii_letter"] += table[:, of[_VOWEL]]
+    """The counters of texts, from one look at their code points."""
+    whole = "\n".join(texts) + "\n"
+    try:
+        marks = np.frombuffer(whole.encode("latin-1").translate(_marks()[:256].tobytes()), np.uint8)
+    except UnicodeEncodeError:
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        marks = np.take(_marks(), np.minimum(points, 0x10000))
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.cumsum(sizes + 1) - sizes - 1  # the first code point of each; a line feed follows each text
+    is_ = {name: marks == k for k, name in enumerate(_MARKS) if name != _OTHER}
+    none = np.zeros(len(texts), np.int64)
+    out = {name: _sums(is_[name], starts) if is_[name].any() else none for name in CLASSES}
+    letter, stops = is_["ascii_letter"] | is_[_VOWEL], is_[_STOP]
+    leaders = _in_runs(stops, 3)
+    out["visible"] = sizes + 1 - _sums(is_[_SPACE], starts) - (_sums(leaders, starts) if leaders.any() else 0)
+    consonants = _in_runs(is_["ascii_letter"], 8)
+    out["letter_runs"] = _sums(_in_runs(letter, 6), starts)
+    out["no_vowel"] = _sums(consonants, starts) if consonants.any() else none
+    out["ascii_letter"] = _sums(letter, starts)
     return out
 
 
-def counted(df: DataFrame, text: str, *keep: str, piece: int = 4_000_000) -> DataFrame:
+def counted(df: DataFrame, text: str, *keep: str, piece: int = 1_000_000) -> DataFrame:
     """Columns ``keep`` and the counters of each row's text; a null text counts as empty.
 
     The counters are a dozen tests of every character. As expressions each is a pass that builds a new
