@@ -17,7 +17,7 @@ from lakeloom.functions.blocks import BLOCK, SLIDE, block, run
 CELL = "struct<v:string,t:string,f:string>"
 SHEET = f"struct<name:string,rows:array<array<{CELL}>>>"
 MODEL = f"format string, model string, meta map<string,string>, blocks array<{BLOCK}>, sheets array<{SHEET}>, slides array<{SLIDE}>, error string"
-EXTENSIONS = ("docx", "xlsx", "pptx", "odt", "ods", "odp", "csv", "tsv", "md", "markdown", "html", "htm", "txt", "json", "jsonl", "rtf", "pdf")
+EXTENSIONS = ("docx", "xlsx", "pptx", "odt", "ods", "odp", "doc", "wps", "xls", "et", "ppt", "dps", "csv", "tsv", "md", "markdown", "html", "htm", "txt", "json", "jsonl", "rtf", "pdf")
 
 
 def load(data: bytes, name: str) -> dict:
@@ -34,6 +34,18 @@ def load(data: bytes, name: str) -> dict:
             out["model"], out["sheets"] = "workbook", (sheetlike.read_xlsx if kind == "xlsx" else sheetlike.read_ods)(data)
         elif kind in ("pptx", "odp"):
             out["model"], out["slides"] = "slides", (slidelike.read_pptx if kind == "pptx" else slidelike.read_odp)(data)
+        elif kind == "ole2":
+            from lakeloom.sources import legacy
+
+            parts = legacy.streams(data)
+            kind = out["format"] = legacy.kind(parts)
+            out["model"] = {"doc": "document", "xls": "workbook", "ppt": "slides"}[kind]
+            if kind == "doc":
+                out["blocks"] = [block("paragraph", runs=[run(x.strip())]) for x in legacy.doc_text(parts).splitlines() if x.strip()]
+            elif kind == "xls":
+                out["sheets"] = legacy.sheets(parts)
+            else:
+                out["slides"] = legacy.slides(parts)
         elif kind in ("csv", "tsv"):
             rows = plain.rows(plain.decode(data), "\t" if kind == "tsv" else None)
             out["model"], out["sheets"] = "workbook", [{"name": "Sheet1", "rows": [[sheetlike.cell(c, inferred(c)) for c in r] for r in rows]}]
