@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import materialise
-from lakeloom.llm.spans import worker_encoder
+from lakeloom.llm.spans import gathered, worker_encoder
 
 
 class Capacities:
@@ -85,21 +85,23 @@ def best_fit(lengths: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return runs
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", room: int = 250_000) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", room: int = 400_000) -> DataFrame:
     """The documents' pieces, with the partition and the rank in it among pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, part = worker_encoder(path, "ids", room), Counter(), TaskContext.get().partitionId()
         end, step = end_id.to_bytes(4, "little"), 4 * capacity
-        for b in batches:
-            rows = []
-            for i, spans in enumerate(encoder.all([t or "" for t in b.column(1).to_pylist()])):
-                ids = b"".join(spans) + end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    piece = ids[at : at + step]
-                    n = len(piece) // 4
-                    rows.append((i, k, at // 4, n, zlib.crc32(piece), part, seen[n]))
-                    seen[n] += 1
+        for b in gathered(batches, 1):
+            rows, texts = [], [t or "" for t in b.column(1).to_pylist()]
+            for first, counts, flat in encoder.batches(texts):
+                ends = np.cumsum(counts).tolist()
+                for i, (begin, stop) in enumerate(zip([0, *ends], ends), first):
+                    ids = flat[begin:stop].tobytes() + end
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        piece = ids[at : at + step]
+                        n = len(piece) // 4
+                        rows.append((i, k, at // 4, n, zlib.crc32(piece), part, seen[n]))
+                        seen[n] += 1
             cols = list(zip(*rows)) or [()] * 7
             arrays = [b.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64())))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])

@@ -15,6 +15,10 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from lakeloom.llm.common import single_threaded, tenant
 
 _HEAD = "\0 "  # holds the first span's place; no span has a space in it
@@ -107,6 +111,141 @@ class SpanEncoder:
             yield from self.batch(texts[start:])
 
 
+class SpanTable:
+    """Token counts of texts, and their ids, by one lookup for each distinct span of a batch.
+
+    Arrow cuts a batch's texts and numbers their spans; Python sees each distinct span once a batch and
+    keeps the values of at most about ``room`` spans; numpy puts the texts' values together. ``known`` is a
+    first tier of spans' lengths, for counts. Texts that may not be cut at every space go the longer way.
+    """
+
+    def __init__(self, encoder: SpanEncoder, ids: bool):
+        self.encoder, self.ids = encoder, ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.size, self.start, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _add(self, spans: list[str], values: list) -> None:
+        n = len(self.place)
+        self.place.update(zip(spans, range(n, n + len(spans))))
+        size, flat = self._packed(values)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+
+    def _packed(self, values: list) -> tuple[np.ndarray, np.ndarray]:
+        if not self.ids:
+            return np.array(values, np.int64), np.zeros(0, np.uint32)
+        flat = np.frombuffer(b"".join(values), "<u4")
+        return np.fromiter(map(len, values), np.int64, len(values)) // 4, flat
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and (where ids are wanted) all ids, one text after the other."""
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        plainer, known = self.encoder.plainer, self.encoder.known
+        cut = pc.replace_substring(pa.array(texts if plainer is None else list(map(plainer, texts)), pa.large_string()), "\n", " \n")
+        parts = pc.split_pattern(cut, " ")
+        first = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+        spans = parts.flatten().dictionary_encode()
+        of = spans.indices.to_numpy().astype(np.int64)
+        inner = np.ones(len(of), bool)
+        inner[first] = False
+        used = np.bincount(of[inner], minlength=len(spans.dictionary)) > 0
+        names, where = spans.dictionary.to_pylist(), np.full(len(used), -1, np.int64)
+        wanted = np.flatnonzero(used).tolist()
+        found = [self.place.get(names[i], -1) for i in wanted]
+        fresh = [i for i, k in zip(wanted, found) if k < 0]
+        where[wanted] = found
+        odd = [i for i in fresh if _unsafe(names[i])]
+        if odd:
+            bad = set(odd)
+            fresh = [i for i in fresh if i not in bad]
+        if fresh:
+            new = [names[i] for i in fresh]
+            more = [i for i, p in enumerate(new) if known.get(p) is None]
+            values = [known.get(p) for p in new]
+            for i, v in zip(more, self.encoder.encode([new[i] if new[i][0] == "\n" else " " + new[i] for i in more]) if more else []):
+                values[i] = v
+            where[fresh] = np.arange(len(self.place), len(self.place) + len(fresh))
+            self._add(new, values)
+        heads = [names[i] for i in of[first].tolist()]
+        distinct = sorted({h for h in heads if h})
+        size, flat = self._packed(self.encoder.encode(distinct) if distinct else [])
+        begin = len(self.flat) + np.cumsum(size) - size
+        at = {h: len(self.size) + i for i, h in enumerate(distinct)} | {"": len(self.size) + len(distinct)}
+        slot = where[of]
+        slot[first] = [at[h] for h in heads]
+        sizes, starts = np.concatenate([self.size, size, [0]]), np.concatenate([self.start, begin, [0]])
+        slow = np.zeros(len(texts), bool)
+        if odd:
+            slow = np.add.reduceat((slot < 0).view(np.uint8), first, dtype=np.int64) > 0
+            slot[slot < 0] = len(sizes) - 1
+        own = sizes[slot]
+        counts = np.add.reduceat(own, first)
+        ids = self._gather(np.concatenate([self.flat, flat]), starts[slot], own) if self.ids else self.flat
+        if slow.any():
+            counts, ids = self._mended(texts, slow, counts, ids)
+        if len(self.place) > self.encoder.room:
+            self._keep([names[i] for i in wanted if where[i] >= 0])
+        return counts, ids
+
+    @staticmethod
+    def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(sizes)
+        if not len(ends) or not ends[-1]:
+            return np.zeros(0, np.uint32)
+        return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
+
+    def _mended(self, texts: list[str], slow: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Puts in the values of texts that are cut at safe spaces alone."""
+        rows = np.flatnonzero(slow)
+        values = list(self.encoder.all([texts[i] for i in rows]))
+        if not self.ids:
+            counts[rows] = [sum(v) for v in values]
+            return counts, ids
+        begin = np.cumsum(counts) - counts
+        pieces, at = [], 0
+        for i, v in zip(rows.tolist(), values):
+            own = np.frombuffer(b"".join(v), "<u4")
+            pieces += [ids[at : begin[i]], own]
+            at = begin[i] + counts[i]
+            counts[i] = len(own)
+        return counts, np.concatenate([*pieces, ids[at:]])
+
+    def _keep(self, spans: list[str]) -> None:
+        """Forgets all but the spans of the last batch."""
+        slots = np.array([self.place[p] for p in spans], np.int64)
+        size, flat = self.size[slots], self._gather(self.flat, self.start[slots], self.size[slots]) if self.ids else self.flat
+        self.place = dict(zip(spans, range(len(spans))))
+        self.size, self.start, self.flat = size, np.cumsum(size) - size, flat
+
+    def batches(self, texts: list[str], chars: int = 12_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """As encode(), over pieces of the list of about ``chars`` characters: the place of the first text,
+        counts and ids."""
+        start = size = 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= chars or i == len(texts) - 1:
+                yield (start, *self.encode(texts[start : i + 1]))
+                start, size = i + 1, 0
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: int, size: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches put together until a column's texts have about ``size`` bytes: the more texts are looked at
+    at once, the fewer distinct spans there are for each."""
+    held, total = [], 0
+    for b in batches:
+        held.append(b)
+        total += b.column(column).nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 # Fixed value: how byte-level BPE of the tokenizers library cuts a text before it merges.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _END = b"\xff"  # stands for a word's end; no text in UTF-8 has this byte
@@ -217,11 +356,11 @@ def library_encoder(path: str, what: str) -> Callable[[list[str]], list]:
 _kept: dict = {}
 
 
-def worker_encoder(path: str, what: str, room: int, known: dict | None = None) -> SpanEncoder:
-    """This worker's encoder, whose caches outlast the task."""
+def worker_encoder(path: str, what: str, room: int, known: dict | None = None) -> SpanTable:
+    """This worker's encoder of ``ids`` or ``lengths``, whose caches outlast the task."""
     tenant("spans", _kept.clear)
     key = (path, what, room, known and (len(known), hash(frozenset(known.items()))))
     if key not in _kept:
         _kept.clear()
-        _kept[key] = SpanEncoder(library_encoder(path, what), room, known)
+        _kept[key] = SpanTable(SpanEncoder(library_encoder(path, what), room, known), what == "ids")
     return _kept[key]

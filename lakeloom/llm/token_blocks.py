@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import jvm
 
-MOST = 32_767  # ids of a block
+MOST = 16_384  # ids of a block
 FUNCTIONS = {
     "lakeloom_encode_block": ("lakeloom.llm.EncodeBlock", "binary"),
     "lakeloom_decode_block": ("lakeloom.llm.DecodeBlock", "binary"),

@@ -14,20 +14,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm import token_blocks as blocks
-from lakeloom.llm.spans import worker_encoder
+from lakeloom.llm.spans import gathered, worker_encoder
 
 PIECE = pa.struct([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
 _RAW = "part int, block int, start long, n int, documents array<struct<doc_id: bigint, ordinal: bigint, at: int, n: int>>, raw binary"
 FILES = _RAW.replace("raw binary", "data binary")
 
 
-def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", block_ids: int = 16_384, room: int = 300_000) -> None:
+def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", block_ids: int = 16_384, room: int = 600_000) -> None:
     """Writes rows (part, block, start, n, documents, data): data is a framed block of the n ids that follow
     the file's first ``start``, documents the pieces in it: the document's id, its ordinal in the file, its place in the block and its ids there."""
     if not 0 < block_ids <= blocks.MOST:
@@ -42,19 +43,22 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, doc_id: str
             columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([size // 4], pa.int32()), pa.array([pieces], pa.list_(PIECE)), pa.array([bytes(data[:size])], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["part", "block", "start", "n", "documents", "raw"])
 
-        for b in batches:
-            for i, spans in zip(b.column(0).to_pylist(), encoder.all([t or "" for t in b.column(1).to_pylist()])):
-                ids = b"".join(spans) + end
-                at = 0
-                while at < len(ids):
-                    size = min(whole - len(data), len(ids) - at)
-                    pieces.append({"doc_id": i, "ordinal": ordinal, "at": len(data) // 4, "n": size // 4})
-                    data += ids[at : at + size]
-                    at += size
-                    if len(data) == whole:
-                        yield row(whole)
-                        block, start, data, pieces = block + 1, start + block_ids, bytearray(), []
-                ordinal += 1
+        for b in gathered(batches, 1):
+            names, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            for first, counts, flat in encoder.batches(texts):
+                ends = np.cumsum(counts).tolist()
+                for i, begin, stop in zip(names[first:], [0, *ends], ends):
+                    ids = flat[begin:stop].tobytes() + end
+                    at = 0
+                    while at < len(ids):
+                        size = min(whole - len(data), len(ids) - at)
+                        pieces.append({"doc_id": i, "ordinal": ordinal, "at": len(data) // 4, "n": size // 4})
+                        data += ids[at : at + size]
+                        at += size
+                        if len(data) == whole:
+                            yield row(whole)
+                            block, start, data, pieces = block + 1, start + block_ids, bytearray(), []
+                    ordinal += 1
         if data:
             yield row(len(data))
 

@@ -54,12 +54,21 @@ def crc(ids):
 
 
 def test_spans_equal_library(texts):
-    from lakeloom.llm.spans import SpanEncoder, library_encoder
+    from lakeloom.llm.spans import SpanEncoder, SpanTable, library_encoder
 
     odd = [t or "" for t in texts] + ["  a", "a  b\n\nc", " \n x", "x\n", "\n", "a\t b", "'S don'T İx ΣΑΣ"]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         ids, encoder = library(name), SpanEncoder(library_encoder(P.path(name), "ids"), room=3)
-        assert [b"".join(x) for x in encoder.all(odd, chars=50)] == [array.array("I", ids(t)).tobytes() for t in odd]
+        want = [ids(t) for t in odd]
+        assert [b"".join(x) for x in encoder.all(odd, chars=50)] == [array.array("I", x).tobytes() for x in want]
+        for room, chars in ((3, 50), (1000, 10_000_000)):
+            table = SpanTable(SpanEncoder(library_encoder(P.path(name), "ids"), room), ids=True)
+            for _ in range(2):
+                got = list(table.batches(odd, chars))
+                assert np.concatenate([c for _, c, _ in got]).tolist() == list(map(len, want))
+                assert np.concatenate([f for _, _, f in got]).tolist() == [i for x in want for i in x]
+            counts = SpanTable(SpanEncoder(library_encoder(P.path(name), "lengths"), room, {}), ids=False)
+            assert [n for _, c, _ in counts.batches(odd, chars) for n in c.tolist()] == list(map(len, want))
 
 
 def test_token_counts(docs, texts):
