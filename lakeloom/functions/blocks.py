@@ -124,3 +124,35 @@ def to_slides(blocks: Column) -> Column:
         return F.struct(done.alias("done"), (~b["type"].isin("hr", "pagebreak")).alias("open"))
 
     return F.aggregate(blocks, zero, step, lambda a: a["done"])
+
+
+def normalised(blocks: Column) -> Column:
+    """Blocks with their defaults in place: a type, levels, runs for paragraphs and quotes that have text
+    alone, lists that are ordered or not, tables with or without a head."""
+
+    def one(b: Column) -> Column:
+        kind = F.coalesce(b["type"], F.lit("paragraph"))
+        text = F.coalesce(b["text"], F.lit(""))
+        single = F.from_json(F.to_json(F.array(F.struct(text.alias("text")))), f"array<{RUN}>")
+        level = F.least(F.greatest(F.coalesce(b["level"], F.lit(1)), F.lit(1)), F.lit(6))
+        items = F.transform(F.coalesce(b["items"], F.from_json(F.lit("[]"), f"array<{ITEM}>")), lambda i: F.struct(F.coalesce(i["level"], F.lit(0)).alias("level"), F.coalesce(i["text"], F.lit("")).alias("text")))
+        full = b.withField("type", kind).withField("level", F.when(kind == "heading", level).otherwise(b["level"]))
+        full = full.withField("text", F.when(kind.isin("heading", "code"), text).otherwise(b["text"]))
+        full = full.withField("runs", F.when((kind == "paragraph") & b["runs"].isNull(), single).otherwise(b["runs"]))
+        full = full.withField("items", F.when(kind == "list", items).otherwise(b["items"]))
+        full = full.withField("ordered", F.when(kind == "list", F.coalesce(b["ordered"], F.lit(False))).otherwise(b["ordered"]))
+        full = full.withField("rows", F.when(kind == "table", F.transform(F.coalesce(b["rows"], F.array().cast("array<array<string>>")), lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit(""))))).otherwise(b["rows"]))
+        return full.withField("header", F.when(kind == "table", F.coalesce(b["header"], F.lit(False))).otherwise(b["header"]))
+
+    return F.transform(F.filter(blocks, lambda b: b.isNotNull()), one)
+
+
+def sheet_stats(sheets: Column) -> Column:
+    """Of each sheet its name, rows and most columns."""
+    return F.transform(sheets, lambda s: F.struct(s["name"].alias("name"), F.size(s["rows"]).alias("rows"), F.coalesce(F.array_max(F.transform(s["rows"], lambda r: F.size(r))), F.lit(0)).alias("columns")))
+
+
+def slide_stats(slides: Column) -> Column:
+    """Number of slides, of pictures, and the first 20 titles."""
+    titles = F.slice(F.filter(F.transform(slides, lambda s: s["title"]), lambda t: F.coalesce(t, F.lit("")) != ""), 1, 20)
+    return F.struct(F.size(slides).alias("slides"), F.aggregate(slides, F.lit(0), lambda a, s: a + F.coalesce(s["images"], F.lit(0))).alias("images"), titles.alias("titles"))

@@ -116,6 +116,15 @@ def count(texts: list[str]) -> dict[str, np.ndarray]:
     return out
 
 
+def garbled(found: dict[str, np.ndarray], gate: Gate = Gate()) -> np.ndarray:
+    """Whether a text fails any test that needs no baseline; ``found`` are the counters of texts."""
+    seen = np.maximum(found["visible"], 1)
+    bad = (found["no_vowel"] >= gate.no_vowel * np.maximum(found["letter_runs"], 1)) & (found["letter_runs"] > 0) & (found["ascii_letter"] >= gate.letters)
+    for name in ("replacement", "private_use", "control", "odd_latin", "odd_box"):
+        bad |= found[name] >= getattr(gate, name) * seen
+    return bad & (found["visible"] >= gate.least_visible)
+
+
 def counted(df: DataFrame, text: str, *keep: str, piece: int = 1_000_000) -> DataFrame:
     """Columns ``keep`` and the counters of each row's text; a null text counts as empty.
 

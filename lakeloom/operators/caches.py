@@ -55,3 +55,40 @@ def substitute(pages: DataFrame, cached: DataFrame, keys: list[str]) -> tuple[Da
     whole = pages.join(cached, keys, "left")
     text = F.when(F.col("garbled"), F.coalesce("cached", "text")).otherwise(F.col("text"))
     return whole.select(*keys, text.alias("text")), bad.join(cached, keys, "left_anti")
+
+
+def coverage(wanted: DataFrame, have: DataFrame, group: str, page: str) -> DataFrame:
+    """group, covered, total and missing: the pages that the cache lacks, as ranges."""
+    from lakeloom.operators.ranges import compact
+
+    marked = wanted.select(group, page).distinct().join(have.select(group, page).distinct().withColumn("__hit", F.lit(True)), [group, page], "left")
+    counts = marked.groupBy(group).agg(F.count("__hit").alias("covered"), F.count("*").alias("total"))
+    gaps = compact(marked.where("__hit IS NULL"), group, page).withColumnRenamed("ranges", "missing")
+    return counts.join(gaps, group, "left").withColumn("missing", F.coalesce("missing", F.lit("")))
+
+
+# Names of results that a sweep never takes.
+PROTECTED = r"\.(ocr\.md|ocr\.json|read\.md)"
+
+
+def expired(files: DataFrame, now: Column, days: float, path: str = "path", modified: str = "modified") -> DataFrame:
+    """Files older than so many days whose names are not protected."""
+    old = F.col(modified).cast("timestamp") < now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(days * 86400.0))
+    return files.where(old & ~F.lower(path).rlike(PROTECTED))
+
+
+class Memo:
+    """The last few parsed results by path, time and size, kept as persisted frames: what falls out is
+    unpersisted. A file that has changed has another key."""
+
+    def __init__(self, most: int = 3):
+        self.most, self.kept = most, {}
+
+    def get(self, key: tuple, make) -> DataFrame:
+        found = self.kept.pop(key, None)
+        if found is None:
+            found = make().persist()
+        self.kept[key] = found
+        while len(self.kept) > self.most:
+            self.kept.pop(next(iter(self.kept))).unpersist()
+        return found

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import time
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -125,25 +128,94 @@ def first_rows(df: DataFrame, key: list[str], order: list[str], most: int) -> Da
 
 
 def render(found: DataFrame, target: str) -> DataFrame:
-    """path and content: each model as bytes of docx, odt, html, pdf, xlsx, ods, pptx, odp or csv.
+    """path, content and images: each model as bytes of docx, odt, html, pdf, md, txt, xlsx, ods, csv, tsv,
+    pptx, odp or json, and how many pictures the target could only name.
 
-    Models of another kind are converted first.
+    Models of another kind are converted first; Markdown, text and JSON take each kind as it is.
     """
-    kind = {"docx": "blocks", "odt": "blocks", "html": "blocks", "pdf": "blocks", "xlsx": "sheets", "ods": "sheets", "csv": "sheets", "pptx": "slides", "odp": "slides"}[target]
-    from lakeloom.functions.blocks import to_slides
+    kind = {"docx": "blocks", "odt": "blocks", "html": "blocks", "pdf": "blocks", "xlsx": "sheets", "ods": "sheets", "csv": "sheets", "tsv": "sheets", "pptx": "slides", "odp": "slides", "md": None, "txt": None, "json": None}[target]
+    from lakeloom.functions.blocks import degrade_images, to_markdown, to_slides, to_text
+
+    if kind is None:
+        ready = found.where("error IS NULL")
+        if target == "json":
+            body = F.to_json(F.struct(F.col("model").alias("kind"), "meta", "blocks", "sheets", "slides"), {"pretty": "true", "ignoreNullFields": "true"})
+        else:
+            body = F.coalesce(to_markdown(F.col("blocks")), workbook_markdown(F.col("sheets")), slides_markdown(F.col("slides")))
+            if target == "txt":
+                body = F.coalesce(to_text(F.col("blocks")), stripped(body))
+        return ready.select("path", F.encode(body, "utf-8").alias("content"), F.lit(0).alias("images"))
 
     forms = {
         "blocks": F.coalesce("blocks", workbook_to_document(F.col("sheets")), slides_to_document(F.col("slides"))),
         "sheets": F.coalesce("sheets", document_to_workbook(F.col("blocks")), slides_to_workbook(F.col("slides"))),
         "slides": F.coalesce("slides", to_slides(F.col("blocks")), workbook_to_slides(F.col("sheets"))),
     }
-    ready = found.where("error IS NULL").select("path", "meta", forms[kind].alias("model"))
+    if kind == "blocks":
+        forms[kind], images = degrade_images(forms[kind])
+    else:
+        images = F.coalesce(degrade_images(F.col("blocks"))[1], F.lit(0))
+    ready = found.where("error IS NULL").select("path", "meta", forms[kind].alias("model"), images.alias("images"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"path": b["path"], "content": [write(target, m, dict(x) if x is not None else {}) for m, x in zip(b["model"], b["meta"])]})
+            yield pd.DataFrame({"path": b["path"], "content": [write(target, m, dict(x) if x is not None else {}) for m, x in zip(b["model"], b["meta"])], "images": b["images"]})
 
-    return ready.mapInPandas(run, "path string, content binary")
+    return ready.mapInPandas(run, "path string, content binary, images int")
+
+
+def stripped(markdown: Column) -> Column:
+    """Markdown's headings, bold marks, table rules and escaped bars as plain text."""
+    out = F.regexp_replace(markdown, r"(?m)^#{1,6} ", "")
+    out = F.regexp_replace(out, r"(?m)^\|(?: ?-{3,} ?\|)+\n?", "")
+    return F.replace(F.replace(out, F.lit("**"), F.lit("")), F.lit("\\|"), F.lit("|"))
+
+
+def publish(files: DataFrame, folder: str, overwrite: bool = True, waits: tuple[float, ...] = (0.06, 0.12, 0.18)) -> DataFrame:
+    """Writes rows (path, content) as files below a folder that every machine mounts; gives path, size and
+    error of each.
+
+    A file is written beside its place, forced to disk and renamed into it, so no reader sees half of one;
+    a rename that the system refuses for the moment is tried again after each of ``waits``. A task that is
+    run again replaces what it has written. Failures are rows; they do not stop the others.
+    """
+
+    def place(name: str, data: bytes) -> str | None:
+        path = os.path.normpath(os.path.join(folder, name))
+        if os.path.isabs(name) or not path.startswith(os.path.normpath(folder) + os.sep):
+            return "a path that leaves the folder"
+        if not overwrite and os.path.exists(path):
+            return "the file is there already"
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        beside = f"{path}.{uuid.uuid4().hex}.tmp"
+        try:
+            with open(beside, "wb") as f:
+                f.write(data)
+                f.flush()
+                os.fsync(f.fileno())
+            for wait in (*waits, None):
+                try:
+                    os.replace(beside, path)
+                    return None
+                except PermissionError:
+                    if wait is None:
+                        raise
+                    time.sleep(wait)
+        finally:
+            if os.path.exists(beside):
+                os.remove(beside)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            errors = []
+            for name, data in zip(b["path"], b["content"]):
+                try:
+                    errors.append("no content" if data is None else place(name, bytes(data)))
+                except OSError as e:
+                    errors.append(str(e)[:200])
+            yield pd.DataFrame({"path": b["path"], "size": [len(x) if x is not None else 0 for x in b["content"]], "error": errors})
+
+    return files.select("path", "content").mapInPandas(run, "path string, size long, error string")
 
 
 def write(target: str, model, meta: dict) -> bytes:
@@ -151,12 +223,12 @@ def write(target: str, model, meta: dict) -> bytes:
     from lakeloom.sources import plain, sheetlike, slidelike, wordlike
 
     model = _plain(model)
-    if target == "csv":
+    if target in ("csv", "tsv"):
         rows = []
         for s in model:
             rows += [[f"# {s['name']}"]] if len(model) > 1 else []
             rows += [[c["v"] for c in r] for r in s["rows"]]
-        return plain.delimited(rows)
+        return plain.delimited(rows) if target == "csv" else plain.delimited(rows, "\t", False)
     if target in ("html", "pdf"):
         from lakeloom.sources import page, pdf
 

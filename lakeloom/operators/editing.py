@@ -85,12 +85,21 @@ def image_points(width: Column, height: Column, most: float = 451.3) -> tuple[Co
 def update_slide(slides: Column, index: int, title: str | None = None, subtitle: str | None = None) -> Column:
     """The slide at an index from 1 with the given fields overridden."""
     change = lambda s: s.withField("title", F.lit(title) if title is not None else s["title"]).withField("subtitle", F.lit(subtitle) if subtitle is not None else s["subtitle"])
-    return F.transform(slides, lambda s, i: F.when(i == index - 1, change(s)).otherwise(s))
+    return _within(slides, index, F.transform(slides, lambda s, i: F.when(i == index - 1, change(s)).otherwise(s)))
 
 
 def delete_slide(slides: Column, index: int) -> Column:
-    """Without the slide at an index from 1; the only slide stays."""
-    return F.when(F.size(slides) < 2, slides).otherwise(F.filter(slides, lambda s, i: i != index - 1))
+    """Without the slide at an index from 1; an error for the only slide."""
+    rest = F.filter(slides, lambda s, i: i != index - 1)
+    return _within(slides, index, F.when(F.size(slides) > 1, rest).otherwise(F.raise_error(F.lit("a deck keeps one slide at least"))))
+
+
+def add_slide(slides: Column, slide: Column) -> Column:
+    return F.concat(slides, F.array(slide))
+
+
+def _within(slides: Column, index: int, result: Column) -> Column:
+    return F.when((F.size(slides) >= index) & (F.lit(index) >= 1), result).otherwise(F.raise_error(F.concat(F.lit(f"no slide {index} among "), F.size(slides).cast("string"))))
 
 
 def number_rows(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

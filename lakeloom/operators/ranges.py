@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,55 @@ def batches(df: DataFrame, key: str, pages: str, size: int) -> DataFrame:
     return rows.select(key, "first_page", F.least(F.col("first_page") + size - 1, F.col(pages)).alias("last_page"))
 
 
+def between_pages(pages: DataFrame, page: str, first: int | None, last: int | None) -> DataFrame:
+    """The pages from ``first`` to ``last``, both included; an error where there are none."""
+    if first is not None and last is not None and first > last:
+        raise ValueError(f"no pages from {first} to {last}")
+    inside = F.col(page) >= (first or 1)
+    chosen = pages.where(inside if last is None else inside & (F.col(page) <= last))
+    if not chosen.limit(1).count():
+        raise ValueError(f"no pages from {first or 1} to {last or 'the last'}")
+    return chosen
+
+
+def inline_cap(wanted: int | str | None, default: int = 120_000, least: int = 1000) -> int | None:
+    """The characters that a read gives at once: None without a cap (0); what is too small to be meant,
+    or no number, is ignored."""
+    found = re.fullmatch(r"\s*(\d+)\s*", str(wanted or "" if wanted != 0 else 0))
+    if not found:
+        return default
+    n = int(found[1])
+    return None if n == 0 else n if n >= least else default
+
+
+def capped(text: Column, cap: int | None) -> Column:
+    """Struct of content, truncated and the number of characters of the whole text."""
+    size = F.length(text)
+    return F.struct((text if cap is None else cut(text, cap)).alias("content"), (F.lit(False) if cap is None else size > cap).alias("truncated"), size.alias("characters"))
+
+
+def read_plan(df: DataFrame, key: str, pages: str, garbled: str, most: int = 12, size: int = 15, garbled_size: int = 20) -> DataFrame:
+    """key, first_page and last_page of the reads that a document of many pages, or of garbled ones, is
+    better read in; the others are in one."""
+    step = F.when(F.col(garbled), garbled_size).when(F.col(pages) > most, size).otherwise(F.greatest(F.col(pages), F.lit(1)))
+    rows = df.select(key, pages, step.cast("int").alias("__step")).where(F.col(pages) > 0)
+    rows = rows.select(key, pages, "__step", F.explode(F.sequence(F.lit(1), F.col(pages), F.col("__step"))).alias("first_page"))
+    return rows.select(key, "first_page", F.least(F.col("first_page") + F.col("__step") - 1, F.col(pages)).alias("last_page"))
+
+
+# Fixed value: the line that follows a recognised page's text.
+PAGE_MARK = r"(?m)^_（第 (\d+) 页：.*）_[ \t]*$"
+
+
+def page_bodies(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, page and body: what stands before each page's mark, back to the mark before; the last of a
+    page that is marked twice counts."""
+    numbers = F.regexp_extract_all(text, F.lit(PAGE_MARK), F.lit(1))
+    rows = df.select(key, F.split(text, PAGE_MARK).alias("__parts"), F.posexplode(numbers).alias("__k", "page"))
+    body = F.regexp_replace(F.get("__parts", F.col("__k")), r"^\s+|\s+$", "")
+    return rows.groupBy(key, F.col("page").cast("int").alias("page")).agg(F.max_by(body, "__k").alias("body"))
+
+
 def blanks(text: Column, mark: str) -> Column:
     """Runs of three or more underscores become shorter runs of ``mark``, three at least."""
     cells = F.split(F.regexp_replace(text, "(_{3,})", "\x01$1\x01"), "\x01")

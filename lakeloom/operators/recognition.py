@@ -28,6 +28,41 @@ def page_stats(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return boxes.groupBy(*keys).agg(F.count("*").alias("boxes"), half(F.avg("score"), 1000).alias("score"), half(F.avg((F.length("text") <= 6).cast("double")), 100).alias("short_share"))
 
 
+RESULT = "struct<code:int,data:array<struct<box:array<array<double>>,text:string,score:double>>>"
+
+
+def parsed(line: Column) -> Column:
+    """Struct of a recognition result's JSON line: code, boxes, score (three decimals) and short_share (two;
+    1 without boxes). A line that is no JSON has a null code."""
+    half = lambda x, f: F.floor(x * f + 0.5) / f
+    r = F.from_json(line, RESULT)
+    n = F.coalesce(F.size(r["data"]), F.lit(0))
+    total = F.aggregate(r["data"], F.lit(0.0), lambda a, b: a + F.coalesce(b["score"], F.lit(0.0)))
+    short = F.size(F.filter(r["data"], lambda b: F.length(F.coalesce(b["text"], F.lit(""))) <= 6))
+    return F.struct(r["code"].alias("code"), n.alias("boxes"), F.when(n > 0, half(total / n, 1000)).otherwise(0.0).alias("score"), F.when(n > 0, half(short / n, 100)).otherwise(1.0).alias("short_share"))
+
+
+def chosen_pages(pages: DataFrame, key: str, page: str, mode: str, given: bool, preview: int = 3, most: int = 20) -> DataFrame:
+    """Adds wanted and taken to pages (key, page, has_text, garbled): ``always`` wants all of them, ``auto``
+    those without text or garbled, ``never`` none. Of those wanted the first are taken: a preview where
+    the caller has not given pages, and never more than ``most``; the others are told as not taken."""
+    wanted = {"always": F.lit(True), "auto": ~F.col("has_text") | F.col("garbled"), "never": F.lit(False)}[mode]
+    nth = F.sum(F.col("wanted").cast("int")).over(Window.partitionBy(key).orderBy(page).rowsBetween(Window.unboundedPreceding, 0))
+    return pages.withColumn("wanted", wanted).withColumn("taken", F.col("wanted") & (nth <= (most if given else min(preview, most))))
+
+
+def chunks(pages: DataFrame, key: str, page: str, size: int = 20) -> DataFrame:
+    """Adds chunk (from 0): consecutive pages of a key, at most ``size`` each."""
+    return pages.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(page)) - 1) / size).cast("int"))
+
+
+def escalated(pages: DataFrame, key: str, page: str, passed: str, calls: int) -> DataFrame:
+    """Of each page that did not pass: whether the key's budget of calls, spent in page order, still has
+    one for it. Those without are the pages to name as skipped."""
+    failed = pages.where(~F.col(passed)).withColumn("__cost", F.lit(1))
+    return within_budget(failed, key, [page], "__cost", calls).drop("__cost")
+
+
 def gate(code: Column, boxes: Column, score: Column, short_share: Column, g: Gate = Gate()) -> Column:
     """blank, or the first reason to reject a page, or ok."""
     return (

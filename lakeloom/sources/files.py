@@ -59,6 +59,7 @@ def load(data: bytes, name: str) -> dict:
 
             pages = pdf.read(data)
             out["model"] = "document"
+            out["meta"] = _layer([p["text"] for p in pages])
             out["blocks"] = [b for p in pages for b in (block("heading", level=2, text=f"第 {p['page']} 页"), *markdown.parse(p["text"]))]
         elif kind in ("rtf", "text"):
             text = plain.rtf(data) if kind == "rtf" else plain.decode(data)
@@ -70,6 +71,24 @@ def load(data: bytes, name: str) -> dict:
     return out
 
 
+def _layer(pages: list[str]) -> dict[str, str]:
+    """What a text layer is worth: numbers of pages, of those without text and of garbled ones, and these."""
+    from lakeloom.functions import textstats
+
+    bad = [k for k, g in enumerate(textstats.garbled(textstats.count(pages)), 1) if g] if pages else []
+    return {"pages": str(len(pages)), "scanned": str(sum(not p.strip() for p in pages)), "garbled": str(len(bad)), "garbled_pages": _ranges(bad)}
+
+
+def _ranges(numbers: list[int]) -> str:
+    out: list[list[int]] = []
+    for n in numbers:
+        if out and out[-1][1] == n - 1:
+            out[-1][1] = n
+        else:
+            out.append([n, n])
+    return ",".join(f"{a}-{b}" if b > a else str(a) for a, b in out)
+
+
 def inferred(value: str) -> str:
     """The kind of a text cell: a number unless it has a leading zero before a digit."""
     import re
@@ -89,8 +108,9 @@ def models(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run_, f"path string, {MODEL}")
 
 
-def read(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
-    """The models of a folder's files with a supported extension; the same path in another case once."""
+def read(spark: SparkSession, folder: str, most: int | None = 500) -> DataFrame:
+    """The models of a folder's files with a supported extension, the first ``most`` by path; the same path
+    in another case once. ``summary`` says whether there are more."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     files = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*EXTENSIONS) & ~F.lower("path").rlike(r"\.(ocr\.md|ocr\.json|read\.md)$"))
     first = files.select("path").groupBy(F.lower("path").alias("low")).agg(F.min("path").alias("path")).select("path")
@@ -100,10 +120,44 @@ def read(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame
 
 
 def inventory(found: DataFrame, cap: int = 120_000) -> DataFrame:
-    """One row a file: format, counts, characters, batches to read it in, error."""
-    from lakeloom.functions.blocks import stats
+    """One row a file: format, counts, characters, titles, pages and what its text layer is worth, batches to
+    read it in, error."""
+    from lakeloom.functions.blocks import sheet_stats, slide_stats, stats
 
     cells = F.flatten(F.flatten(F.transform("sheets", lambda s: s["rows"])))
-    chars = F.coalesce(stats(F.col("blocks"))["characters"], F.aggregate(cells, F.lit(0), lambda a, c: a + F.length(c["v"])), F.aggregate("slides", F.lit(0), lambda a, s: a + F.length(F.coalesce(s["title"], F.lit(""))) + F.aggregate(s["bullets"], F.lit(0), lambda b, i: b + F.length(i["text"]))), F.lit(0))
-    rows = found.select("path", "format", F.size("blocks").alias("blocks"), F.size("sheets").alias("sheets"), F.size("slides").alias("slides"), chars.alias("characters"), "error")
-    return rows.withColumn("batches", F.greatest(F.ceil(F.col("characters") / cap), F.lit(1)).cast("int"))
+    of_slides = F.aggregate("slides", F.lit(0), lambda a, s: a + F.length(F.coalesce(s["title"], F.lit(""))) + F.aggregate(s["bullets"], F.lit(0), lambda b, i: b + F.length(i["text"])))
+    chars = F.coalesce(stats(F.col("blocks"))["characters"], F.aggregate(cells, F.lit(0), lambda a, c: a + F.length(c["v"])), of_slides, F.lit(0))
+    titles = F.coalesce(stats(F.col("blocks"))["titles"], slide_stats(F.col("slides"))["titles"])
+    noted = F.array_join(F.transform(sheet_stats(F.col("sheets")), lambda s: F.concat(s["name"], F.lit(":"), s["rows"].cast("string"), F.lit("行"))), "、")
+    number = lambda k: F.col("meta")[k].cast("int")
+    rows = found.select(
+        "path", "format", F.size("blocks").alias("blocks"), F.size("sheets").alias("sheets"), F.size("slides").alias("slides"), chars.alias("characters"), titles.alias("titles"),
+        F.coalesce(number("pages"), F.size("slides")).alias("pages"), F.coalesce(number("scanned"), F.lit(0)).alias("scanned"), F.coalesce(number("garbled"), F.lit(0)).alias("garbled"),
+        F.coalesce(F.col("meta")["garbled_pages"], F.lit("")).alias("garbled_pages"), F.coalesce(noted, F.lit("")).alias("notes"), "error",
+    )
+    pdf = F.when(F.col("garbled") > 0, F.ceil(F.col("pages") / 20)).when(F.col("pages") > 12, F.ceil(F.col("pages") / 15)).otherwise(1)
+    batches = F.when(F.col("format") == "pdf", pdf).otherwise(F.ceil(F.col("characters") / cap))
+    usable = F.col("error").isNull() & (F.col("garbled") == 0) & ((F.col("format") != "pdf") | (F.col("scanned") < F.col("pages")))
+    return rows.withColumn("usable", usable).withColumn("batches", F.greatest(batches, F.lit(1)).cast("int"))
+
+
+def summary(rows: DataFrame, there: int | None = None, skipped: int = 0) -> DataFrame:
+    """One row of an inventory: total, ok, failed, skipped, whether files were left out (``there``: how many
+    there are), characters, batches, and the garbled files with their pages."""
+    named = F.array_sort(F.collect_list(F.when(F.col("garbled") > 0, F.concat(F.col("path"), F.lit("（第 "), "garbled_pages", F.lit(" 页）")))))
+    total = rows.agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("ok"), F.count("error").alias("failed"), F.sum("characters").alias("characters"), F.sum("batches").alias("batches"), F.array_join(named, "、").alias("garbled"))
+    return total.withColumn("skipped", F.lit(skipped)).withColumn("truncated", F.lit(there or 0) > F.col("total"))
+
+
+def markdown_table(rows: DataFrame) -> DataFrame:
+    """One row, one column: an inventory as a Markdown table in the order of paths. An inventory is bounded
+    by what one scan reads."""
+    safe = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("—")), F.lit("|"), F.lit("\\|")), r"\r?\n", " ")
+    bad = F.concat(F.col("garbled").cast("string"), F.when(F.col("garbled_pages") != "", F.concat(F.lit("（"), "garbled_pages", F.lit("）"))).otherwise(""))
+    fine = F.array(safe("path"), safe("format"), safe("pages"), safe("characters"), F.when(F.col("usable"), "✓").otherwise("✗"), safe("scanned"), bad, safe("batches"), safe("notes"))
+    failed = F.array(safe("path"), *[F.lit("—")] * 7, F.concat(F.lit("❌ "), safe("error")))
+    line = F.concat(F.lit("| "), F.array_join(F.when(F.col("error").isNull(), fine).otherwise(failed), " | "), F.lit(" |"))
+    # The table's head.
+    head = "| 文件 | 格式 | 页 | 字符 | 文字层 | 扫描页 | 乱码页 | 建议批次 | 备注 |\n| --- | --- | ---: | ---: | --- | ---: | ---: | ---: | --- |"
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"])
+    return rows.agg(F.array_join(F.concat(F.array(F.lit(head)), lines), "\n").alias("table"))
