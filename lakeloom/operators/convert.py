@@ -171,6 +171,24 @@ def stripped(markdown: Column) -> Column:
     return F.replace(F.replace(out, F.lit("**"), F.lit("")), F.lit("\\|"), F.lit("|"))
 
 
+def edit(files: DataFrame, edits: list[dict]) -> DataFrame:
+    """path, content, counts and error: each package (path, content) after the same edits, see ``repack``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from lakeloom.sources import repack
+
+        for b in batches:
+            rows = []
+            for name, data in zip(b["path"], b["content"]):
+                try:
+                    rows.append((name, *repack.apply(bytes(data), name, edits), None))
+                except Exception as e:  # noqa: BLE001  a failed file is a row, not a failed job
+                    rows.append((name, None, None, str(e)[:200] or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["path", "content", "counts", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, content binary, counts array<int>, error string")
+
+
 def publish(files: DataFrame, folder: str, overwrite: bool = True, waits: tuple[float, ...] = (0.06, 0.12, 0.18)) -> DataFrame:
     """Writes rows (path, content) as files below a folder that every machine mounts; gives path, size and
     error of each.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import blocks as bl
@@ -25,9 +25,10 @@ def query(sql: str | None = None):
     return register
 
 
-def _pages(spark: SparkSession, folder: str) -> DataFrame:
+def _pages(spark: SparkSession, folder: str, html: Column | str = "html") -> DataFrame:
     pages = table(spark, folder, "pages")
-    files = pages.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
+    html = F.col(html) if isinstance(html, str) else html
+    files = pages.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), html.cast("binary").alias("content"))
     return models(files).withColumn("page_id", F.regexp_extract("path", r"^(\d+)", 1).cast("long"))
 
 
@@ -40,36 +41,52 @@ def _chats(spark: SparkSession, folder: str) -> DataFrame:
     return models(files).withColumn("conv_id", F.regexp_extract("path", r"^(\d+)", 1).cast("long"))
 
 
+# What a page shows, by plain replacements: its markup has few elements. ``before`` puts marks in front.
+def _lines(before: str = "h") -> str:
+    body = f"regexp_replace(regexp_replace({before}, '<head>.*?</head>|<!--.*?-->', '', 'g'), '</?(html|body|nav|ul|li|div|article|h1|p|br|footer)[^>]*>', chr(10), 'g')"
+    for name, sign in (("copy", "©"), ("middot", "·"), ("nbsp", " "), ("quot", '"'), ("#39", "''"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        body = f"replace({body if name != 'copy' else _TAGS.format(body)}, '&{name};', '{sign}')"
+    return f"list_filter(list_transform(string_split({body}, chr(10)), lambda x: trim(x)), lambda x: x NOT IN ('', '-', '#', '****'))"
+
+
+_TAGS = "regexp_replace({}, '<[^>]*>', '', 'g')"
+_HTML = "(SELECT page_id, regexp_replace(html, '\\s+', ' ', 'g') AS h FROM pages)"
+_MARKED = "regexp_replace(replace(replace(h, '<li>', '<li>- '), '<h1>', '<h1># '), '<p><b>(.*?)<br>', '<p>**\\1**<br>', 'g')"
+
+
 @query("SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
 def html_title(spark: SparkSession, folder: str) -> DataFrame:
     return _pages(spark, folder).select("page_id", F.coalesce(F.col("meta")["title"], F.lit("")).alias("title"))
 
 
-@query()
+@query(f"WITH l AS (SELECT page_id, {_lines(_MARKED)} AS ls FROM {_HTML}) SELECT page_id, CAST(len(list_filter(ls, lambda x: x LIKE '# %')) AS INTEGER) AS heading, CAST(len(list_filter(ls, lambda x: x NOT LIKE '# %' AND x NOT LIKE '- %')) AS INTEGER) AS paragraph, 1 AS list, 0 AS table, 0 AS code, 0 AS quote, 0 AS image FROM l")
 def html_counts(spark: SparkSession, folder: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("blocks", lambda b: b["type"] == kind)).alias(kind)
     return _pages(spark, folder).select("page_id", *(count(k) for k in ("heading", "paragraph", "list", "table", "code", "quote", "image")))
 
 
-@query()
+@query("SELECT page_id, 'https://x.org/' || t AS link, t AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"/[^\"]*\">([^<]*)</a>', 1)) AS t FROM pages)")
 def html_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of list items become text of theirs; here they stand in paragraphs, and lead somewhere."""
     runs = F.flatten(F.transform(F.filter("blocks", lambda b: b["runs"].isNotNull()), lambda b: b["runs"]))
     links = F.filter(runs, lambda r: r["link"].isNotNull())
-    return _pages(spark, folder).select("page_id", F.explode(links).alias("r")).select("page_id", "r.link", "r.text")
+    html = F.regexp_replace(F.regexp_replace("html", "</?(ul|nav)>", ""), r"<li>(<a href=\")(/[^\"]*\">[^<]*</a>)</li>", "<p>$1https://x.org$2</p>")
+    pages = _pages(spark, folder, html)
+    return pages.select("page_id", F.explode(links).alias("r")).select("page_id", "r.link", "r.text")
 
 
-@query()
+@query(f"WITH l AS (SELECT page_id, {_lines(_MARKED)} AS ls FROM {_HTML}) SELECT page_id, 0 AS level, substring(x, 3) AS text FROM (SELECT page_id, unnest(list_filter(ls, lambda x: x LIKE '- %')) AS x FROM l)")
 def html_list_items(spark: SparkSession, folder: str) -> DataFrame:
     lists = F.filter("blocks", lambda b: b["type"] == "list")
     return _pages(spark, folder).select("page_id", F.explode(F.flatten(F.transform(lists, lambda b: b["items"]))).alias("i")).select("page_id", "i.level", "i.text")
 
 
-@query()
+@query(f"WITH l AS (SELECT page_id, {_lines(_MARKED)} AS ls FROM {_HTML}) SELECT page_id, replace(array_to_string(ls, chr(10) || chr(10)), chr(10) || chr(10) || '- ', chr(10) || '- ') || chr(10) AS markdown FROM l")
 def html_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return _pages(spark, folder).select("page_id", bl.to_markdown(F.col("blocks")).alias("markdown"))
 
 
-@query()
+@query(f"SELECT page_id, array_to_string({_lines()}, chr(10)) AS text FROM {_HTML}")
 def html_plaintext(spark: SparkSession, folder: str) -> DataFrame:
     return _pages(spark, folder).select("page_id", bl.to_text(F.col("blocks")).alias("text"))
 
@@ -100,9 +117,20 @@ def table_to_csv(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", convert.csv_field(value).alias("field"))
 
 
-@query("SELECT o_orderstatus, o_orderkey, count(*) OVER (PARTITION BY o_orderstatus) AS total FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= 20")
+@query("SELECT c_nationkey, CAST(least(20, count(*)) AS INTEGER) AS shown, CASE WHEN count(*) > 20 THEN '共 ' || count(*) || ' 行' END AS notes, min(c_custkey) AS first FROM customer GROUP BY c_nationkey")
 def sheet_to_slides_top20(spark: SparkSession, folder: str) -> DataFrame:
-    return convert.first_rows(table(spark, folder, "orders").select("o_orderstatus", "o_orderkey"), ["o_orderstatus"], ["o_orderkey"], 20).select("o_orderstatus", "o_orderkey", "total")
+    """A workbook a nation, a row a customer: its slide shows the first rows and tells how many there are."""
+    cell = F.struct(F.col("c_custkey").cast("string").alias("v"), F.lit("n").alias("t"), F.lit(None).cast("string").alias("f"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", F.array(cell).alias("r")))), lambda x: x["r"])
+    books = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.array(F.struct(F.lit("S").alias("name"), rows.alias("rows"))).alias("sheets"))
+    slide = books.select("c_nationkey", F.get(convert.workbook_to_slides(F.col("sheets")), F.lit(0)).alias("s"))
+    return slide.select("c_nationkey", F.size("s.rows").alias("shown"), F.col("s.notes").alias("notes"), F.get(F.get("s.rows", F.lit(0)), F.lit(0)).cast("long").alias("first"))
+
+
+@query("SELECT c_nationkey, count(*) AS total FROM customer GROUP BY c_nationkey")
+def first_rows_total(spark: SparkSession, folder: str) -> DataFrame:
+    one = convert.first_rows(table(spark, folder, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey"], ["c_custkey"], 1)
+    return one.select("c_nationkey", "total")
 
 
 def _books(spark: SparkSession, folder: str) -> DataFrame:

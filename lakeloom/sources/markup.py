@@ -16,6 +16,9 @@ from lakeloom.functions.blocks import block, run
 SKIP = {"script", "style", "head", "noscript", "template", "svg", "iframe", "object", "select", "textarea"}
 MARKS = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "u": "underline", "ins": "underline", "s": "strike", "del": "strike", "strike": "strike", "code": "code", "kbd": "code", "tt": "code"}
 BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "nav", "aside", "address", "figure", "figcaption", "caption", "dt", "dd", "blockquote", "form", "fieldset", "body", "html", "td", "th"}
+HOLDERS = BLOCKS | {"li", "ul", "ol", "dl", "table", "tr", "pre", "hr", "h1", "h2", "h3", "h4", "h5", "h6"}
+P_WITHIN = frozenset({"ul", "ol", "table", "td", "th", "caption"})
+LIST_WITHIN = frozenset({"ul", "ol", "dl"})
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -32,6 +35,17 @@ class _Builder(HTMLParser):
         self.heading = self.pre = self.quote = 0
         self.tables: list[dict] = []
         self.in_title = False
+        self.opened: list[tuple[str, int]] = []  # elements that hold blocks, and the marks when they began
+
+    def shut(self, tag: str, within: frozenset = frozenset()) -> None:
+        """Ends the innermost such element and all marks that began in it; not beyond those of ``within``."""
+        for k in range(len(self.opened) - 1, -1, -1):
+            if self.opened[k][0] == tag:
+                del self.marks[self.opened[k][1] :]
+                del self.opened[k:]
+                return
+            if self.opened[k][0] in within:
+                return
 
     # text
     def handle_data(self, data: str) -> None:
@@ -89,6 +103,14 @@ class _Builder(HTMLParser):
             if tag not in VOID:
                 self.skip.append(tag)
             return
+        if tag in HOLDERS:
+            self.flush()
+            self.shut("p", P_WITHIN)
+            if tag in ("li", "dt", "dd"):
+                for like in ("li",) if tag == "li" else ("dt", "dd"):
+                    self.shut(like, LIST_WITHIN)
+            if tag not in VOID:
+                self.opened.append((tag, len(self.marks)))
         if tag == "br":
             if self.runs:
                 self.runs[-1]["text"] = self.runs[-1]["text"].rstrip(" ") + "\n"
@@ -129,15 +151,12 @@ class _Builder(HTMLParser):
             self.pre = 1
         elif re.fullmatch("h[1-6]", tag):
             self.flush()
-            self.marks.clear()
             self.heading = int(tag[1])
         elif tag == "blockquote":
             self.flush()
             self.quote += 1
         elif tag == "li" or tag in BLOCKS:
             self.flush()
-            if tag in ("p", "li", "div"):
-                self.marks.clear()
 
     def end_cell(self) -> None:
         self.flush()
@@ -153,6 +172,9 @@ class _Builder(HTMLParser):
             if tag in self.skip:
                 del self.skip[len(self.skip) - 1 - self.skip[::-1].index(tag) :]
             return
+        if tag in HOLDERS:
+            self.flush()
+            self.shut(tag, P_WITHIN if tag == "p" else frozenset())
         if tag in MARKS or tag == "a":
             for k in range(len(self.marks) - 1, -1, -1):
                 if self.marks[k][0] == tag:

@@ -64,6 +64,18 @@ def test_markdown():
     assert len(markdown.parse("-" * 2_000_000)) == 1
 
 
+def test_markdown_lines():
+    kinds = lambda text: [b["type"] for b in markdown.parse(text)]
+    assert kinds("<PageBreak />\n\\NEWPAGE \n---page---") == ["pagebreak"] * 3 and kinds(" \\newpage") == ["paragraph"]
+    assert kinds("- - -\n***\n_ __\n--\n-*-") == ["hr"] * 3 + ["paragraph"]
+    assert kinds("#a\n####### b\n# \n### c") == ["paragraph", "heading", "heading"]
+    assert [(b["alt"], b["name"]) for b in markdown.parse('![a b]( p.png "t" )\n![](x)\n![a](b c)\n![a](b "c"d")')[:2]] == [("a b", "p.png"), ("图片", "x")]
+    assert kinds('![a](b c)\n\n![a] (b)') == ["paragraph"] * 2
+    blocks = markdown.parse("* a\n\t- b\n  go on\n1) x\n2. y\n10.z\n+ p\n-q")
+    assert [(b["type"], b["ordered"], [(i["level"], i["text"]) for i in b["items"] or []]) for b in blocks] == [("list", False, [(0, "a"), (2, "b go on")]), ("list", True, [(0, "x"), (0, "y")]), ("paragraph", None, []), ("list", False, [(0, "p")]), ("paragraph", None, [])]
+    assert kinds("| a |\n| b |") == ["paragraph"] and kinds("|a|\n|:-:|\n|b|\nc") == ["table", "paragraph"] and kinds("```\nopen") == ["code"]
+
+
 def test_html():
     blocks, meta = markup.parse("<title>t</title><p>a<b>b<p>c<ul><li>x<ul><li>y</ul><li>z</ul><table><tr><th>h<td>1</table><p hidden>no</p><a href='javascript:x'>l</a>")
     assert meta["title"] == "t"
@@ -73,6 +85,13 @@ def test_html():
     assert markup.parse(None) == ([], {})
 
 
+def test_html_marks_end_with_their_block():
+    bold = lambda html: [(r["text"], bool(r["bold"])) for b in markup.parse(html)[0] for r in b["runs"] or []]
+    assert bold("<article><p><b>a<br></article><footer>f</footer>") == [("a", True), ("f", False)]
+    assert bold("<p><b>a<p>b") == [("a", True), ("b", False)] and bold("<b><p>a</p><p>b</p></b>c") == [("a", True), ("b", True), ("c", False)]
+    assert bold("<div>x<b>y</div>z") == [("x", False), ("y", True), ("z", False)]
+
+
 def test_plain():
     assert plain.decode("中文".encode("gb18030")) == "中文" and plain.decode("é".encode("utf-16")) == "é"
     assert plain.rows('a;"b;\n,,,c"\n\nd\r\ne;f;g') == [["a", "b;\n,,,c"], ["d"], ["e", "f", "g"]]
