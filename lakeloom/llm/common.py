@@ -71,14 +71,37 @@ def shared_dir(spark: SparkSession) -> str:
 _local: dict[str, str] = {}
 
 
+def fresh_folder(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, below one folder of this application."""
+    app = spark.sparkContext.applicationId
+    if app not in _cleaned:
+        _cleaned.add(app)
+        atexit.register(forget_files, spark)
+    return f"{shared_dir(spark).rstrip('/')}/lakeloom/{app}/{uuid.uuid4().hex}-{what}"
+
+
+_cleaned: set[str] = set()
+
+
+def forget_files(spark: SparkSession) -> None:
+    """Removes all that this application has written to the shared folder, once its results are taken.
+    A session that has ended already keeps them."""
+    try:
+        sc = spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/lakeloom/{sc.applicationId}")
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the machine behind the session is gone
+        return
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     It cuts the lineage, makes what follows independent of lost executors and lets later steps read
-    single columns. The files stay as long as the folder does.
+    single columns. The files stay until ``forget_files`` or the end of the driver's Python.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lakeloom/{uuid.uuid4().hex}-{what}"
+    path = fresh_folder(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,7 +14,7 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-from lakeloom.llm.common import shared_dir
+from lakeloom.llm.common import fresh_folder
 
 
 def install(spark: SparkSession, resource: str, functions: dict[str, tuple[str, str]]) -> None:
@@ -32,7 +32,7 @@ def install(spark: SparkSession, resource: str, functions: dict[str, tuple[str,
         classes = compiler.getBytecodes()
         for name in sorted(classes):
             jar.writestr(zipfile.ZipInfo(f"{name.replace('.', '/')}.class"), bytes(classes[name]))
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/lakeloom/jars/{version}-{spark.sparkContext.applicationId}.jar")
+    path = jvm.org.apache.hadoop.fs.Path(fresh_folder(spark, f"{version}.jar"))
     out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
     out.write(packed.getvalue())
     out.close()

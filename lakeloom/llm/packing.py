@@ -8,7 +8,8 @@ go to equal bins are placed together, exactly as one after the other. The plan s
 the r-th piece of a length gets; executors look up their pieces in it. The rank of a piece among those of
 its length comes from counts by partition and length, so no task gathers the pieces of a length.
 
-Null text counts as empty: the document is its end id alone. Repeated rows are packed each. Empty tables
+Null text counts as empty: the document is its end id alone. Repeated rows are packed each, under whatever
+id; a text of any length is cut, never dropped. Empty tables
 give empty results; other columns do not matter.
 """
 
@@ -28,6 +29,9 @@ from lakeloom.llm.common import materialise
 from lakeloom.llm.spans import gathered, worker_encoder
 
 
+BROADCAST_ROWS = 500_000
+
+
 class Capacities:
     """Segment tree over remaining capacities: how many open bins have each."""
 
@@ -124,6 +128,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, doc_
     shared = docs.sparkSession.sparkContext.broadcast(table)
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    # a row for each length in each partition: broadcast only where these are counted to be few
+    first = F.broadcast(first) if counts.count() <= BROADCAST_ROWS else first.hint("merge")
     ranked = cut.join(first, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm.common import held_out, shared_dir, table
+from lakeloom.llm.common import fresh_folder, held_out, table
 
 
 def vocabulary(name: str) -> str:
@@ -44,11 +44,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     from lakeloom.llm import token_files
 
-    folder = f"{shared_dir(spark).rstrip('/')}/lakeloom/{uuid.uuid4().hex}-token-files"
+    folder = fresh_folder(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), folder, end_id=0)
     return token_files.read(spark, folder)
 

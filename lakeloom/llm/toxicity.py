@@ -2,8 +2,9 @@
 
 Features are the presence of character n-grams (orders 3 to 6, over letters and word ends), scaled by
 their naive Bayes log-count ratios; a logistic regression over the scaled features gives the score.
-It is fitted on at most ``toxic_rows`` and ``clean_rows`` labelled texts of at most ``max_chars``
-characters; every text is scored whole.
+It is fitted on at most about ``toxic_rows`` and ``clean_rows`` labelled texts of at most ``max_chars``
+characters, and keeps the ``features`` n-grams that tell their classes apart best, of those that occur in
+``least`` of them: bounds of the model, whatever the corpus. Every text is scored whole.
 
 Null and empty texts have no features and get the score of the intercept. Labels that contradict each
 other for a document count as toxic; null labels do not count. Where one class is missing, nothing can
