@@ -12,15 +12,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def recalculate(cells: DataFrame, book: str = "book", most: int | None = None) -> DataFrame:
+def recalculate(cells: DataFrame, book: str = "book", most: int | None = 5_000_000) -> DataFrame:
     """(book, sheet, row, col, v, state) of every formula among cells (book, sheet, row, col, v, t, f).
 
-    Workbooks of more than ``most`` cells stay as they are; their formulas have the state ``skipped``.
+    A workbook is what a task holds. Those of more than ``most`` cells (None: of any size) are not gathered:
+    they stay as they are, and their formulas have the state ``skipped``.
     """
-    sizes = cells.groupBy(book).agg(F.count("*").alias("__n"))
-    rows = cells.join(sizes, book).withColumn("__skip", F.lit(False) if most is None else F.col("__n") > most)
-
-    columns = [book, "sheet", "row", "col", "v", "t", "f", "__skip"]
+    columns = [book, "sheet", "row", "col", "v", "t", "f"]
+    rows, over = cells.select(*columns), None
+    if most is not None:
+        large = cells.groupBy(book).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(book)
+        over = cells.join(large, book, "left_semi").where(F.col("f").isNotNull() & (F.col("f") != ""))
+        over = over.select(book, "sheet", F.col("row").cast("int"), F.col("col").cast("int"), "v", F.lit("skipped").alias("state"))
+        rows = rows.join(large, book, "left_anti")
     target = to_arrow_schema(StructType.fromDDL(f"`{book}` {cells.schema[book].dataType.simpleString()}, sheet string, row int, col int, v string, state string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,9 +38,10 @@ def recalculate(cells: DataFrame, book: str = "book", most: int | None = None) -
                 out = []
         yield _batch(out, target)
 
-    grouped = rows.select(*columns).repartition(book).sortWithinPartitions(book)
+    grouped = rows.repartition(book).sortWithinPartitions(book)
     kind = cells.schema[book].dataType.simpleString()
-    return grouped.mapInArrow(run, f"`{book}` {kind}, sheet string, row int, col int, v string, state string")
+    solved = grouped.mapInArrow(run, f"`{book}` {kind}, sheet string, row int, col int, v string, state string")
+    return solved if over is None else solved.union(over)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -51,8 +56,6 @@ def _solve(rows: list[tuple]) -> list[tuple]:
     kinds = {"n": num, "b": lambda v: v == "TRUE"}
     values = {r[1:4]: "" if r[4] is None else kinds.get(r[5], lambda v: v)(r[4]) for r in rows}
     formulas = {r[1:4]: r[6] for r in rows if r[6]}
-    if rows[0][7]:
-        return [(p, show(values[p]), "skipped") for p in formulas]
     return [(p, show(v), s) for p, (v, s) in solve(values, formulas, sorted({r[1] for r in rows})).items()]
 
 

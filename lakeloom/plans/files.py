@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import blocks as bl
@@ -313,3 +313,44 @@ def normalised_blocks(spark: SparkSession, folder: str) -> DataFrame:
     rows = _default(table(spark, folder, "nation"), "n_nationkey", F.col("n_name"))
     at = lambda k: F.get("b", F.lit(k))
     return rows.select("n_nationkey", F.array_join(F.transform("b", lambda b: b["type"]), ",").alias("kinds"), bl.runs_text(at(0)["runs"]).alias("shown"), at(1)["level"].alias("level"), F.size(at(2)["items"]).alias("items"))
+
+
+@query("SELECT conv_id, '序号|标题|要点|备注' AS head, count(*) AS rows, '· a' || chr(10) || '· b' AS points FROM conversations GROUP BY conv_id")
+def slides_as_workbook(spark: SparkSession, folder: str) -> DataFrame:
+    item = lambda t: F.struct(F.lit(0).alias("level"), F.lit(t).alias("text"))
+    slide = F.struct(F.lit("content").alias("layout"), F.col("role").alias("title"), F.array(item("a"), item("b")).alias("bullets"), F.lit(None).cast("string").alias("notes"))
+    decks = table(spark, folder, "conversations").groupBy("conv_id").agg(F.collect_list(slide).alias("slides"))
+    rows = F.get(convert.slides_to_workbook(F.col("slides")), F.lit(0))["rows"]
+    text = lambda r, k: F.get(F.get(rows, F.lit(r)), F.lit(k))["v"]
+    head = F.array_join(F.transform(F.get(rows, F.lit(0)), lambda c: c["v"]), "|")
+    return decks.select("conv_id", head.alias("head"), (F.size(rows) - 1).cast("long").alias("rows"), text(1, 2).alias("points"))
+
+
+@query(f"SELECT path || '.md' AS path, 2 AS sheets, len(names) + 1 AS first, 2 AS second, names[1] AS name FROM {_REGIONS}")
+def markdown_as_workbook(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables become sheets."""
+    rows = F.array_join(F.transform("names", lambda n: F.concat(F.lit("| "), n, F.lit(" | x |"))), "\n")
+    text = F.concat(F.lit("intro\n\n| name | k |\n|---|---|\n"), rows, F.lit("\n\n| a |\n|---|\n| b |\n"))
+    files = _regions(spark, folder).select(F.concat("path", F.lit(".md")).alias("path"), F.encode(text, "utf-8").alias("content"))
+    sheets = models(files).select("path", convert.document_to_workbook(F.col("blocks")).alias("s"))
+    at = lambda k: F.get("s", F.lit(k))["rows"]
+    return sheets.select("path", F.size("s").alias("sheets"), F.size(at(0)).cast("long").alias("first"), F.size(at(1)).alias("second"), F.get(F.get(at(0), F.lit(1)), F.lit(0))["v"].alias("name"))
+
+
+@query(f"SELECT path, '# A' || chr(13) || chr(10) || '\"x, y\"' || chr(13) || chr(10) || '# B' || chr(13) || chr(10) || array_to_string(names, chr(13) || chr(10)) || chr(13) || chr(10) AS text FROM {_REGIONS}")
+def csv_of_sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """Several sheets in one file, each under its name."""
+    cell = lambda v: F.array(F.struct(v.alias("v"), F.lit("s").alias("t"), F.lit(None).cast("string").alias("f")))
+    sheet = lambda n, rows: F.struct(F.lit(n).alias("name"), rows.alias("rows"))
+    books = _books(spark, folder).drop("sheets").join(_regions(spark, folder), "path")
+    books = books.withColumn("sheets", F.array(sheet("A", F.array(cell(F.lit("x, y")))), sheet("B", F.transform("names", cell))))
+    return convert.render(books, "csv").select("path", F.replace(F.decode("content", "utf-8"), F.lit("\ufeff"), F.lit("")).alias("text"))
+
+
+@query("SELECT c_nationkey AS book, count(*) AS cells, CAST(max(c_custkey) AS VARCHAR) AS last FROM customer GROUP BY c_nationkey")
+def cells_as_sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells as rows, put together as sheets and taken apart again."""
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    cells = table(spark, folder, "customer").select(F.col("c_nationkey").alias("book"), F.lit("S").alias("sheet"), place.alias("row"), (place % 3).alias("col"), F.col("c_custkey").cast("string").alias("v"), F.lit("n").alias("t"), F.lit(None).cast("string").alias("f"))
+    back = convert.long_cells(convert.wide_sheets(cells, "book"), "book").where("v <> ''")
+    return back.groupBy("book").agg(F.count("*").alias("cells"), F.max(F.col("v").cast("long")).cast("string").alias("last"))

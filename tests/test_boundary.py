@@ -49,6 +49,31 @@ def test_publish_tries_again(spark, tmp_path, monkeypatch):
     assert out["error"][0] is None and len(calls) == 3 and os.listdir(tmp_path) == ["x"]
 
 
+def test_folders(spark, tmp_path):
+    """Supported files alone, no results of earlier reads, one of each path whatever its case, a cap."""
+    from lakeloom.sources import files
+
+    for name, text in {"b.md": "# B", "A.csv": "x,1", "sub/c.txt": "c", "a.csv.ocr.md": "no", "n.read.md": "no", "x.xyz": "no", "B.MD": "other", "bad.docx": "PK"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    names = lambda most: sorted(r.path.rpartition("/")[2] for r in files.read(spark, str(tmp_path), most).collect())
+    assert names(500) == ["A.csv", "B.MD", "bad.docx", "c.txt"] and len(names(2)) == 2
+    rows = {r.path.rpartition("/")[2]: r for r in files.inventory(files.read(spark, str(tmp_path))).collect()}
+    assert rows["bad.docx"].error and not rows["bad.docx"].usable and rows["B.MD"].characters == 5 and list(rows["B.MD"].titles) == []
+    total = files.summary(files.inventory(files.read(spark, str(tmp_path), 2)), there=4).first()
+    assert (total.total, total.truncated) == (2, True)
+
+
+def test_large_workbooks_are_left(spark):
+    from lakeloom.operators import recalc
+
+    rows = [("small", "S", 0, 0, "1", "n", None), ("small", "S", 0, 1, "0", "n", "=A1+1"), *[("large", "S", i, 0, "7", "n", "=1+1" if i == 3 else None) for i in range(10)]]
+    df = spark.createDataFrame(rows, "book string, sheet string, row int, col int, v string, t string, f string")
+    got = {(r.book, r.row, r.col): (r.v, r.state) for r in recalc.recalculate(df, most=5).collect()}
+    assert got == {("small", 0, 1): ("2", "ok"), ("large", 3, 0): ("7", "skipped")}
+    assert {(r.v, r.state) for r in recalc.recalculate(df, most=None).collect()} == {("2", "ok")}
+
+
 def test_json_values():
     loop: list = [1]
     loop.append(loop)
