@@ -128,7 +128,7 @@ def first_rows(df: DataFrame, key: list[str], order: list[str], most: int) -> Da
 
 
 def render(found: DataFrame, target: str) -> DataFrame:
-    """path, content and images: each model as bytes of docx, odt, html, pdf, md, txt, xlsx, ods, csv, tsv,
+    """path, content, images and error: each model as bytes of docx, odt, html, pdf, md, txt, xlsx, ods, csv, tsv,
     pptx, odp or json, and how many pictures the target could only name.
 
     Models of another kind are converted first; Markdown, text and JSON take each kind as it is.
@@ -144,7 +144,7 @@ def render(found: DataFrame, target: str) -> DataFrame:
             body = F.coalesce(to_markdown(F.col("blocks")), workbook_markdown(F.col("sheets")), slides_markdown(F.col("slides")))
             if target == "txt":
                 body = F.coalesce(to_text(F.col("blocks")), stripped(body))
-        return ready.select("path", F.encode(body, "utf-8").alias("content"), F.lit(0).alias("images"))
+        return ready.select("path", F.encode(body, "utf-8").alias("content"), F.lit(0).alias("images"), F.lit(None).cast("string").alias("error"))
 
     forms = {
         "blocks": F.coalesce("blocks", workbook_to_document(F.col("sheets")), slides_to_document(F.col("slides"))),
@@ -159,9 +159,16 @@ def render(found: DataFrame, target: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"path": b["path"], "content": [write(target, m, dict(x) if x is not None else {}) for m, x in zip(b["model"], b["meta"])], "images": b["images"]})
+            made = [attempt(m, dict(x) if x is not None else {}) for m, x in zip(b["model"], b["meta"])]
+            yield pd.DataFrame({"path": b["path"], "content": [x[0] for x in made], "images": b["images"], "error": [x[1] for x in made]})
 
-    return ready.mapInPandas(run, "path string, content binary, images int")
+    def attempt(model, meta: dict) -> tuple[bytes | None, str | None]:
+        try:
+            return write(target, model, meta), None
+        except Exception as e:  # noqa: BLE001  a model that cannot be written is a row, not a failed job
+            return None, (str(e) or type(e).__name__)[:200]
+
+    return ready.mapInPandas(run, "path string, content binary, images int, error string")
 
 
 def stripped(markdown: Column) -> Column:
@@ -250,11 +257,24 @@ def write(target: str, model, meta: dict) -> bytes:
     if target in ("html", "pdf"):
         from lakeloom.sources import page, pdf
 
-        return page.render(model, meta).encode() if target == "html" else pdf.write(model, meta)
+        if target == "html":
+            return page.render(model, meta).encode()
+        data = pdf.write(model, meta)
+        if why := pdf.gate(data, "".join(_texts(model))):
+            raise ValueError(f"the PDF does not hold the text: {why[0]}")
+        return data
     writers = {"docx": wordlike.write_docx, "odt": wordlike.write_odt, "xlsx": sheetlike.write_xlsx, "ods": sheetlike.write_ods, "pptx": slidelike.write_pptx, "odp": slidelike.write_odp}
     return writers[target](model, meta)
 
 
+def _texts(blocks: list[dict]) -> Iterator[str]:
+    """The texts that a page must show."""
+    for b in blocks:
+        yield b["text"] if b["text"] is not None else "".join(r["text"] for r in b["runs"] or [])
+        yield from (i["text"] for i in b["items"] or [])
+        yield from (c for r in b["rows"] or [] for c in r if c)
+
+
 def _plain(x):
     """Lists and dicts of what Arrow and pandas have made of a model, which has no fractions: whole numbers
     come as such beside nulls."""

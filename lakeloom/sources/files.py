@@ -20,11 +20,13 @@ MODEL = f"format string, model string, meta map<string,string>, blocks array<{BL
 EXTENSIONS = ("docx", "xlsx", "pptx", "odt", "ods", "odp", "doc", "wps", "xls", "et", "ppt", "dps", "csv", "tsv", "md", "markdown", "html", "htm", "txt", "json", "jsonl", "rtf", "pdf")
 
 
-def load(data: bytes, name: str) -> dict:
+def load(data: bytes | None, name: str) -> dict:
     """The model of one file."""
     from lakeloom.sources import markdown, markup, package, plain, sheetlike, slidelike, wordlike
 
     out = {"format": None, "model": None, "meta": {}, "blocks": None, "sheets": None, "slides": None, "error": None}
+    if data is None:
+        return out | {"error": "no content"}
     try:
         kind = out["format"] = package.sniff(data, name)
         if kind in ("docx", "odt"):
@@ -101,7 +103,7 @@ def models(files: DataFrame) -> DataFrame:
 
     def run_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = pd.DataFrame([load(bytes(c), p) for p, c in zip(b["path"], b["content"])], columns=["format", "model", "meta", "blocks", "sheets", "slides", "error"])
+            found = pd.DataFrame([load(None if c is None else bytes(c), p) for p, c in zip(b["path"], b["content"])], columns=["format", "model", "meta", "blocks", "sheets", "slides", "error"])
             found.insert(0, "path", b["path"].to_numpy())
             yield found
 

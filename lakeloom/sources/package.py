@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from dataclasses import dataclass
 from xml.etree import ElementTree as ET
@@ -26,7 +27,7 @@ def members(data: bytes, limits: Limits = Limits()) -> zipfile.ZipFile:
     try:
         z = zipfile.ZipFile(io.BytesIO(data))
     except zipfile.BadZipFile as e:
-        raise Refused(str(e)) from e
+        z = _ended(data, e)
     sizes = [i.file_size for i in z.infolist()]
     if max(sizes, default=0) > limits.entry_bytes or sum(sizes) > limits.total_bytes:
         raise Refused("declared size is over the limit")
@@ -35,8 +36,44 @@ def members(data: bytes, limits: Limits = Limits()) -> zipfile.ZipFile:
     return z
 
 
+def _ended(data: bytes, why: Exception) -> zipfile.ZipFile:
+    """An archive with other data after its end: what follows the last mark of an end, and the comment
+    whose length that tells, is left out."""
+    at = data.rfind(b"PK\x05\x06")
+    if at < 0 or at + 22 > len(data):
+        raise Refused(str(why)) from why
+    size = int.from_bytes(data[at + 20 : at + 22], "little")
+    whole = data[: at + 22 + size]
+    if len(whole) < at + 22 + size:  # the comment is cut off
+        whole = data[: at + 20] + b"\0\0"
+    try:
+        return zipfile.ZipFile(io.BytesIO(whole))
+    except zipfile.BadZipFile as e:
+        raise Refused(str(e)) from e
+
+
 def xml(z: zipfile.ZipFile, name: str) -> ET.Element | None:
-    return ET.fromstring(z.read(name)) if name in z.namelist() else None
+    return parsed(z.read(name)) if name in z.namelist() else None
+
+
+def parsed(data: bytes) -> ET.Element:
+    """The tree of an XML part. Of one that is not well formed: bare ampersands, characters that XML does not
+    have and prefixes that nobody declares are mended, and a tree that breaks off ends there."""
+    try:
+        return ET.fromstring(data)
+    except ET.ParseError:
+        text = data.decode("utf-8", "replace").removeprefix("\ufeff")
+    text = re.sub(r"^<\?xml.*?\?>|[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "", text)
+    text = re.sub(r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)", "&amp;", text)
+    used = set(re.findall(r"[<\s]/?([A-Za-z_][\w.-]*):[A-Za-z_]", "".join(re.findall(r"<[^>]*>", text)))) - {"xml", "xmlns"}
+    named = "".join(f' xmlns:{p}="urn:{p}"' for p in sorted(used - set(re.findall(r"xmlns:([\w.-]+)\s*=", text))))
+    text = re.sub(r"<[A-Za-z_][^\s/>]*", lambda m: m[0] + named, text, count=1)
+    pull = ET.XMLPullParser(("start",))
+    pull.feed(text)
+    try:
+        return next(e for _, e in pull.read_events())
+    except (StopIteration, ET.ParseError) as e:
+        raise Refused("a part that is no XML") from e
 
 
 def local(e: ET.Element) -> str:

@@ -54,6 +54,30 @@ def test_packages_are_guarded():
         package.sniff(package.build({"other": b""}), "x.zip")
 
 
+def test_lenient_packages():
+    """Data after an archive's end, a cut comment, and parts that are not well formed."""
+    whole = wordlike.write_docx(DOC)
+    for odd in (whole + b"x" * 100_000, whole[:-2] + b"\x05\x00cut", whole + b"\0" * 70_000):
+        assert wordlike.read_docx(odd)[0] == DOC
+    for bad in (b"PK\x05\x06", b"PK nothing", whole[:200]):
+        with pytest.raises(package.Refused):
+            package.members(bad)
+    e = package.parsed(b'<?xml version="1.0"?><a x="1"><p:b>R&D \x01&amp; \xff</p:b><c>cut')
+    assert [package.local(x) for x in e] == ["b", "c"] and e[0].text == "R&D & \ufffd"
+    with pytest.raises(package.Refused):
+        package.parsed(b"nothing")
+
+
+def test_failures_are_rows(spark):
+    from lakeloom.operators import convert
+    from lakeloom.sources import files
+
+    data = spark.createDataFrame([("a.md", bytearray(b"fine")), ("b.md", bytearray("no glyph \U000e0001 end".encode())), ("c.md", None)], "path string, content binary")
+    got = {r.path: r for r in convert.render(files.models(data), "pdf").collect()}
+    assert set(got) == {"a.md", "b.md"} and got["a.md"].error is None and got["a.md"].content[:5] == b"%PDF-"
+    assert {r.path: r.error for r in files.models(data).collect()}["c.md"] == "no content"
+
+
 def test_markdown():
     text = "# T *x*\n\na **b** `c`\nd\n\n- one\n  more\n  - two\n1. n\n\n| a | b\\|c |\n|---|---|\n| 1 | 2 |\n> q\n> r\n\n---\n```\ncode\n```\n![alt](p.png)\n\\newpage\n"
     blocks = markdown.parse(text)
