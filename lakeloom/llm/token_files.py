@@ -28,7 +28,7 @@ _RAW = "part int, block int, start long, n int, documents array<struct<doc_id: b
 FILES = _RAW.replace("raw binary", "data binary")
 
 
-def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", block_ids: int = 16_384, room: int = 600_000) -> None:
+def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", block_ids: int = 16_384, room: int = 300_000) -> None:
     """Writes rows (part, block, start, n, documents, data): data is a framed block of the n ids that follow
     the file's first ``start``, documents the pieces in it: the document's id, its ordinal in the file, its place in the block and its ids there."""
     if not 0 < block_ids <= blocks.MOST:
@@ -43,7 +43,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, doc_id: str
             columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([size // 4], pa.int32()), pa.array([pieces], pa.list_(PIECE)), pa.array([bytes(data[:size])], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["part", "block", "start", "n", "documents", "raw"])
 
-        for b in gathered(batches, 1):
+        for b in gathered(batches, 1, 6_000_000):
             names, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for first, counts, flat in encoder.batches(texts):
                 ends = np.cumsum(counts).tolist()
