@@ -97,7 +97,7 @@ class Cascade:
     def ordered(self) -> list[Rule]:
         return sorted(self.rules, key=lambda r: (-r.rate / max(r.seconds, 1e-9), r.name))
 
-    def estimate(self, docs: DataFrame, text: str = "text", sample_rows: int = 2000, repeats: int = 8) -> Cascade:
+    def estimate(self, docs: DataFrame, text: str = "text", sample_rows: int = 1000, repeats: int = 3) -> Cascade:
         """Measures each rule's time and rejections on a sample of about ``sample_rows`` rows.
 
         A rule runs once to be compiled, then over ``repeats`` copies of the sample; the time that a rule
@@ -145,7 +145,7 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def judge(docs: DataFrame, text: str = "text", sample_rows: int = 2000) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", sample_rows: int = 1000) -> DataFrame:
     """All columns of ``docs`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed and kept. Columns of ``docs`` with these names give way to the new ones."""
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
