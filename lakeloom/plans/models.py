@@ -197,10 +197,10 @@ def workbook_to_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "region").select("r_regionkey", convert.workbook_markdown(F.array(sheet)).alias("markdown"))
 
 
-@query("SELECT CAST(page_id AS VARCHAR) || '.html' AS path, 'html' AS format, 1 AS batches FROM pages")
+@query(f"WITH l AS (SELECT page_id, list_sum(list_transform({_lines()}, lambda x: length(x))) AS n FROM {_HTML}) SELECT CAST(page_id AS VARCHAR) || '.html' AS path, 'html' AS format, CAST(n AS INTEGER) AS characters, CAST(greatest(ceil(n / 300), 1) AS INTEGER) AS batches FROM l")
 def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
     from lakeloom.sources.files import inventory
 
-    return inventory(_pages(spark, folder)).select("path", "format", "batches")
+    return inventory(_pages(spark, folder), cap=300).select("path", "format", "characters", "batches")
 
 

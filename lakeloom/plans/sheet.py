@@ -35,11 +35,17 @@ def xl_aggregates(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").groupBy("l_returnflag").agg(F.round(ops.sum_(c), 4).alias("total"), F.round(ops.average(c)["num"], 4).alias("average"), ops.min_(c).alias("least"), ops.max_(c).alias("most"), ops.count(c).alias("numbers"), ops.counta(c).alias("cells"))
 
 
-@query("SELECT 0 AS total, '#DIV/0!' AS average, 0 AS least, 0 AS most, 0 AS numbers, count(*) AS cells FROM nation")
+@query("SELECT n_regionkey, sum(n_nationkey) FILTER (WHERE n_nationkey % 3 = 0) AS total, CASE WHEN count(*) FILTER (WHERE n_nationkey % 3 = 0) = 0 THEN '#DIV/0!' ELSE CAST(round(avg(n_nationkey) FILTER (WHERE n_nationkey % 3 = 0), 4) AS VARCHAR) END AS average, min(n_nationkey) FILTER (WHERE n_nationkey % 3 = 0) AS least, max(n_nationkey) FILTER (WHERE n_nationkey % 3 = 0) AS most, count(*) FILTER (WHERE n_nationkey % 3 = 0) AS numbers, count(*) FILTER (WHERE n_nationkey % 9 <> 1) AS cells FROM nation GROUP BY n_regionkey")
 def xl_text_aggregates(spark: SparkSession, folder: str) -> DataFrame:
-    """Aggregates over a range of texts: they are skipped but by COUNTA."""
-    c = s("n_name")
-    return table(spark, folder, "nation").agg(ops.sum_(c).alias("total"), ops.average(c)["error"].alias("average"), ops.min_(c).alias("least"), ops.max_(c).alias("most"), ops.count(c).alias("numbers"), ops.counta(c).alias("cells"))
+    """Aggregates over ranges of numbers, texts, errors and empty cells: only numbers are summed up, and
+    COUNTA takes all that is not empty."""
+    k = F.col("n_nationkey")
+    c = F.when(k % 3 == 0, cells.number(k.cast("double"))).when(k % 9 == 1, cells.text(F.lit(""))).when(k % 3 == 1, cells.text(F.col("n_name"))).otherwise(cells.error(cells.DIV0))
+    rows = table(spark, folder, "nation").select("n_regionkey", c.alias("c"))
+    c = F.col("c")
+    agg = rows.groupBy("n_regionkey").agg(ops.sum_(c).cast("long").alias("total"), ops.average(c).alias("a"), ops.min_(c).cast("int").alias("least"), ops.max_(c).cast("int").alias("most"), ops.count(c).alias("numbers"), ops.counta(c).alias("cells"))
+    average = F.coalesce("a.error", F.round("a.num", 4).cast("string"))
+    return agg.select("n_regionkey", "total", average.alias("average"), "least", "most", "numbers", "cells")
 
 
 @query("SELECT l_linestatus, count(*) FILTER (WHERE l_quantity >= 25) AS big, count(*) FILTER (WHERE l_quantity = 10) AS ten, count(*) FILTER (WHERE l_quantity <> 10) AS other FROM lineitem GROUP BY l_linestatus")
