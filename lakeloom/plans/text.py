@@ -10,7 +10,7 @@ from lakeloom.operators import ranges
 from lakeloom.sources.tables import table
 
 INLINE_CAP = 2000  # characters of a read; small, so that texts of the tables need several
-GARBLED = ("\ue0a1", "\ufffd", "\x01", "\u00c3\u00c2", "\u2502", "bcdfghjklm ", "\u6570\u636e", "0123456789", "a\n")
+GARBLED = ("\ue0a1", "\ufffd", "\x01", "\u00c3\u00c2", "\u2502", "bcdfghjklm ", "\u6570\u636e\u6587\u672c\u5185\u5bb9\u5f88\u957f", "0123456789", "a\n")
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
