@@ -26,6 +26,7 @@ hashes.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -33,7 +34,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import materialise, tenant
@@ -324,7 +325,8 @@ def cells(sets: DataFrame, n: int, percent: int) -> DataFrame:
     keys = sets.select("doc", "full").mapInArrow(run, "doc long, keys array<long>").select("doc", F.explode("keys").alias("h"))
     keys = materialise(keys, "keys")
     named = keys.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("last > owner").drop("last")
-    own = keys.join(_known(materialise(named, "named")), "h").groupBy("doc").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
+    pairs = keys.join(_known(materialise(named, "named")), "h").select("doc", F.col("owner").alias("region")).distinct()
+    own = _sized(materialise(pairs, "pairs"), sets, percent).groupBy("doc").agg(F.array_sort(F.collect_set("region")).alias("owners"))
     every = own.select("doc", "owners", F.posexplode("owners").alias("k", "region"))
     every = materialise(every.select("region", "doc", F.slice("owners", 1, F.col("k")).alias("before")), "cells")
     # a cell whose documents are all in one earlier cell has no pair that is not met there
@@ -334,6 +336,19 @@ def cells(sets: DataFrame, n: int, percent: int) -> DataFrame:
     return materialise(every.join(again, "region", "left_anti"), "regions")
 
 
+def _sized(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (region, doc) but those that no other member's size comes near: sizes of sets that link lie in
+    the same band or in neighbouring ones, each as wide as the sizes of such sets can differ. So a text that
+    is put together from thousands of short ones is in none of their cells."""
+    band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9)
+    rows = members.join(sets.select("doc", "n"), "doc").withColumn("band", band)
+    order = Window.partitionBy("region").orderBy("band")  # a row a band, which are few
+    gap = lambda f: F.coalesce(F.abs(f("band", 1).over(order) - F.col("band")), F.lit(9)) <= 1
+    counts = rows.groupBy("region", "band").agg(F.count("*").alias("same"))
+    counts = counts.select("region", "band", "same", gap(F.lag).alias("below"), gap(F.lead).alias("above"))
+    return rows.join(counts.where("same > 1 OR below OR above"), ["region", "band"], "left_semi").select("region", "doc")
+
+
 def _known(ids: DataFrame, width: int = 1) -> DataFrame:
     """Rows of a written table of ids, broadcast where they are counted to be few."""
     return F.broadcast(ids) if ids.count() * width <= BROADCAST_ROWS else ids

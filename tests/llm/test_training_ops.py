@@ -144,6 +144,21 @@ def test_jaccard_join(docs, texts, small, monkeypatch):
     assert [got[i] for i in range(len(texts))] == list(zip(sizes, label))
 
 
+def test_jaccard_join_of_a_digest(spark, monkeypatch):
+    """A text of hundreds of others shares shingles with all of them, and a cell with none."""
+    from lakeloom.llm import jaccard_join
+
+    short = [prose(3000 + i, 30) for i in range(300)]
+    rows = list(enumerate([*short, " ".join(short), " ".join(short[:290]), *(x + " end" for x in short[:20])]))
+    seen, cells = [], jaccard_join.cells
+    monkeypatch.setattr(jaccard_join, "cells", lambda *a: seen.append(cells(*a)) or seen[0])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.near_duplicates(df, count_links=True).collect()}
+    _, label = linked([t for _, t in rows])
+    assert [got[i][0] for i, _ in rows] == label and got[300] == (300, 1) == got[301] and got[302] == (0, 1)
+    assert {r.doc for r in seen[0].collect()} == {*range(20), *range(300, 322)}
+
+
 def test_jaccard_join_empty(docs):
     from lakeloom.llm.jaccard_join import near_duplicates
 
