@@ -163,9 +163,13 @@ def insert_image(p: Package, kind: str, data: bytes, alt: str = "", after: str |
     ext, width, height = size
     scale = min(1.0, PAGE / max(1e-9, width * 0.75))
     w, h = (round(x * 0.75 * scale * EMU) for x in (width, height))
-    number = 1 + sum(n.startswith("word/media/") for n in p.parts)
-    p.put(f"word/media/added{number}.{ext}", data)
-    own = p.relate("word/document.xml", "image", f"media/added{number}.{ext}")
+    number = 1 + len(re.findall(r"<wp:docPr ", p.text("word/document.xml")))
+    media = [n for n in p.parts if n.startswith("word/media/")]
+    part = next((n for n in media if p.parts[n] == data), None)  # the same picture is there once
+    if part is None:
+        part = f"word/media/added{len(media) + 1}.{ext}"
+        p.put(part, data)
+    own = p.relate("word/document.xml", "image", part.removeprefix("word/"))
     p.declare(f'<Default Extension="{ext}" ContentType="image/{ext}"/>', f'Extension="{ext}"')
     a, pic = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/drawingml/2006/picture"
     name = quoteattr(alt or f"picture {number}")

@@ -101,7 +101,20 @@ def core_xml(meta: dict[str, str]) -> str:
     return f'<?xml version="1.0" encoding="UTF-8"?><cp:coreProperties xmlns:cp="{P}/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/">{cells}</cp:coreProperties>'
 
 
-def write_docx(blocks: list[dict], meta: dict[str, str] | None = None) -> bytes:
+def _grid(lines: int | None, characters: int | None) -> str:
+    """The grid of a page with so many lines and characters a line, in twips of A4 with its usual margins."""
+    if not lines:
+        return ""
+    pitch = round((16838 - 2 * 1440) / max(1, min(100, lines)))
+    spread = round(((11906 - 2 * 1800) / 20 / max(1, min(100, characters)) - 10.5) * 4096) if characters else None
+    return f'<w:docGrid w:type="{"linesAndChars" if characters else "lines"}" w:linePitch="{pitch}"' + (f' w:charSpace="{spread}"/>' if characters else "/>")
+
+
+def write_docx(blocks: list[dict], meta: dict[str, str] | None = None, images: dict[str, bytes] | None = None, lines: int | None = None, characters: int | None = None) -> bytes:
+    """A document; pictures whose data ``images`` has by name are in it, others are named. ``lines`` and
+    ``characters`` set a grid for a page."""
+    if images and any(b["type"] == "image" and b["name"] in images for b in blocks):
+        return _with_pictures(blocks, meta, images, lines, characters)
     links: list[str] = []
     body: list[str] = []
 
@@ -148,12 +161,29 @@ def write_docx(blocks: list[dict], meta: dict[str, str] | None = None) -> bytes:
     return build({
         "[Content_Types].xml": _types({"word/document.xml": f"{kind}.document.main+xml", "word/styles.xml": f"{kind}.styles+xml", "word/numbering.xml": f"{kind}.numbering+xml"}),
         "_rels/.rels": _rels([("r1", "officeDocument", "word/document.xml", False)]),
-        "word/document.xml": f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{W}" xmlns:r="{R}"><w:body>{"".join(body)}<w:sectPr/></w:body></w:document>',
+        "word/document.xml": f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{W}" xmlns:r="{R}"><w:body>{"".join(body)}{"<w:sectPr>" + _grid(lines, characters) + "</w:sectPr>" if lines else "<w:sectPr/>"}</w:body></w:document>',
         "word/styles.xml": f'<w:styles xmlns:w="{W}">{styles}</w:styles>', "word/numbering.xml": numbering, "docProps/core.xml": core_xml(meta or {}),
         "word/_rels/document.xml.rels": _rels([("r1", "styles", "styles.xml", False), ("r2", "numbering", "numbering.xml", False), *((f"rLink{i}", "hyperlink", x, True) for i, x in enumerate(links, 1))]),
     })
 
 
+def _with_pictures(blocks: list[dict], meta: dict[str, str] | None, images: dict[str, bytes], lines: int | None, characters: int | None) -> bytes:
+    """Puts pictures in the places of marked paragraphs."""
+    from lakeloom.sources import repack
+
+    marked, wanted = [], {}
+    for k, b in enumerate(blocks):
+        if b["type"] == "image" and b["name"] in images:
+            wanted[f"\ue000{k}\ue001"] = (images[b["name"]], b["alt"] or "")
+            b = block("paragraph", runs=[run(f"\ue000{k}\ue001")])
+        marked.append(b)
+    p = repack.Package(write_docx(marked, meta, None, lines, characters))
+    for mark, (data, alt) in wanted.items():
+        repack.insert_image(p, "docx", data, alt, mark)
+        p.put("word/document.xml", re.sub(rf"<w:p><w:r><w:t[^>]*>{mark}</w:t></w:r></w:p>", "", p.text("word/document.xml")))
+    return p.bytes()
+
+
 def odf_text(e) -> str:
     """Text of an ODF paragraph, with its spaces, tabs and breaks."""
     out = [e.text or ""]

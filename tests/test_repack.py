@@ -62,12 +62,23 @@ def test_pictures():
     assert counts == [1, 0, 1]
     assert ["[图片]" in "".join(r["text"] for r in b["runs"] or []) for b in blocks] == [False, False, True, False, False, True, True]
     z = parts(new)
-    assert [n for n in z if n.startswith("word/media/")] == [f"word/media/added{k}.png" for k in (1, 2, 3)] and z["word/media/added1.png"] == data
+    assert [n for n in z if n.startswith("word/media/")] == ["word/media/added1.png"] and z["word/media/added1.png"] == data
+    assert z["word/_rels/document.xml.rels"].count(b"/image") == 3 and len(set(z["word/document.xml"].split(b"wp:docPr id=")[1:])) == 3
     assert b'Extension="png"' in z["[Content_Types].xml"] and b'cx="5731510"' in z["word/document.xml"]
     with pytest.raises(package.Refused):
         repack.apply(new, "a.docx", [{"op": "insert_image", "data": b"no picture"}])
 
 
+def test_written_pictures_and_grids():
+    blocks = [block("paragraph", runs=[run("a")]), block("image", alt="A", name="p.png"), block("image", alt="B", name="absent.png"), block("image", alt="C", name="p.png"), block("paragraph", runs=[run("z")])]
+    data = wordlike.write_docx(blocks, {"title": "T"}, {"p.png": png(10, 20)}, lines=40, characters=30)
+    got, meta = wordlike.read_docx(data)
+    assert ["".join(r["text"] for r in b["runs"]) for b in got] == ["a", "[图片]", "![B](absent.png)", "[图片]", "z"] and meta["title"] == "T"
+    z = parts(data)
+    assert sum(n.startswith("word/media/") for n in z) == 1 and b'<w:docGrid w:type="linesAndChars" w:linePitch="349" w:charSpace="' in z["word/document.xml"]
+    assert b"docGrid" not in parts(wordlike.write_docx(blocks))["word/document.xml"] and b'w:type="lines" w:linePitch="698"/>' in parts(wordlike.write_docx([], lines=20))["word/document.xml"]
+
+
 def test_slides():
     deck = slidelike.write_pptx([slidelike.slide("one", layout="title", subtitle="s"), slidelike.slide("two")])
     edits = [{"op": "add_slide", "slide": {"title": "first", "bullets": [{"level": 0, "text": "b"}]}, "index": 1}, {"op": "add_slide", "slide": {"title": "last"}}, {"op": "update_slide", "index": 2, "title": "ONE & only", "subtitle": "S"}, {"op": "delete_slide", "index": 3}, {"op": "set_meta", "title": "deck"}]
