@@ -118,5 +118,22 @@ k AS (
       OR 2 * coalesce(list_sum(list_transform(range(2, len(ws) + 1), lambda i: CASE WHEN ws[i] = ws[i - 1] THEN 1 ELSE 0 END)), 0) > n_words AS rejected
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM k
+""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, sh, len(sh) AS n_shingles, md5(array_to_string(list_sort(sh), chr(10))) AS same FROM s),
+c AS (SELECT *, CASE WHEN n_shingles > 0 THEN min(doc_id) OVER (PARTITION BY same) ELSE doc_id END AS class_id FROM n),
+r AS (SELECT doc_id, n_shingles, sh FROM c WHERE doc_id = class_id AND n_shingles > 0),
+e AS (SELECT doc_id, unnest(sh) AS h FROM r),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN r a ON a.doc_id = x JOIN r b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n_shingles + b.n_shingles - k)),
+b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+t AS (SELECT x, y FROM b UNION SELECT t.x, b.y FROM t JOIN b ON b.x = t.y),
+m AS (SELECT x, least(x, min(y)) AS component_id FROM t GROUP BY x),
+d AS (SELECT x, count(*) AS n_links FROM b GROUP BY x)
+SELECT doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, class_id, coalesce(component_id, class_id) AS component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM c LEFT JOIN m ON m.x = class_id LEFT JOIN d ON d.x = class_id
 """,
 }

@@ -139,3 +139,12 @@ def test_licenses(spark):
         got[x.doc_id].append((x.line, x.last, x.family))
     want = {i: scanned(t, model) for i, t in rows}
     assert {i: sorted(v) for i, v in got.items()} == want and sum(map(bool, want.values())) > 30
+
+
+@pytest.mark.parametrize("name", ["op4_quality", "op6_jaccard_join"])
+def test_sql(spark, name):
+    import oracle
+    from lakeloom.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    assert oracle.compare(spark, folder, queries.QUERIES[name], queries.ORACLES[name], oracle.connect(folder)) == ""
