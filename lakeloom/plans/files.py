@@ -354,3 +354,8 @@ def cells_as_sheets(spark: SparkSession, folder: str) -> DataFrame:
     cells = table(spark, folder, "customer").select(F.col("c_nationkey").alias("book"), F.lit("S").alias("sheet"), place.alias("row"), (place % 3).alias("col"), F.col("c_custkey").cast("string").alias("v"), F.lit("n").alias("t"), F.lit(None).cast("string").alias("f"))
     back = convert.long_cells(convert.wide_sheets(cells, "book"), "book").where("v <> ''")
     return back.groupBy("book").agg(F.count("*").alias("cells"), F.max(F.col("v").cast("long")).cast("string").alias("last"))
+
+
+@query("SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\\r?\\n'), lambda x: trim(x) <> '')) AS INTEGER) AS paragraphs FROM documents")
+def text_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", F.size(bl.paragraphs(F.col("text"))).alias("paragraphs"))
