@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -11,6 +12,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,16 @@ def tenant(name: str, forget: Callable[[], object] = lambda: None) -> None:
         _tenant.clear()
         _tenant[name] = forget
         gc.collect()
+        returned()
+
+
+def returned() -> None:
+    """In a worker: memory that nothing holds goes back to the system, where it would wait to be used again."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def shared_dir(spark: SparkSession) -> str:

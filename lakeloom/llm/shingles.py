@@ -16,7 +16,7 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 class WordHashes(dict):
     """Hashes of words; forgets all when it has grown past ``room``."""
 
-    room = 400_000
+    room = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.room:

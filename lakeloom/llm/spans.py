@@ -196,7 +196,10 @@ class SpanTable:
         ends = np.cumsum(sizes)
         if not len(ends) or not ends[-1]:
             return np.zeros(0, np.uint32)
-        return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
+        kind = np.int32 if max(len(flat), int(ends[-1])) < 1 << 30 else np.int64
+        place = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+        place += np.arange(ends[-1], dtype=kind)
+        return flat[place]
 
     def _mended(self, texts: list[str], slow: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Puts in the values of texts that are cut at safe spaces alone."""
@@ -221,7 +224,7 @@ class SpanTable:
         self.place = dict(zip(spans, range(len(spans))))
         self.size, self.start, self.flat = size, np.cumsum(size) - size, flat
 
-    def batches(self, texts: list[str], chars: int = 12_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def batches(self, texts: list[str], chars: int = 6_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """As encode(), over pieces of the list of about ``chars`` characters: the place of the first text,
         counts and ids."""
         start = size = 0
@@ -232,7 +235,7 @@ class SpanTable:
                 start, size = i + 1, 0
 
 
-def gathered(batches: Iterator[pa.RecordBatch], column: int, size: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], column: int, size: int = 6_000_000) -> Iterator[pa.RecordBatch]:
     """Batches put together until a column's texts have about ``size`` bytes: the more texts are looked at
     at once, the fewer distinct spans there are for each."""
     held, total = [], 0
