@@ -9,6 +9,7 @@ its spans, one after the other, and a span's ids depend on nothing but the span.
 from __future__ import annotations
 
 import array
+import gc
 import json
 import re
 import unicodedata
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lakeloom.llm.common import single_threaded, tenant
+from lakeloom.llm.common import returned, single_threaded, tenant
 
 _HEAD = "\0 "  # holds the first span's place; no span has a space in it
 _SAFE = re.compile(r" (?=\S)")
@@ -224,7 +225,7 @@ class SpanTable:
         self.place = dict(zip(spans, range(len(spans))))
         self.size, self.start, self.flat = size, np.cumsum(size) - size, flat
 
-    def batches(self, texts: list[str], chars: int = 6_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def batches(self, texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """As encode(), over pieces of the list of about ``chars`` characters: the place of the first text,
         counts and ids."""
         start = size = 0
@@ -233,9 +234,10 @@ class SpanTable:
             if size >= chars or i == len(texts) - 1:
                 yield (start, *self.encode(texts[start : i + 1]))
                 start, size = i + 1, 0
+                returned()
 
 
-def gathered(batches: Iterator[pa.RecordBatch], column: int, size: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], column: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Batches put together until a column's texts have about ``size`` bytes: the more texts are looked at
     at once, the fewer distinct spans there are for each."""
     held, total = [], 0
@@ -334,14 +336,23 @@ def library_encoder(path: str, what: str) -> Callable[[list[str]], list]:
     from tokenizers import Tokenizer
 
     single_threaded()
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_padding()
-    tokenizer.no_truncation()
     merger = _Merger(path)
+    gc.collect()
+    returned()  # what reading the file took
+    known: list[Tokenizer] = []
+
+    def tokenizer() -> Tokenizer:
+        """The library's own, from when it is first needed."""
+        if not known:
+            known.append(Tokenizer.from_file(path))
+            known[0].no_padding()
+            known[0].no_truncation()
+        return known[0]
+
     value = len if what == "lengths" else (lambda ids: array.array("I", ids).tobytes())
 
     def library(texts: list[str]) -> list:
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [e.ids for e in tokenizer().encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(spans: list[str]) -> list:
         if not merger.fits:
