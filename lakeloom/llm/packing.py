@@ -89,15 +89,15 @@ def best_fit(lengths: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return runs
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", room: int = 250_000) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", room: int = 250_000, chars: int = 4_000_000) -> DataFrame:
     """The documents' pieces, with the partition and the rank in it among pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, part = worker_encoder(path, "ids", room), Counter(), TaskContext.get().partitionId()
         end, step = end_id.to_bytes(4, "little"), 4 * capacity
-        for b in gathered(batches, 1):
+        for b in gathered(batches, 1, chars):
             rows, texts = [], [t or "" for t in b.column(1).to_pylist()]
-            for first, counts, flat in encoder.batches(texts):
+            for first, counts, flat in encoder.batches(texts, chars):
                 ends = np.cumsum(counts).tolist()
                 for i, (begin, stop) in enumerate(zip([0, *ends], ends), first):
                     ids = flat[begin:stop].tobytes() + end
@@ -115,9 +115,13 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str =
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece."""
-    cut = materialise(pieces(docs, path, capacity, end_id, doc_id, text), "pieces")
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", room: int = 250_000, chars: int = 4_000_000) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece.
+
+    A worker keeps the ids of about ``room`` spans and looks at ``chars`` characters at once: more of either
+    takes memory and saves time.
+    """
+    cut = materialise(pieces(docs, path, capacity, end_id, doc_id, text, room, chars), "pieces")
     counts = materialise(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = best_fit(lengths, capacity)

@@ -81,7 +81,7 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0, room=400_000, chars=12_000_000)
 
 
 QUERIES = {
