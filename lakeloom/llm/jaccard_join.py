@@ -323,9 +323,10 @@ def cells(sets: DataFrame, n: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["doc", "keys"])
 
     keys = sets.select("doc", "full").mapInArrow(run, "doc long, keys array<long>").select("doc", F.explode("keys").alias("h"))
-    keys = materialise(keys, "keys")
-    named = keys.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("last > owner").drop("last")
-    pairs = keys.join(_known(materialise(named, "named")), "h").select("doc", F.col("owner").alias("region")).distinct()
+    # the keys meet by shingle once, for its least document and for those that share it
+    held = Window.partitionBy("h")
+    named = keys.withColumn("owner", F.min("doc").over(held)).withColumn("last", F.max("doc").over(held)).where("last > owner")
+    pairs = named.select("doc", F.col("owner").alias("region")).distinct()
     own = _sized(materialise(pairs, "pairs"), sets, percent).groupBy("doc").agg(F.array_sort(F.collect_set("region")).alias("owners"))
     every = own.select("doc", "owners", F.posexplode("owners").alias("k", "region"))
     every = materialise(every.select("region", "doc", F.slice("owners", 1, F.col("k")).alias("before")), "cells")

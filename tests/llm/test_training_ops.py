@@ -21,6 +21,14 @@ def prose(seed: int, n: int) -> str:
     return " ".join(WORDS[i] + str(r.integers(0, 60)) for i in r.integers(0, len(WORDS), n))
 
 
+def written(spark) -> int:
+    """Rows that shuffles have written so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
 @pytest.fixture(scope="module")
 def texts():
     base = prose(1, 120)
@@ -290,6 +298,26 @@ def test_neighbours(spark):
     assert few == {0}
 
 
+def test_cells_shuffle_prefixes_once(spark, monkeypatch):
+    from lakeloom.llm import jaccard_join as J
+    from lakeloom.llm.shingles import prefix_length, shingles
+
+    monkeypatch.setattr(J, "frequent", lambda sets, n: np.zeros(0, np.uint64))  # its sample has a shuffle of its own
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)  # as on tables with more shared shingles than a join may broadcast
+    texts = [prose(i, 600) + end for i in range(100) for end in ("", " one other end")]
+    sets = [shingles(t) for t in texts]
+    df = J.materialise(spark.createDataFrame([(i, s.tobytes(), len(s)) for i, s in enumerate(sets)], "doc long, full binary, n long"), "sets")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = written(spark)
+        found = {(r.region, r.doc) for r in J.cells(df, 200, 80).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert found == {(i - i % 2, i) for i in range(200)}
+    assert written(spark) - before < 1.5 * sum(prefix_length(len(s), 80) for s in sets)
+
+
 def test_neighbours_copies_no_vectors_to_leaves(spark):
     from lakeloom.llm.neighbours import nearest
 
@@ -297,18 +325,11 @@ def test_neighbours_copies_no_vectors_to_leaves(spark):
     m /= np.sqrt((m * m).sum(axis=1, keepdims=True))  # alike in all directions, so that most leaves are visited
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
 
-    def written() -> int:
-        """Rows that shuffles have written so far."""
-        sc = spark.sparkContext
-        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
-        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
-
-    before = written()
+    before = written(spark)
     got: dict = {}
     for x in nearest(df, leaf_rows=8, floor_rows=500).collect():
         got.setdefault(x.query_id, set()).add(x.vec_id)
-    assert written() - before < 250_000  # a row for each of 500 queries at each of its leaves was more
+    assert written(spark) - before < 250_000  # a row for each of 500 queries at each of its leaves was more
     best = {q: set(np.argsort(-(m @ m[q]))[1:21].tolist()) for q in range(0, 10_000, 20)}  # of unit vectors, the nearest is itself
     assert sum(len(got[q] & best[q]) for q in best) / (20 * 500) >= 0.9
 
