@@ -298,6 +298,20 @@ def test_neighbours(spark):
     assert few == {0}
 
 
+def test_token_counts_do_not_depend_on_the_sample(spark):
+    from tokenizers import Tokenizer
+
+    from lakeloom.llm.token_counts import token_counts
+
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    count = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    for texts in ([None, "", "all words differ here"], [prose(i, 50) for i in range(40)]):  # the first sample has no frequent span
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        for sizes in ({}, {"table_size": 0}, {"sample_rows": 1, "table_size": 3}):
+            assert {r.doc_id: r.n_tokens for r in token_counts(df, path, **sizes).collect()} == {i: count(t) for i, t in enumerate(texts)}
+
+
 def test_cells_shuffle_prefixes_once(spark, monkeypatch):
     from lakeloom.llm import jaccard_join as J
     from lakeloom.llm.shingles import prefix_length, shingles
