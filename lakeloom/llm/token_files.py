@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm import token_blocks as blocks
-from lakeloom.llm.spans import gathered, worker_encoder
+from lakeloom.llm.spans import gathered, worker_joiner
 
 PIECE = pa.struct([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
 _RAW = "part int, block int, start long, n int, documents array<struct<doc_id: bigint, ordinal: bigint, at: int, n: int>>, raw binary"
@@ -36,16 +36,16 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, doc_id: str
     blocks.install(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, end = worker_encoder(path, "ids", room), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
+        encoder, part, end = worker_joiner(path, room), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
         whole, block, start, ordinal, data, pieces = 4 * block_ids, 0, 0, 0, bytearray(), []
 
         def row(size: int) -> pa.RecordBatch:
             columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([size // 4], pa.int32()), pa.array([pieces], pa.list_(PIECE)), pa.array([bytes(data[:size])], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["part", "block", "start", "n", "documents", "raw"])
 
-        for b in gathered(batches, 1):
-            names, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for first, counts, flat in encoder.batches(texts):
+        for b in gathered(batches, 1, 8_000_000):
+            names = b.column(0).to_pylist()
+            for first, counts, flat in encoder.texts(b.column(1)):
                 ends = np.cumsum(counts).tolist()
                 for i, begin, stop in zip(names[first:], [0, *ends], ends):
                     ids = flat[begin:stop].tobytes() + end
