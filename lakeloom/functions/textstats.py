@@ -193,6 +193,17 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def upper_each(text: Column) -> Column:
+    """Upper case of each character by itself, so that a text keeps its number of characters: a letter whose
+    capital form has several has the single one (ẞ) or, without any, itself."""
+
+    def one(c: Column) -> Column:
+        up, title = F.upper(c), F.initcap(c)
+        return F.when(c == "ß", "ẞ").when(F.length(up) == 1, up).when(F.length(title) == 1, title).otherwise(c)
+
+    return F.when(F.length(F.upper(text)) == F.length(text), F.upper(text)).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
+
+
 def repeated_lines(text: Column) -> Column:
     """Struct of the number of meaningful lines, and of those that occur more than once (every
     occurrence counts).

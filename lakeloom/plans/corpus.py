@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import sanitize
+from lakeloom.functions import textstats as stats
 from lakeloom.operators import caches, editing, recognition
 from lakeloom.sources.tables import table
 
@@ -76,7 +77,7 @@ _GARBLED = "(SELECT doc_id, text, length(text) < 200 AS garbled FROM documents)"
 def _pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, folder, "documents")
     pages = docs.select("doc_id", "text", (F.length("text") < 200).alias("garbled"))
-    return pages, docs.where("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("cached "), F.upper("text")).alias("cached"))
+    return pages, docs.where("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("cached "), stats.upper_each(F.col("text"))).alias("cached"))
 
 
 @query(f"SELECT doc_id, sha256(CASE WHEN garbled AND doc_id % 2 = 0 THEN 'cached ' || upper(text) ELSE text END) AS digest FROM {_GARBLED}")

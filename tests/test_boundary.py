@@ -147,3 +147,15 @@ def test_slide_bounds(spark):
     for bad in (editing.delete_slide(F.col("s"), 1), editing.update_slide(F.col("s"), 2, "x"), editing.delete_slide(F.col("s"), 0)):
         with pytest.raises(Exception, match="slide"):
             df.select(bad).collect()
+
+
+def test_upper_case_keeps_the_number_of_characters(spark):
+    """Conversions' cached texts, whose SQL takes each character by itself."""
+    import duckdb
+
+    from lakeloom.functions import textstats as stats
+
+    texts = ["straße ÿ", "ŉ ǰ ﬁ ΐ", "ᾳ ᾀ ῼ dž", "", "plain", "ß"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").select("i", stats.upper_each(F.col("t")).alias("u")).collect()
+    assert [r.u for r in sorted(rows)] == [duckdb.execute("SELECT upper(?)", [t]).fetchone()[0] for t in texts] + [None]
+    assert rows[0].u == "STRAẞE Ÿ"
