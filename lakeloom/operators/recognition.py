@@ -71,9 +71,10 @@ def gate(code: Column, boxes: Column, score: Column, short_share: Column, g: Gat
     )
 
 
-def reading_order(boxes: DataFrame, keys: list[str], band: int = 24) -> DataFrame:
-    """keys and text: boxes in bands of ``band`` pixels, then from left to right, by line feeds."""
-    parts = F.array_sort(F.collect_list(F.struct(F.floor(F.col("y") / band).alias("band"), "x", "pos", "text")))
+def reading_order(boxes: DataFrame, keys: list[str], band: int = 24, found: tuple[str, ...] = ()) -> DataFrame:
+    """keys and text: boxes in bands of ``band`` pixels, then from left to right, by line feeds. Boxes at the
+    same place stay in the order of ``found``, in which they were recognised, then of their texts."""
+    parts = F.array_sort(F.collect_list(F.struct(F.floor(F.col("y") / band).alias("band"), "x", "pos", *found, "text")))
     return boxes.where("text <> ''").groupBy(*keys).agg(F.array_join(F.transform(parts, lambda b: b["text"]), "\n").alias("text"))
 
 

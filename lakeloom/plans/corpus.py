@@ -93,13 +93,15 @@ def conversion_guard(spark: SparkSession, folder: str) -> DataFrame:
     return caches.substitute(pages, cached, ["doc_id"])[1]
 
 
-def _boxes(spark: SparkSession, folder: str) -> DataFrame:
+def _boxes(spark: SparkSession, folder: str, placed: bool = False) -> DataFrame:
     """Line items as boxes on pages: a page is an order. Pages of many and of short boxes, which orders
-    do not make, come from the nations."""
-    items = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 600).alias("x"), (F.col("l_suppkey") * 7 % 800).alias("y"), (0.8 + F.col("l_discount").cast("double") * 2).alias("score"), F.concat(F.lit("word"), F.col("l_partkey").cast("string")).alias("text"))
+    do not make, come from the nations. ``placed`` adds file and nth: where an item's row is."""
+    own = (F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("nth")) if placed else ()
+    none = (F.lit(""), F.lit(0).cast("long")) if placed else ()
+    items = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 600).alias("x"), (F.col("l_suppkey") * 7 % 800).alias("y"), (0.8 + F.col("l_discount").cast("double") * 2).alias("score"), F.concat(F.lit("word"), F.col("l_partkey").cast("string")).alias("text"), *own)
     key = F.col("n_nationkey")
     many = table(spark, folder, "nation").select(key, F.explode(F.sequence(F.lit(1), F.when(key % 2 == 0, 50).otherwise(35))).alias("pos"))
-    return items.union(many.select((-10 * key - 5).cast("long"), "pos", (F.col("pos") * 11 % 600).cast("long"), (F.col("pos") * 16).cast("long"), F.lit(0.93), F.concat(F.when(key % 3 == 0, "w").otherwise("longword"), F.col("pos").cast("string"))))
+    return items.union(many.select((-10 * key - 5).cast("long"), "pos", (F.col("pos") * 11 % 600).cast("long"), (F.col("pos") * 16).cast("long"), F.lit(0.93), F.concat(F.when(key % 3 == 0, "w").otherwise("longword"), F.col("pos").cast("string")), *none))
 
 
 _BOXES = "WITH b AS (SELECT l_orderkey AS page, l_linenumber AS pos, l_partkey % 600 AS x, l_suppkey * 7 % 800 AS y, 0.8 + CAST(l_discount AS DOUBLE) * 2 AS score, 'word' || l_partkey AS text FROM lineitem UNION ALL SELECT CAST(-10 * n_nationkey - 5 AS BIGINT), CAST(k AS INTEGER), k * 11 % 600, k * 16, 0.93, CASE WHEN n_nationkey % 3 = 0 THEN 'w' ELSE 'longword' END || k FROM nation, (SELECT unnest(range(1, 51)) AS k) WHERE n_nationkey % 2 = 0 OR k <= 35)"
@@ -114,7 +116,8 @@ def ocr_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"{_BOXES} SELECT page, string_agg(text, chr(10) ORDER BY y // 24, x, pos) AS text FROM b GROUP BY page")
 def ocr_reading_order(spark: SparkSession, folder: str) -> DataFrame:
-    return recognition.reading_order(_boxes(spark, folder), ["page"])
+    """Boxes at the same place follow in the order of their rows in the table."""
+    return recognition.reading_order(_boxes(spark, folder, placed=True), ["page"], found=("file", "nth"))
 
 
 @query(f"{_BOXES} SELECT page, pos AS try, round(score, 6) AS score FROM b WHERE score >= 0.88 QUALIFY row_number() OVER (PARTITION BY page ORDER BY score DESC, pos) = 1")

@@ -159,3 +159,20 @@ def test_upper_case_keeps_the_number_of_characters(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").select("i", stats.upper_each(F.col("t")).alias("u")).collect()
     assert [r.u for r in sorted(rows)] == [duckdb.execute("SELECT upper(?)", [t]).fetchone()[0] for t in texts] + [None]
     assert rows[0].u == "STRAẞE Ÿ"
+
+
+def test_reading_order_of_boxes_at_one_place(spark, tmp_path):
+    """Lines with equal keys stay as the table has them, as in the SQL; their texts would sort otherwise."""
+    import duckdb
+
+    from lakeloom import catalog
+
+    rows = [(1, 9001 + 600 * k, 5, 1, 0.05) for k in (7, 3, 9, 0, 5)] + [(1, 12, 9, 2, 0.05)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([], "n_nationkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = catalog.QUERIES["ocr_reading_order"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == con.execute(catalog.ORACLES["ocr_reading_order"]).fetchall()
+    assert got[0].text.split("\n")[:3] == ["word13201", "word10801", "word14401"]
