@@ -38,7 +38,9 @@ def recalculate(cells: DataFrame, book: str = "book", most: int | None = 5_000_0
                 out = []
         yield _batch(out, target)
 
-    grouped = rows.repartition(book).sortWithinPartitions(book)
+    # By a hash of its own: a repartition by the key itself is left out where the planner holds the rows to be
+    # dealt by it already, which of a union of joined parts does not stay true when joins are planned anew.
+    grouped = rows.repartition(F.xxhash64(book)).sortWithinPartitions(book)
     kind = cells.schema[book].dataType.simpleString()
     solved = grouped.mapInArrow(run, f"`{book}` {kind}, sheet string, row int, col int, v string, state string")
     return solved if over is None else solved.union(over)

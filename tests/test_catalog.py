@@ -145,3 +145,19 @@ def test_blocks_after_edits(spark):
     z, missed = editing.insert_after(F.col("b"), "q", new)
     r = df.select(a.alias("a"), found.alias("f"), z.alias("z"), missed.alias("m")).first()
     assert [x.text for x in r.a] == ["x", "i", "y"] and r.f and [x.text for x in r.z] == ["x", "y", "i"] and not r.m
+
+
+@pytest.mark.parametrize("name", ["formula_recalc", "formula_census"])
+def test_recalculation_with_joins_by_sorting(spark, con, name):
+    """Workbooks stay whole where large tables are joined by sorting, as by default they are from 10 MB on: the
+    rows are dealt by workbook after all joins, which may be planned anew."""
+    large = {"spark.sql.autoBroadcastJoinThreshold": "1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in large.items():
+        spark.conf.set(k, v)
+    try:
+        plan = catalog.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan.partition("MapInArrow")[2].partition("Union")[0]
+        assert oracle.compare(spark, FOLDER, catalog.QUERIES[name], catalog.ORACLES[name], con) == ""
+    finally:
+        for k in large:
+            spark.conf.unset(k)
