@@ -99,13 +99,25 @@ def long_cells(df: DataFrame, key: str, sheets: str = "sheets") -> DataFrame:
     return one.select(key, "sheet", "row", F.posexplode("cells").alias("col", "c")).select(key, "sheet", "row", "col", "c.v", "c.t", "c.f")
 
 
+def _filled(places: str, place: str, value: str, gap: Column) -> Column:
+    """The values of a sorted array of (place, value) at their places from 0, with ``gap`` where there is none.
+    Each element looks at the one before it, so the work grows with the length of what comes out."""
+
+    def at(x: Column, i: Column) -> Column:
+        last = F.coalesce(F.get(places, i - 1)[place], F.lit(-1))
+        wrong = F.raise_error(F.concat(F.lit(f"two cells have the same {place}, or one has none: "), F.coalesce(x[place].cast("string"), F.lit("null")))).cast("int")
+        return F.concat(F.array_repeat(gap, F.when(x[place] > last, x[place] - last - 1).otherwise(wrong)), F.array(x[value]))
+
+    return F.flatten(F.transform(places, at))
+
+
 def wide_sheets(cells: DataFrame, key: str) -> DataFrame:
     """The inverse: key and sheets; gaps become empty cells. Sheets come in the order of their names."""
     empty = F.struct(F.lit("").alias("v"), F.lit("s").alias("t"), F.lit(None).cast("string").alias("f"))
-    line = cells.groupBy(key, "sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.struct("v", "t", "f")))).alias("m"), F.max("col").alias("n"))
-    line = line.select(key, "sheet", "row", F.transform(F.sequence(F.lit(0), "n"), lambda j: F.coalesce(F.try_element_at("m", j), empty)).alias("cells"))
-    sheet = line.groupBy(key, "sheet").agg(F.map_from_entries(F.collect_list(F.struct("row", "cells"))).alias("m"), F.max("row").alias("n"))
-    rows = F.transform(F.sequence(F.lit(0), "n"), lambda i: F.coalesce(F.try_element_at("m", i), F.array().cast(f"array<{CELL}>")))
+    line = cells.groupBy(key, "sheet", "row").agg(F.array_sort(F.collect_list(F.struct("col", F.struct("v", "t", "f").alias("c")))).alias("m"))
+    line = line.select(key, "sheet", "row", _filled("m", "col", "c", empty).alias("cells"))
+    sheet = line.groupBy(key, "sheet").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("m"))
+    rows = _filled("m", "row", "cells", F.array().cast(f"array<{CELL}>"))
     return sheet.select(key, F.struct(F.col("sheet").alias("name"), rows.alias("rows")).alias("s")).groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("sheets"))
 
 

@@ -176,3 +176,20 @@ def test_reading_order_of_boxes_at_one_place(spark, tmp_path):
     got = catalog.QUERIES["ocr_reading_order"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == con.execute(catalog.ORACLES["ocr_reading_order"]).fetchall()
     assert got[0].text.split("\n")[:3] == ["word13201", "word10801", "word14401"]
+
+
+def test_sheets_of_cells(spark):
+    """Gaps, several sheets, cells twice at a place; and a long sheet, which takes time by its length alone."""
+    import time
+
+    schema = "book int, sheet string, row int, col int, v string, t string, f string"
+    rows = [(1, "S", 3, 1, None, "n", None), (1, "S", 0, 2, "a", "s", None), (1, "S", 3, 0, "b", "n", "=1"), (1, "A", 1, 1, "z", "s", None), (2, "S", 0, 0, "q", "s", None)]
+    got = {r.book: [(s.name, [[c.v for c in x] for x in s.rows]) for s in r.sheets] for r in convert.wide_sheets(spark.createDataFrame(rows, schema), "book").collect()}
+    assert got == {1: [("A", [[], ["", "z"]]), ("S", [["", "", "a"], [], [], ["b", None]])], 2: [("S", [["q"]])]}
+    for wrong in (rows[0], (1, "S", -1, 0, "x", "s", None), (1, "S", None, 0, "x", "s", None)):
+        with pytest.raises(Exception, match="one has none"):
+            convert.wide_sheets(spark.createDataFrame([*rows, wrong], schema), "book").collect()
+    n, began = 60_000, time.perf_counter()
+    long = spark.range(n).selectExpr("1 AS book", "'S' AS sheet", "int(id) AS row", "int(id % 3) AS col", "string(id) AS v", "'n' AS t", "string(null) AS f")
+    assert convert.long_cells(convert.wide_sheets(long, "book"), "book").where("v <> ''").count() == n
+    assert time.perf_counter() - began < 40
