@@ -98,14 +98,29 @@ def inferred(value: str) -> str:
     return "n" if re.fullmatch(r"-?(?!0\d)\d+(\.\d+)?([eE][-+]?\d+)?", value) else "s"
 
 
-def models(files: DataFrame) -> DataFrame:
-    """path and the model of each row of (path, content)."""
+def _pieces(b: pd.DataFrame, most: int, rows: int) -> Iterator[pd.DataFrame]:
+    """A batch of files in pieces of so many bytes, but for a larger file, and so many rows."""
+    start = size = 0
+    for k, c in enumerate(b["content"]):
+        n = 0 if c is None else len(c)
+        if k > start and (size + n > most or k - start == rows):
+            yield b.iloc[start:k]
+            start, size = k, 0
+        size += n
+    if len(b):
+        yield b.iloc[start:]
+
+
+def models(files: DataFrame, piece: int = 1_000_000, rows: int = 200) -> DataFrame:
+    """path and the model of each row of (path, content). A model takes many times the memory of its file,
+    so a task holds those of a piece of its batch at once."""
 
     def run_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = pd.DataFrame([load(None if c is None else bytes(c), p) for p, c in zip(b["path"], b["content"])], columns=["format", "model", "meta", "blocks", "sheets", "slides", "error"])
-            found.insert(0, "path", b["path"].to_numpy())
-            yield found
+            for part in _pieces(b, piece, rows):
+                found = pd.DataFrame([load(None if c is None else bytes(c), p) for p, c in zip(part["path"], part["content"])], columns=["format", "model", "meta", "blocks", "sheets", "slides", "error"])
+                found.insert(0, "path", part["path"].to_numpy())
+                yield found
 
     return files.select("path", "content").mapInPandas(run_, f"path string, {MODEL}")
 

@@ -193,3 +193,29 @@ def test_sheets_of_cells(spark):
     long = spark.range(n).selectExpr("1 AS book", "'S' AS sheet", "int(id) AS row", "int(id % 3) AS col", "string(id) AS v", "'n' AS t", "string(null) AS f")
     assert convert.long_cells(convert.wide_sheets(long, "book"), "book").where("v <> ''").count() == n
     assert time.perf_counter() - began < 40
+
+
+def test_what_a_worker_holds_is_bounded_in_bytes(spark):
+    """Batches of long texts end by their size, and files are read in pieces; the training-data operators,
+    which bound rows, are left alone."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from lakeloom.llm import common
+    from lakeloom.sources import files, tables
+
+    common.table(spark, "/root/testdata/sf0.001", "documents")
+    assert spark.conf.get(tables.BYTES) == "67108864b"
+    rows = spark.conf.get(common.BATCH)
+    spark.conf.set(common.BATCH, "10000")
+    try:
+        tables.table(spark, "/root/testdata/sf0.001", "documents")
+        sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+        long = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("t"))
+        got = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) >= 20_000_000 and max(got) < 6_000_000
+    finally:
+        spark.conf.set(common.BATCH, rows)
+    b = pd.DataFrame({"path": list("abcdefg"), "content": [b"x" * n for n in (3, 3, 9, 1, 0)] + [None, b"x"]})
+    assert ["".join(p["path"]) for p in files._pieces(b, 6, 3)] == ["ab", "c", "def", "g"]
+    assert list(files._pieces(b.iloc[:0], 6, 3)) == []
