@@ -161,3 +161,25 @@ def test_recalculation_with_joins_by_sorting(spark, con, name):
     finally:
         for k in large:
             spark.conf.unset(k)
+
+
+def test_recalculation_reads_cells_once(spark):
+    """No join and one shuffle; workbooks that span batches, one too large between others, places without row."""
+    from lakeloom.operators import recalc
+
+    schema = "book string, sheet string, row int, col int, v string, t string, f string"
+    books = {"a": 3, "b": 40, "c": 5}
+    rows = [(b, "S", i, 0, str(i), "n", None) for b, n in books.items() for i in range(n)] + [(b, "S", i, 1, "9", "n", f"=SUM(A1:A{i + 1})*2") for b in books for i in range(2)]
+    rows += [(b, "T", 0, 0, "7", "n", f) for b, f in (("a", "=SUM(S!A1:B99)"), ("b", "=1"), ("c", "=SUM(S!A:A)"))] + [("c", None, None, 0, "x", "s", "=COUNT(S!A1:Z1000)"), (None, "S", 0, 0, "1", "n", "=A1")]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        done = recalc.recalculate(spark.createDataFrame(rows, schema), most=10)
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        got = {(r.book, r.sheet, r.row, r.col): (r.v, r.state) for r in done.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert got[("a", "S", 0, 1)] == ("0", "ok") and got[("a", "S", 1, 1)] == ("2", "ok") and got[("a", "T", 0, 0)] == ("5", "ok")
+    assert [got[("b", s, i, c)] for s, i, c in (("S", 0, 1), ("S", 1, 1), ("T", 0, 0))] == [("9", "skipped"), ("9", "skipped"), ("7", "skipped")]
+    assert got[("c", "S", 1, 1)] == ("2", "ok") and got[("c", "T", 0, 0)][0] == "7" and got[("c", "T", 0, 0)][1].startswith("unsupported") and len(got) == 11
